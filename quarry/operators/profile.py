@@ -44,12 +44,13 @@ def moments(df: DataFrame, columns: list[str]) -> DataFrame:
         aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"),
                  F.var_samp(v).alias(f"v{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
                  F.skewness(v).alias(f"g{i}"), F.kurtosis(v).alias(f"k{i}"),
-                 F.stddev_pop(v).alias(f"sp{i}")]
+                 F.stddev_pop(v).alias(f"sp{i}"), F.count_if(missing_expr(df, c)).alias(f"x{i}")]
     one = df.agg(*aggs)
     rows = [F.struct(F.lit(c).alias("column"), F.col("_rows").alias("rows"), F.col(f"n{i}").alias("count"),
                      F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"), F.col(f"v{i}").alias("variance"),
                      F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"), F.col(f"g{i}").alias("g1"),
-                     F.col(f"k{i}").alias("g2"), F.col(f"sp{i}").alias("std_pop"))
+                     F.col(f"k{i}").alias("g2"), F.col(f"sp{i}").alias("std_pop"),
+                     F.col(f"x{i}").cast("long").alias("missing_count"))
             for i, c in enumerate(columns)]
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
@@ -84,16 +85,30 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None, skew_kind:
     per = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"),
                                        F.min(F.struct((-F.col("n")).alias("negn"), F.col("value").alias("v")))["v"]
                                        .alias("mode"))
-    fences = (qs.join(per, "column")
-              .withColumn("iqr", F.col("q3") - F.col("q1"))
-              .withColumn("_ok", (F.col("distinct_count") > 2) & (F.col("iqr") != 0))
-              .withColumn("lower_fence", F.when(F.col("_ok"), F.col("q1") - 1.5 * F.col("iqr")))
-              .withColumn("upper_fence", F.when(F.col("_ok"), F.col("q3") + 1.5 * F.col("iqr"))))
-    # fences: one row per column, broadcast to the distinct-value table.
-    out_n = (counts.join(F.broadcast(fences.select("column", "lower_fence", "upper_fence")), "column")
-             .groupBy("column").agg(F.sum(F.when((F.col("value") < F.col("lower_fence")) |
-                                                (F.col("value") > F.col("upper_fence")), F.col("n"))
-                                         .otherwise(0)).cast("long").alias("outlier_count_iqr")))
+    # One row per column: collected (bounded by the column count) so the
+    # fences enter the outlier count as literals instead of re-running the
+    # quantile plan in a second branch.
+    fence_rows = (qs.join(per, "column")
+                  .withColumn("iqr", F.col("q3") - F.col("q1"))
+                  .withColumn("_ok", (F.col("distinct_count") > 2) & (F.col("iqr") != 0))
+                  .withColumn("lower_fence", F.when(F.col("_ok"), F.col("q1") - 1.5 * F.col("iqr")))
+                  .withColumn("upper_fence", F.when(F.col("_ok"), F.col("q3") + 1.5 * F.col("iqr")))
+                  .select("column", "q1", "median", "q3", "iqr", "distinct_count", "mode", "lower_fence",
+                          "upper_fence")).collect()
+    fences = spark.createDataFrame(fence_rows, "column string, q1 double, median double, q3 double, iqr double, "
+                                               "distinct_count long, mode double, lower_fence double, "
+                                               "upper_fence double")
+    out_n = None
+    if any(r["lower_fence"] is not None for r in fence_rows):
+        # outliers counted on the ties-collapsed table (no second raw scan)
+        hit = F.lit(False)
+        for r in fence_rows:
+            if r["lower_fence"] is not None:
+                hit = hit | ((F.col("column") == r["column"]) &
+                             ((F.col("value") < r["lower_fence"]) | (F.col("value") > r["upper_fence"])))
+        out_rows = counts.filter(hit).groupBy("column").agg(F.sum("n").cast("long").alias("outlier_count_iqr"))
+        out_n = spark.createDataFrame(out_rows.collect(), "column string, outlier_count_iqr long")
+    counts.unpersist()
     n = F.col("count")
     flat = F.col("variance") == 0
     if skew_kind == "sample":
@@ -102,11 +117,12 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None, skew_kind:
     else:
         skew = F.when(n > 2, F.when(flat, 0.0).otherwise(adjusted_skewness(F.col("g1"), n)))
         kurt = F.when(n > 3, F.when(flat, 0.0).otherwise(adjusted_kurtosis(F.col("g2"), n)))
-    miss = {c: missing_expr(df, c) for c in cols}
-    missing = df.agg(*[F.count_if(miss[c]).alias(c) for c in cols]).select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("long").alias("missing_count")) for c in cols
-    ])).alias("r")).select("r.*")
-    prof = (mom.join(fences, "column", "left").join(out_n, "column", "left").join(missing, "column")
+    prof = mom.join(fences, "column", "left")
+    if out_n is not None:
+        prof = prof.join(out_n, "column", "left")
+    else:
+        prof = prof.withColumn("outlier_count_iqr", F.lit(None).cast("long"))
+    prof = (prof
             .withColumn("skewness", skew).withColumn("kurtosis", kurt)
             .withColumn("range", F.col("max") - F.col("min"))
             .withColumn("missing_percent", F.when(F.col("rows") > 0, F.col("missing_count") / F.col("rows") * 100.0))
