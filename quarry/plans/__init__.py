@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["q_profile"]
+FAMILIES = ["q_profile", "q_quality"]
 
 
 def load_all() -> None:
