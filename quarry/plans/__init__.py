@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["q_profile", "q_quality"]
+FAMILIES = ["q_profile", "q_quality", "q_clean"]
 
 
 def load_all() -> None:
