@@ -66,7 +66,13 @@ def _betacf(a: Column, b: Column, x: Column, steps: int = STEPS) -> Column:
         c = _fix(1.0 + aa / acc["c"])
         return F.struct(c.alias("c"), d.alias("d"), (acc["h"] * d * c).alias("h"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(2 * steps)), init, step, lambda acc: acc["h"])
+    return F.aggregate(F.sequence(F.lit(1), 2 * _n_iter(F.greatest(a, b), steps)), init, step, lambda acc: acc["h"])
+
+
+def _n_iter(size: Column, cap: int) -> Column:
+    """Iterations for a continued fraction / series whose convergence needs
+    O(sqrt(size)) terms: 30 + 6 sqrt(size), at most ``cap``."""
+    return F.least(F.lit(cap), (F.lit(30.0) + 6.0 * F.sqrt(F.abs(size))).cast("int"))
 
 
 def betainc(a, b, x) -> Column:
@@ -87,7 +93,8 @@ def _gser(a: Column, x: Column, steps: int = STEPS) -> Column:
         term = acc["term"] * x / (a + j.cast("double"))
         return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
 
-    total = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda acc: acc["sum"])
+    total = F.aggregate(F.sequence(F.lit(1), _n_iter(F.greatest(a, x), steps)), init, step,
+                        lambda acc: acc["sum"])
     return total * F.exp(-x + a * F.log(x) - lgamma(a))
 
 
@@ -104,7 +111,7 @@ def _gcf(a: Column, x: Column, steps: int = STEPS) -> Column:
         c = _fix(b + an / acc["c"])
         return F.struct(b.alias("b"), c.alias("c"), d.alias("d"), (acc["h"] * d * c).alias("h"))
 
-    h = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda acc: acc["h"])
+    h = F.aggregate(F.sequence(F.lit(1), _n_iter(F.greatest(a, x), steps)), init, step, lambda acc: acc["h"])
     return F.exp(-x + a * F.log(x) - lgamma(a)) * h
 
 
@@ -142,3 +149,132 @@ def norm_two_sided_p(z) -> Column:
     """P(|Z| > |z|) for the standard normal."""
     z = _c(z)
     return _clip01(gammaincc(F.lit(0.5), z * z / 2.0))
+
+
+# ---- SQL-text form ------------------------------------------------------------------------
+# Building the expressions above costs one JVM call per operator; for column
+# *names* the same algorithms are emitted as one SQL string (one parse).
+
+def _sql_lgamma_pos(x: str) -> str:
+    z = f"(({x}) - 1.0D)"
+    a = f"{LANCZOS_COEF[0]!r}D" + "".join(f" + ({c!r}D / ({z} + {i}.0D))" for i, c in enumerate(LANCZOS_COEF[1:], 1))
+    t = f"({z} + {LANCZOS_G + 0.5!r}D)"
+    return f"({0.5 * math.log(2 * math.pi)!r}D + ({z} + 0.5D) * ln({t}) - {t} + ln({a}))"
+
+
+def sql_lgamma(x: str) -> str:
+    return (f"(CASE WHEN ({x}) < 0.5D THEN ln({math.pi!r}D / abs(sin({math.pi!r}D * ({x})))) - "
+            f"{_sql_lgamma_pos(f'(1.0D - ({x}))')} ELSE {_sql_lgamma_pos(x)} END)")
+
+
+def _sql_n_iter(size: str, cap: int) -> str:
+    return f"least({cap}, CAST(30.0D + 6.0D * sqrt(abs({size})) AS INT))"
+
+
+def _sql_fix(v: str) -> str:
+    return f"(CASE WHEN abs({v}) < {TINY!r}D THEN {TINY!r}D ELSE {v} END)"
+
+
+def _sql_betacf(a: str, b: str, x: str, steps: int = STEPS) -> str:
+    qab, qap, qam = f"(({a}) + ({b}))", f"(({a}) + 1.0D)", f"(({a}) - 1.0D)"
+    d0 = f"(1.0D / {_sql_fix(f'(1.0D - {qab} * ({x}) / {qap})')})"
+    m = "CAST(ceil(j / 2.0D) AS DOUBLE)"
+    aa = (f"(CASE WHEN j % 2 = 1 THEN {m} * (({b}) - {m}) * ({x}) / (({qam} + 2.0D * {m}) * (({a}) + 2.0D * {m})) "
+          f"ELSE -(({a}) + {m}) * ({qab} + {m}) * ({x}) / ((({a}) + 2.0D * {m}) * ({qap} + 2.0D * {m})) END)")
+    d = f"(1.0D / {_sql_fix(f'(1.0D + {aa} * acc.d)')})"
+    c = _sql_fix(f"(1.0D + {aa} / acc.c)")
+    return (f"aggregate(sequence(1, 2 * {_sql_n_iter(f'greatest({a}, {b})', steps)}), "
+            f"named_struct('c', 1.0D, 'd', {d0}, 'h', {d0}), "
+            f"(acc, j) -> named_struct('c', {c}, 'd', {d}, 'h', acc.h * {d} * {c}), acc -> acc.h)")
+
+
+def sql_betainc(a: str, b: str, x: str) -> str:
+    """I_x(a, b); the arguments are bound once (one-element ``transform``) so
+    the text refers to them by short names."""
+    a_, b_, x_ = "_s.a", "_s.b", "_s.x"
+    lbeta = f"({sql_lgamma(a_)} + {sql_lgamma(b_)} - {sql_lgamma(f'({a_} + {b_})')})"
+    front = f"exp({a_} * ln({x_}) + {b_} * ln(1.0D - {x_}) - {lbeta})"
+    body = (f"(CASE WHEN {x_} <= 0 THEN 0.0D WHEN {x_} >= 1 THEN 1.0D "
+            f"WHEN {x_} < ({a_} + 1.0D) / ({a_} + {b_} + 2.0D) THEN {front} * {_sql_betacf(a_, b_, x_)} / {a_} "
+            f"ELSE 1.0D - {front} * {_sql_betacf(b_, a_, f'(1.0D - {x_})')} / {b_} END)")
+    return f"transform(array(named_struct('a', {a}, 'b', {b}, 'x', {x})), _s -> {body})[0]"
+
+
+def sql_gammaincc(a_in: str, x_in: str) -> str:
+    a, x = "_s.a", "_s.x"
+    n = _sql_n_iter(f"greatest({a}, {x})", STEPS)
+    lg = sql_lgamma(a)
+    ser = (f"(aggregate(sequence(1, {n}), named_struct('t', 1.0D / ({a}), 's', 1.0D / ({a})), "
+           f"(acc, j) -> named_struct('t', acc.t * ({x}) / (({a}) + j), 's', acc.s + acc.t * ({x}) / (({a}) + j)), "
+           f"acc -> acc.s) * exp(-({x}) + ({a}) * ln({x}) - {lg}))")
+    b0 = f"(({x}) + 1.0D - ({a}))"
+    an = f"(-CAST(j AS DOUBLE) * (CAST(j AS DOUBLE) - ({a})))"
+    bb = "(acc.b + 2.0D)"
+    d = f"(1.0D / {_sql_fix(f'({an} * acc.d + {bb})')})"
+    c = _sql_fix(f"({bb} + {an} / acc.c)")
+    cf = (f"(exp(-({x}) + ({a}) * ln({x}) - {lg}) * aggregate(sequence(1, {n}), "
+          f"named_struct('b', {b0}, 'c', {1.0 / TINY!r}D, 'd', 1.0D / {_sql_fix(b0)}, 'h', 1.0D / {_sql_fix(b0)}), "
+          f"(acc, j) -> named_struct('b', {bb}, 'c', {c}, 'd', {d}, 'h', acc.h * {d} * {c}), acc -> acc.h))")
+    body = f"(CASE WHEN ({x}) <= 0 THEN 1.0D WHEN ({x}) < ({a}) + 1.0D THEN 1.0D - {ser} ELSE {cf} END)"
+    return f"transform(array(named_struct('a', {a_in}, 'x', {x_in})), _s -> {body})[0]"
+
+
+def _clip_sql(v: str) -> str:
+    return f"least(greatest({v}, 0.0D), 1.0D)"
+
+
+def _names(*args) -> bool:
+    return all(isinstance(a, str) for a in args)
+
+
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def t_two_sided_p_sql(t: str, dof: str) -> str:
+    t, dof = f"CAST({t} AS DOUBLE)", f"CAST({dof} AS DOUBLE)"
+    return _clip_sql(sql_betainc(f"({dof} / 2.0D)", "0.5D", f"({dof} / ({dof} + {t} * {t}))"))
+
+
+def chi2_sf_sql(x: str, k: str) -> str:
+    x, k = f"CAST({x} AS DOUBLE)", f"CAST({k} AS DOUBLE)"
+    return _clip_sql(sql_gammaincc(f"({k} / 2.0D)", f"({x} / 2.0D)"))
+
+
+def f_sf_sql(f: str, d1: str, d2: str) -> str:
+    f, d1, d2 = f"CAST({f} AS DOUBLE)", f"CAST({d1} AS DOUBLE)", f"CAST({d2} AS DOUBLE)"
+    return _clip_sql(f"(CASE WHEN {f} <= 0 THEN 1.0D ELSE "
+                     f"{sql_betainc(f'({d2} / 2.0D)', f'({d1} / 2.0D)', f'({d2} / ({d2} + {d1} * {f}))')} END)")
+
+
+def norm_two_sided_p_sql(z: str) -> str:
+    z = f"CAST({z} AS DOUBLE)"
+    return _clip_sql(sql_gammaincc("0.5D", f"({z} * {z} / 2.0D)"))
+
+
+_col_t, _col_chi2, _col_f, _col_norm = t_two_sided_p, chi2_sf, f_sf, norm_two_sided_p
+
+
+def t_two_sided_p(t, dof) -> Column:  # noqa: F811
+    """P(|T| > |t|); column names take the one-parse SQL path."""
+    if _names(t, dof):
+        return F.expr(t_two_sided_p_sql(_q(t), _q(dof)))
+    return _col_t(t, dof)
+
+
+def chi2_sf(x, k) -> Column:  # noqa: F811
+    if _names(x, k):
+        return F.expr(chi2_sf_sql(_q(x), _q(k)))
+    return _col_chi2(x, k)
+
+
+def f_sf(f, d1, d2) -> Column:  # noqa: F811
+    if _names(f, d1, d2):
+        return F.expr(f_sf_sql(_q(f), _q(d1), _q(d2)))
+    return _col_f(f, d1, d2)
+
+
+def norm_two_sided_p(z) -> Column:  # noqa: F811
+    if _names(z):
+        return F.expr(norm_two_sided_p_sql(_q(z)))
+    return _col_norm(z)

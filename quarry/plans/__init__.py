@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["q_profile", "q_quality", "q_clean"]
+FAMILIES = ["q_profile", "q_quality", "q_clean", "q_assoc"]
 
 
 def load_all() -> None:

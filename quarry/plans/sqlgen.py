@@ -26,9 +26,9 @@ def simpson(lo: str, hi: str, integrand: str, var: str = "u", steps: int = 4000)
     """Composite Simpson rule of ``integrand`` (an SQL expression in ``var``)
     over [lo, hi] with ``steps`` (even) intervals, as one list expression."""
     h = f"((({hi}) - ({lo})) / {steps}.0)"
-    w = f"(CASE WHEN k = 0 OR k = {steps} THEN 1.0 WHEN k % 2 = 1 THEN 4.0 ELSE 2.0 END)"
-    body = integrand.replace(f"<{var}>", f"(({lo}) + k * {h})")
-    return f"({h} / 3.0 * list_sum(list_transform(range(0, {steps} + 1), lambda k: {w} * ({body}))))"
+    w = f"(CASE WHEN _qi = 0 OR _qi = {steps} THEN 1.0 WHEN _qi % 2 = 1 THEN 4.0 ELSE 2.0 END)"
+    body = integrand.replace(f"<{var}>", f"(({lo}) + _qi * {h})")
+    return f"({h} / 3.0 * list_sum(list_transform(range(0, {steps} + 1), lambda _qi: {w} * ({body}))))"
 
 
 def t_two_sided_p(t: str, nu: str) -> str:
@@ -43,9 +43,9 @@ def t_two_sided_p(t: str, nu: str) -> str:
 def chi2_sf(x: str, k: str) -> str:
     """P(X > x), X ~ chi2(k): 1 - integral over [0, sqrt x] of the density of sqrt X."""
     hi = f"least(sqrt(greatest({x}, 0.0)), sqrt({k}) + 40.0)"
-    c = f"exp(-lgamma(({k}) / 2.0) - (({k}) / 2.0 - 1) * ln(2.0))"
-    integrand = f"pow(<u>, ({k}) - 1) * exp(-(<u>) * (<u>) / 2.0)"
-    return f"greatest(0.0, 1.0 - {c} * {simpson('0.0', hi, integrand)})"
+    logc = f"(-lgamma(({k}) / 2.0) - (({k}) / 2.0 - 1) * ln(2.0))"
+    integrand = f"exp((({k}) - 1) * ln(greatest(<u>, 1e-300)) - (<u>) * (<u>) / 2.0 + {logc})"
+    return f"greatest(0.0, 1.0 - {simpson('0.0', hi, integrand)})"
 
 
 def f_sf(f: str, d1: str, d2: str) -> str:
