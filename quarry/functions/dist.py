@@ -75,11 +75,29 @@ def _n_iter(size: Column, cap: int) -> Column:
     return F.least(F.lit(cap), (F.lit(30.0) + 6.0 * F.sqrt(F.abs(size))).cast("int"))
 
 
+def _lgammacor(x: Column) -> Column:
+    """Stirling remainder lgamma(x) - ((x - .5) ln x - x + .5 ln 2 pi), x >= 10."""
+    x2 = x * x
+    return 1.0 / (12.0 * x) - 1.0 / (360.0 * x * x2) + 1.0 / (1260.0 * x * x2 * x2) - 1.0 / (1680.0 * x * x2 * x2 * x2)
+
+
+def lbeta(a, b) -> Column:
+    """log Beta(a, b) without the cancellation of three huge log-gammas."""
+    a, b = _c(a), _c(b)
+    p, q = F.least(a, b), F.greatest(a, b)
+    both = (-0.5 * F.log(q) + 0.5 * math.log(2 * math.pi) + _lgammacor(p) + _lgammacor(q) - _lgammacor(p + q)
+            + (p - 0.5) * F.log(p / (p + q)) + q * F.log1p(-p / (p + q)))
+    one = (lgamma(p) + _lgammacor(q) - _lgammacor(p + q) + p - p * F.log(p + q)
+           + (q - 0.5) * F.log1p(-p / (p + q)))
+    return (F.when(p >= 10, both).when(q >= 10, one)
+            .otherwise(lgamma(p) + lgamma(q) - lgamma(p + q)))
+
+
 def betainc(a, b, x) -> Column:
     """Regularised incomplete beta I_x(a, b)."""
     a, b, x = _c(a), _c(b), _c(x)
-    lbeta = lgamma(a) + lgamma(b) - lgamma(a + b)
-    front = F.exp(a * F.log(x) + b * F.log(1.0 - x) - lbeta)
+    lbeta_ab = lbeta(a, b)
+    front = F.exp(a * F.log(x) + b * F.log(1.0 - x) - lbeta_ab)
     direct = front * _betacf(a, b, x) / a
     mirror = 1.0 - front * _betacf(b, a, 1.0 - x) / b
     return (F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0))
@@ -188,12 +206,27 @@ def _sql_betacf(a: str, b: str, x: str, steps: int = STEPS) -> str:
             f"(acc, j) -> named_struct('c', {c}, 'd', {d}, 'h', acc.h * {d} * {c}), acc -> acc.h)")
 
 
+def _sql_lgammacor(x: str) -> str:
+    return (f"(1.0D / (12.0D * {x}) - 1.0D / (360.0D * pow({x}, 3)) + 1.0D / (1260.0D * pow({x}, 5)) "
+            f"- 1.0D / (1680.0D * pow({x}, 7)))")
+
+
+def sql_lbeta(a: str, b: str) -> str:
+    p, q = f"least({a}, {b})", f"greatest({a}, {b})"
+    pq = f"({a} + {b})"
+    both = (f"(-0.5D * ln({q}) + {0.5 * math.log(2 * math.pi)!r}D + {_sql_lgammacor(p)} + {_sql_lgammacor(q)} "
+            f"- {_sql_lgammacor(pq)} + ({p} - 0.5D) * ln({p} / {pq}) + {q} * log1p(-{p} / {pq}))")
+    one = (f"({sql_lgamma(p)} + {_sql_lgammacor(q)} - {_sql_lgammacor(pq)} + {p} - {p} * ln({pq}) "
+           f"+ ({q} - 0.5D) * log1p(-{p} / {pq}))")
+    return (f"(CASE WHEN {p} >= 10 THEN {both} WHEN {q} >= 10 THEN {one} "
+            f"ELSE {sql_lgamma(a)} + {sql_lgamma(b)} - {sql_lgamma(pq)} END)")
+
+
 def sql_betainc(a: str, b: str, x: str) -> str:
     """I_x(a, b); the arguments are bound once (one-element ``transform``) so
     the text refers to them by short names."""
     a_, b_, x_ = "_s.a", "_s.b", "_s.x"
-    lbeta = f"({sql_lgamma(a_)} + {sql_lgamma(b_)} - {sql_lgamma(f'({a_} + {b_})')})"
-    front = f"exp({a_} * ln({x_}) + {b_} * ln(1.0D - {x_}) - {lbeta})"
+    front = f"exp({a_} * ln({x_}) + {b_} * ln(1.0D - {x_}) - {sql_lbeta(a_, b_)})"
     body = (f"(CASE WHEN {x_} <= 0 THEN 0.0D WHEN {x_} >= 1 THEN 1.0D "
             f"WHEN {x_} < ({a_} + 1.0D) / ({a_} + {b_} + 2.0D) THEN {front} * {_sql_betacf(a_, b_, x_)} / {a_} "
             f"ELSE 1.0D - {front} * {_sql_betacf(b_, a_, f'(1.0D - {x_})')} / {b_} END)")

@@ -69,9 +69,9 @@ def welch_t_test(df: DataFrame, value: str, group: str) -> DataFrame:
         return _result(one, "t_test", F.lit(None), F.lit(None), F.col("n_all"), F.lit(False),
                        f"{TWO_GROUP['t_test']} requires exactly two non-empty groups.")
     se2 = F.col("v1") / F.col("n1") + F.col("v2") / F.col("n2")
-    t = (F.col("m1") - F.col("m2")) / F.sqrt(se2)
-    dof = F.pow(se2, 2) / (F.pow(F.col("v1") / F.col("n1"), 2) / (F.col("n1") - 1) +
-                            F.pow(F.col("v2") / F.col("n2"), 2) / (F.col("n2") - 1))
+    t = F.try_divide(F.col("m1") - F.col("m2"), F.sqrt(se2))
+    dof = F.try_divide(F.pow(se2, 2), F.try_divide(F.pow(F.col("v1") / F.col("n1"), 2), F.col("n1") - 1) +
+                       F.try_divide(F.pow(F.col("v2") / F.col("n2"), 2), F.col("n2") - 1))
     one = one.withColumn("_t", t).withColumn("dof", dof)
     p = dist.t_two_sided_p("_t", "dof")
     return _result(one, "t_test", F.col("_t"), p, F.col("n_all"), F.col("k") == 2,
@@ -86,7 +86,7 @@ def _anova_from_moments(m: DataFrame) -> DataFrame:
     parts = j.groupBy("k", "n_all").agg(
         F.sum(F.col("n") * F.pow(F.col("mean") - F.col("grand"), 2)).alias("ssb"),
         F.sum(F.coalesce(F.col("var") * (F.col("n") - 1), F.lit(0.0))).alias("ssw"))
-    f = (F.col("ssb") / (F.col("k") - 1)) / (F.col("ssw") / (F.col("n_all") - F.col("k")))
+    f = F.try_divide(F.try_divide(F.col("ssb"), F.col("k") - 1), F.try_divide(F.col("ssw"), F.col("n_all") - F.col("k")))
     return (parts.withColumn("F", f).withColumn("_d1", F.col("k") - 1).withColumn("_d2", F.col("n_all") - F.col("k"))
             .withColumn("p", dist.f_sf("F", "_d1", "_d2")))
 
@@ -127,8 +127,8 @@ def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
     u1 = F.col("r1") - n1 * (n1 + 1) / 2
     u2 = n1 * n2 - u1
     mu = n1 * n2 / 2
-    sd = F.sqrt(n1 * n2 / 12 * ((N + 1) - F.col("tie_term") / (N * (N - 1))))
-    one = one.withColumn("_u1", u1).withColumn("_z", (F.greatest(u1, u2) - mu - 0.5) / sd)
+    sd = F.sqrt(n1 * n2 / 12 * ((N + 1) - F.try_divide(F.col("tie_term"), N * (N - 1))))
+    one = one.withColumn("_u1", u1).withColumn("_z", F.try_divide(F.greatest(u1, u2) - mu - 0.5, sd))
     # two-sided: 2 * P(Z > z) for z >= 0
     p = F.when(F.col("_z") <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), dist.norm_two_sided_p("_z")))
     return _result(one, "mann_whitney", F.col("_u1"), p, F.col("N"), F.col("k") == 2,
@@ -142,8 +142,8 @@ def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
     agg = sums.agg(F.count(F.lit(1)).alias("k"), F.sum(F.pow("rank_sum", 2) / F.col("n")).alias("ssr"))
     one = agg.crossJoin(ties)
     N = F.col("N").cast("double")
-    h0 = 12.0 / (N * (N + 1)) * F.col("ssr") - 3 * (N + 1)
-    h = h0 / (1 - F.col("tie_term") / (F.pow(N, 3) - N))
+    h0 = F.try_divide(F.lit(12.0), N * (N + 1)) * F.col("ssr") - 3 * (N + 1)
+    h = F.try_divide(h0, 1 - F.try_divide(F.col("tie_term"), F.pow(N, 3) - N))
     one = one.withColumn("_h", h).withColumn("_df", F.col("k") - 1)
     p = dist.chi2_sf("_h", "_df")
     return _result(one, "kruskal", F.col("_h"), p, F.col("N"), F.col("k") >= 2,
