@@ -34,6 +34,8 @@ DATETIME_FORMATS = [
     ("dd.MM.yyyy", "%d.%m.%Y"),
 ]
 NUMERIC_STRIP = "[$,% ]"
+NUMBER_SHAPE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+INF_TOKENS = ["inf", "+inf", "-inf", "infinity", "+infinity", "-infinity"]
 
 
 def trim_column_names(df: DataFrame) -> DataFrame:
@@ -59,14 +61,21 @@ def normalise_missing(df: DataFrame, mode: str = "app") -> DataFrame:
     return df.select(*out)
 
 
+DATE_SHAPE = r"^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}"
+
+
 def parse_datetime(c: Column) -> Column:
-    """First format that parses, else null."""
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(fmt)) for fmt, _ in DATETIME_FORMATS])
+    """First format that parses, else null.  Only date-shaped text is
+    handed to the parser (failed parses are expensive)."""
+    return F.when(c.rlike(DATE_SHAPE), F.coalesce(*[F.try_to_timestamp(c, F.lit(fmt)) for fmt, _ in DATETIME_FORMATS]))
 
 
 def parse_number(c: Column) -> Column:
     """C4/C14: strip ``$ , %`` and spaces, then a tolerant cast; NaN text -> null."""
-    v = F.regexp_replace(c, NUMERIC_STRIP, "").try_cast("double")
+    t = F.regexp_replace(c, NUMERIC_STRIP, "")
+    # only number-shaped text reaches the cast (failed casts are expensive)
+    shaped = t.rlike(NUMBER_SHAPE) | F.lower(t).isin(*INF_TOKENS)
+    v = F.when(shaped, t.try_cast("double"))
     return F.when(F.isnan(v), F.lit(None).cast("double")).otherwise(v)
 
 
