@@ -106,7 +106,7 @@ def _rank_sums(gv: DataFrame) -> tuple[DataFrame, DataFrame]:
     cum = ranks.cumulative_counts(per_value, ["_k"], value="x")
     rk = cum.select("x", ranks.average_rank(cum).alias("avg_rank"), "n")
     ties = rk.agg(F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("tie_term"),
-                  F.sum("n").alias("N"))
+                  F.sum("n").alias("n_total"))
     sums = (vc.join(rk.select("x", "avg_rank"), "x").groupBy("g")
             .agg(F.sum(F.col("n_vg") * F.col("avg_rank")).alias("rank_sum"), F.sum("n_vg").alias("n")))
     return sums, ties
@@ -123,7 +123,7 @@ def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
     a = s.filter("_i = 1").select(F.col("rank_sum").alias("r1"), F.col("n").alias("n1"))
     b = s.filter("_i = 2").select(F.col("n").alias("n2"))
     one = k.crossJoin(ties).crossJoin(a).join(b, how="left")
-    n1, n2, N = F.col("n1").cast("double"), F.col("n2").cast("double"), F.col("N").cast("double")
+    n1, n2, N = F.col("n1").cast("double"), F.col("n2").cast("double"), F.col("n_total").cast("double")
     u1 = F.col("r1") - n1 * (n1 + 1) / 2
     u2 = n1 * n2 - u1
     mu = n1 * n2 / 2
@@ -131,7 +131,7 @@ def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
     one = one.withColumn("_u1", u1).withColumn("_z", F.try_divide(F.greatest(u1, u2) - mu - 0.5, sd))
     # two-sided: 2 * P(Z > z) for z >= 0
     p = F.when(F.col("_z") <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), dist.norm_two_sided_p("_z")))
-    return _result(one, "mann_whitney", F.col("_u1"), p, F.col("N"), F.col("k") == 2,
+    return _result(one, "mann_whitney", F.col("_u1"), p, F.col("n_total"), F.col("k") == 2,
                    f"{TWO_GROUP['mann_whitney']} requires exactly two non-empty groups.")
 
 
@@ -141,12 +141,12 @@ def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
     sums, ties = _rank_sums(gv)
     agg = sums.agg(F.count(F.lit(1)).alias("k"), F.sum(F.pow("rank_sum", 2) / F.col("n")).alias("ssr"))
     one = agg.crossJoin(ties)
-    N = F.col("N").cast("double")
+    N = F.col("n_total").cast("double")
     h0 = F.try_divide(F.lit(12.0), N * (N + 1)) * F.col("ssr") - 3 * (N + 1)
     h = F.try_divide(h0, 1 - F.try_divide(F.col("tie_term"), F.pow(N, 3) - N))
     one = one.withColumn("_h", h).withColumn("_df", F.col("k") - 1)
     p = dist.chi2_sf("_h", "_df")
-    return _result(one, "kruskal", F.col("_h"), p, F.col("N"), F.col("k") >= 2,
+    return _result(one, "kruskal", F.col("_h"), p, F.col("n_total"), F.col("k") >= 2,
                    f"{K_GROUP['kruskal']} requires at least two non-empty groups.")
 
 

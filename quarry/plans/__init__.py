@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["q_profile", "q_quality", "q_clean", "q_assoc", "q_charts"]
+FAMILIES = ["q_profile", "q_quality", "q_clean", "q_assoc", "q_charts", "q_models"]
 
 
 def load_all() -> None:
