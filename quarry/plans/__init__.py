@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["q_profile", "q_quality", "q_clean", "q_assoc", "q_charts", "q_models"]
+FAMILIES = ["q_profile", "q_quality", "q_clean", "q_assoc", "q_charts", "q_models", "q_route"]
 
 
 def load_all() -> None:
