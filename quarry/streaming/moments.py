@@ -19,9 +19,10 @@ from quarry.session import ensure_checkpoint_dir
 
 
 def windowed_moments(stream: DataFrame, ts: str, value: str, key: str, window: str = "1 day",
-                     watermark: str = "1 day") -> DataFrame:
-    """Per (window, key): n, sum, sum of squares, min, max of ``value``."""
-    v = F.col(value).cast("double")
+                     watermark: str = "1 day", decimal_scale: int | None = None) -> DataFrame:
+    """Per (window, key): n, sum, sum of squares, min, max of ``value``.
+    ``decimal_scale`` sums fixed-point values exactly (order-independent)."""
+    v = F.col(value).cast(f"decimal(20,{decimal_scale})" if decimal_scale is not None else "double")
     return (stream.withWatermark(ts, watermark)
             .groupBy(F.window(ts, window).alias("w"), F.col(key))
             .agg(F.count(v).alias("n"), F.sum(v).alias("s1"), F.sum(v * v).alias("s2"),
@@ -31,19 +32,20 @@ def windowed_moments(stream: DataFrame, ts: str, value: str, key: str, window: s
 def finish_moments(df: DataFrame) -> DataFrame:
     """Mean and sample variance from the mergeable sums."""
     n = F.col("n").cast("double")
+    s1, s2 = F.col("s1").cast("double"), F.col("s2").cast("double")
     return df.select(F.col("w.start").alias("window_start"), *[c for c in df.columns if c not in ("w",)],
-                     (F.col("s1") / n).alias("mean"),
-                     F.when(n > 1, (F.col("s2") - F.col("s1") * F.col("s1") / n) / (n - 1)).alias("variance"))
+                     (s1 / n).alias("mean"),
+                     F.when(n > 1, (s2 - s1 * s1 / n) / (n - 1)).alias("variance"))
 
 
 def run_available_now(spark: SparkSession, source_dir: str, schema, sink_dir: str, name: str,
                       ts: str = "ts", value: str = "value", key: str = "event_type",
-                      window: str = "1 day") -> DataFrame:
+                      window: str = "1 day", decimal_scale: int | None = None) -> DataFrame:
     """Process everything in ``source_dir`` (parquet files) and return the
     sink as a batch DataFrame."""
     base = ensure_checkpoint_dir(spark)
     stream = spark.readStream.schema(schema).parquet(source_dir)
-    agg = windowed_moments(stream, ts, value, key, window)
+    agg = windowed_moments(stream, ts, value, key, window, decimal_scale=decimal_scale)
 
     def write(batch: DataFrame, _batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(sink_dir)
