@@ -343,3 +343,23 @@ def compact_categorical_summary(cat: DataFrame) -> DataFrame:
     return cat.select("column", "unique_count", "top_value", "top_count",
                       F.round("top_value_percent", 3).alias("top_value_percent"), "missing_count",
                       F.round("entropy", 3).alias("entropy"))
+
+
+def top_bottom(df, column: str, n: int = 10, key: list[str] | None = None) -> DataFrame:
+    """The ``n`` largest and ``n`` smallest rows by ``column`` (ties broken
+    by ``key``), tagged ``top`` / ``bottom``; each side is a distributed top-k."""
+    key = key or [c for c in df.columns if c != column]
+    hi = df.orderBy(F.col(column).desc_nulls_last(), *key).limit(n).withColumn("side", F.lit("top"))
+    lo = df.orderBy(F.col(column).asc_nulls_last(), *key).limit(n).withColumn("side", F.lit("bottom"))
+    return hi.unionByName(lo)
+
+
+def distinct_in_first_order(df, column: str, order: list[str]) -> DataFrame:
+    """Distinct values ordered by their first appearance under ``order``."""
+    first = df.groupBy(column).agg(F.min(F.struct(*[F.col(c) for c in order])).alias("_first"))
+    return first.select(column, F.row_number().over(Window.orderBy("_first")).alias("first_position"))
+
+
+def melt(df, id_cols: list[str], value_cols: list[str], var: str = "variable", val: str = "value") -> DataFrame:
+    """Wide -> long."""
+    return df.unpivot(id_cols, value_cols, var, val)

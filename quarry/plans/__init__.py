@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["q_profile", "q_quality", "q_clean", "q_assoc", "q_charts", "q_models", "q_route", "q_findings", "q_sources", "q_streaming"]
+FAMILIES = ["q_profile", "q_quality", "q_clean", "q_assoc", "q_charts", "q_models", "q_route", "q_findings", "q_sources", "q_streaming", "q_misc"]
 
 
 def load_all() -> None:
