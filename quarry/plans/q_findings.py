@@ -56,3 +56,13 @@ def _report(spark, sf_dir):
 @register("findings_metadata_package_customer")
 def _pkg(spark, sf_dir):
     return R.metadata_package(table(spark, sf_dir, "customer"))
+
+
+@register("findings_suggested_actions_orders")
+def _actions(spark, sf_dir):
+    return R.suggested_actions(table(spark, sf_dir, "orders"))
+
+
+@register("findings_insights_lineitem_nulls")
+def _insights(spark, sf_dir):
+    return R.insights(FX.lineitem_nulls(spark, sf_dir))

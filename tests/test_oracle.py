@@ -20,7 +20,11 @@ SUBSET = ["numeric_profile_lineitem", "numeric_profile_with_nulls", "frequency_w
           "pearson_lineitem_discount_tax", "spearman_min_rank_lineitem_quantity_tax", "chi_square_yates_labels",
           "pair_scan_part_const", "t_test_lineitem_quantity_by_status", "mann_whitney_lineitem_quantity_by_status",
           "kruskal_events_value_by_type", "levene_orders_price_by_priority", "normality_events_value",
-          "histogram_events_value", "group_describe_orders"]
+          "histogram_events_value", "group_describe_orders", "chart_kde_events_by_type",
+          "chart_box_orders_price_by_priority", "model_roc_preds", "model_auc_preds", "model_ols_one_predictor_lineitem",
+          "model_split_sizes_lineitem", "route_intents_conversations", "route_answer_topics_conversations",
+          "source_csv_roundtrip_orders", "source_json_unwrap_nation", "stream_daily_moments_events",
+          "findings_test_recommendations_orders", "melt_lineitem_measures"]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("QUARRY_ALL_ORACLES") else SUBSET
 
 
