@@ -169,7 +169,8 @@ def auto_predictors(df: DataFrame, target: str, limit: int = 20, max_levels: int
             ("numeric", "categorical", "boolean")]
     if not cand:
         return []
-    d = df.agg(*[F.count_distinct(c).alias(c) for c in cand]).first()
+    text = [c for c in cand if kind_of(df.schema[c].dataType) != "numeric"]  # numeric qualifies regardless
+    d = df.agg(*[F.count_distinct(c).alias(c) for c in text]).first().asDict() if text else {}
     out = [c for c in cand if kind_of(df.schema[c].dataType) == "numeric" or d[c] <= max_levels]
     return out[:limit]
 

@@ -193,7 +193,18 @@ def frequency_table(df: DataFrame, columns: list[str], top: int | None = None, p
 
 
 def categorical_profile(df: DataFrame, columns: list[str] | None = None, hist: DataFrame | None = None) -> DataFrame:
-    """One row per categorical or binary column."""
+    """One row per categorical or binary column (P10-P14).  Without a shared
+    histogram, only text/boolean columns and two-valued numeric columns are
+    counted (numeric columns are screened without a distinct aggregate)."""
+    if hist is None and columns is None:
+        from quarry.operators.roles import two_valued
+        kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields}
+        nums = [c for c, k in kinds.items() if k == "numeric"]
+        binary_nums = [c for c, d in two_valued(df, nums).items() if d == 2]
+        cols = [c for c, k in kinds.items() if k in ("categorical", "boolean")] + binary_nums
+        if not cols:
+            return df.sparkSession.createDataFrame([], "column string")
+        hist = value_hist(df, cols)
     h = hist if hist is not None else value_hist(df)
     present = h.filter(F.col("value").isNotNull())
     per = h.groupBy("column").agg(

@@ -89,11 +89,46 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFram
     return df.agg(*aggs)
 
 
-def column_roles(df: DataFrame) -> ColumnRoles:
+def two_valued(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """Distinct counts capped at 3 for numeric columns without a distinct
+    aggregate: min / max in one pass, then a count of values that are
+    neither (literals) in a second; near-unique columns never shuffle."""
+    if not columns:
+        return {}
+    flo = floating_columns(df)
+
+    def v(c):
+        x = F.col(c).cast("double")
+        return F.when(~F.isnan(x), x) if c in flo else x
+
+    mm = df.agg(*[F.min(v(c)).alias(f"lo{i}") for i, c in enumerate(columns)],
+                *[F.max(v(c)).alias(f"hi{i}") for i, c in enumerate(columns)]).first()
+    probe = [(i, c) for i, c in enumerate(columns) if mm[f"lo{i}"] is not None and mm[f"lo{i}"] != mm[f"hi{i}"]]
+    out = {c: (0 if mm[f"lo{i}"] is None else 1) for i, c in enumerate(columns)}
+    if probe:
+        other = df.agg(*[F.count_if((v(c) != mm[f"lo{i}"]) & (v(c) != mm[f"hi{i}"])).alias(f"o{i}")
+                         for i, c in probe]).first()
+        for i, c in probe:
+            out[c] = 2 if other[f"o{i}"] == 0 else 3
+    return out
+
+
+def column_roles(df: DataFrame, exact_numeric_distinct: bool = False) -> ColumnRoles:
     """Roles sorted by name, binary = exactly two distinct non-missing values
-    (may overlap numeric/categorical), datetime excluded from binary."""
-    row = distinct_counts(df).first().asDict()
-    roles = ColumnRoles(rows=int(row.pop("rows")), distinct={k: int(v) for k, v in row.items()})
+    (may overlap numeric/categorical), datetime excluded from binary.
+
+    Exact distinct counts are computed for text/boolean/datetime columns; for
+    numeric columns only "0, 1, 2 or more" is needed for the binary rule, so
+    they use :func:`two_valued` (``distinct`` holds 3 for "more than two")
+    unless ``exact_numeric_distinct``."""
+    kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields}
+    nums = [c for c, k in kinds.items() if k == "numeric"]
+    exact = [c for c, k in kinds.items() if k != "skipped" and (k != "numeric" or exact_numeric_distinct)]
+    row = distinct_counts(df, exact).first().asDict()
+    distinct = {k: int(v) for k, v in row.items() if k != "rows"}
+    if not exact_numeric_distinct:
+        distinct.update(two_valued(df, nums))
+    roles = ColumnRoles(rows=int(row["rows"]), distinct=distinct)
     for f in df.schema.fields:
         kind = kind_of(f.dataType)
         if kind == "skipped":
