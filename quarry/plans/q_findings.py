@@ -66,3 +66,13 @@ def _actions(spark, sf_dir):
 @register("findings_insights_lineitem_nulls")
 def _insights(spark, sf_dir):
     return R.insights(FX.lineitem_nulls(spark, sf_dir))
+
+
+@register("findings_quality_interpretation_part_const")
+def _qi(spark, sf_dir):
+    return R.quality_interpretation(FX.part_const(spark, sf_dir))
+
+
+@register("findings_descriptive_takeaways_lineitem_nulls")
+def _takeaways(spark, sf_dir):
+    return R.descriptive_takeaways(FX.lineitem_nulls(spark, sf_dir))
