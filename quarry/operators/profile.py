@@ -277,20 +277,29 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
             .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicate_rows")))
 
 
-def dataset_summary(df: DataFrame) -> DataFrame:
-    """rows, columns, missing cells, duplicates, numeric columns, completeness and
-    JSON size (P17-P19), one row."""
+def dataset_summary(df: DataFrame, json_size: bool = False) -> DataFrame:
+    """rows, columns, missing cells, duplicates, numeric columns and
+    completeness (P17/P18), one row; ``json_size`` adds the P19 estimate
+    (serialises every row, so it is opt-in)."""
     cols = profiled_columns(df)
-    one = df.agg(F.count(F.lit(1)).alias("rows"),
-                 sum((F.count_if(missing_expr(df, c)) for c in cols), F.lit(0)).cast("long").alias("missing_cells"),
-                 F.sum(F.length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))).cast("long")
-                 .alias("json_chars"))
+    aggs = [F.count(F.lit(1)).alias("rows"),
+            sum((F.count_if(missing_expr(df, c)) for c in cols), F.lit(0)).cast("long").alias("missing_cells")]
+    if json_size:
+        aggs.append(F.sum(F.length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))).cast("long")
+                    .alias("json_chars"))
+    one = df.agg(*aggs)
     cells = F.col("rows") * F.lit(len(df.columns))
     return (one.crossJoin(duplicate_rows(df))
             .select("rows", F.lit(len(df.columns)).cast("long").alias("columns"), "missing_cells",
                     "duplicate_rows", F.lit(len(numeric_columns(df))).cast("long").alias("numeric_columns"),
                     F.when(cells > 0, 100 - F.col("missing_cells") / cells * 100).otherwise(100.0)
-                    .alias("completeness_percent"), "json_chars"))
+                    .alias("completeness_percent"), *(["json_chars"] if json_size else [])))
+
+
+def json_size(df: DataFrame) -> DataFrame:
+    """Size estimate as the total length of the rows' JSON records."""
+    return df.agg(F.sum(F.length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))).cast("long")
+                  .alias("json_chars"), F.count(F.lit(1)).alias("rows"))
 
 
 def sample_values(df: DataFrame, k: int = 5, hist: DataFrame | None = None) -> DataFrame:

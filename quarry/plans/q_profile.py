@@ -231,7 +231,7 @@ def _summary_sql(tbl, cols, n_numeric):
               "GROUP BY ALL_COLS", "GROUP BY " + ", ".join(c for c, _ in ORDERS_TYPES)),
               ["completeness_percent"], ["rows", "columns", "missing_cells", "duplicate_rows", "numeric_columns"]))
 def _summary(spark, sf_dir):
-    return rounded(P.dataset_summary(FX.orders_dup(spark, sf_dir)).drop("json_chars"))
+    return rounded(P.dataset_summary(FX.orders_dup(spark, sf_dir)))
 
 
 @register("dataset_summary_lineitem_nulls",
@@ -239,7 +239,7 @@ def _summary(spark, sf_dir):
               "GROUP BY ALL_COLS", "GROUP BY " + ", ".join(c for c, _ in LI_TYPES)),
               ["completeness_percent"], ["rows", "columns", "missing_cells", "duplicate_rows", "numeric_columns"]))
 def _summary2(spark, sf_dir):
-    return rounded(P.dataset_summary(FX.lineitem_nulls(spark, sf_dir)).drop("json_chars"))
+    return rounded(P.dataset_summary(FX.lineitem_nulls(spark, sf_dir)))
 
 
 PART_TEXT = ["p_name", "p_brand", "p_type", "p_size", "p_partkey"]
@@ -288,3 +288,8 @@ def _hist_v(spark, sf_dir):
     ["mean", "std", "min", "p25", "p50", "p75", "max"], ["group", "count"]))
 def _gdesc(spark, sf_dir):
     return rounded(P.group_describe(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderpriority"))
+
+
+@register("json_size_estimate_customer")
+def _json_size(spark, sf_dir):
+    return P.json_size(table(spark, sf_dir, "customer"))
