@@ -164,11 +164,34 @@ def _mheat(spark, sf_dir):
     return K.missing_heatmap(FX.lineitem_nulls(spark, sf_dir), key=["l_orderkey", "l_linenumber"])
 
 
-@register("chart_violin_events_by_type")
+_BOX_EVENTS = """
+WITH b AS (SELECT event_type::VARCHAR AS g, value::DOUBLE AS v FROM events WHERE value IS NOT NULL),
+f AS (SELECT g, quantile_cont(v, 0.25) - 1.5 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) AS lf,
+             quantile_cont(v, 0.75) + 1.5 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) AS uf,
+             min(v) AS mn, quantile_cont(v, 0.25) AS q1, median(v) AS med, quantile_cont(v, 0.75) AS q3, max(v) AS mx
+      FROM b GROUP BY g)"""
+
+
+@register("chart_violin_events_by_type", sql_rounded(f"""{_BOX_EVENTS},
+base AS (SELECT event_type::VARCHAR AS event_type, value::DOUBLE AS x FROM events WHERE value IS NOT NULL),
+st AS (SELECT event_type, count(*) AS n, min(x) AS lo, max(x) AS hi,
+              stddev_samp(x) * pow(count(*)::DOUBLE, -0.2) AS bw FROM base GROUP BY 1 HAVING bw > 0),
+fine AS (SELECT b.event_type, least(floor((x - lo) / ((hi - lo) / {K.KDE_BINS})), {K.KDE_BINS - 1}) AS bb,
+                count(*) AS c FROM base b JOIN st USING (event_type) GROUP BY 1, 2),
+pts AS (SELECT f.event_type, gi.range AS gi, st.lo + gi.range * (st.hi - st.lo) / {K.KDE_GRID - 1} AS gx,
+               st.n, st.bw, f.c, st.lo + (f.bb + 0.5) * ((st.hi - st.lo) / {K.KDE_BINS}) AS xc
+        FROM fine f JOIN st USING (event_type) CROSS JOIN range(0, {K.KDE_GRID}) gi)
+SELECT event_type, 'density' AS part, gx AS x, sum(c * exp(-pow((gx - xc) / bw, 2) / 2)) / (n * bw * sqrt({2 * math.pi!r}))
+  AS y FROM pts GROUP BY event_type, gi, gx, n, bw
+UNION ALL SELECT g, 'min', mn, NULL FROM f UNION ALL SELECT g, 'q1', q1, NULL FROM f
+UNION ALL SELECT g, 'median', med, NULL FROM f UNION ALL SELECT g, 'q3', q3, NULL FROM f
+UNION ALL SELECT g, 'max', mx, NULL FROM f""", ["x", "y"], ["event_type", "part"]))
 def _violin(spark, sf_dir):
-    return K.violin(table(spark, sf_dir, "events"), "value", "event_type")
+    return rounded(K.violin(table(spark, sf_dir, "events"), "value", "event_type"))
 
 
-@register("chart_box_outlier_points_events")
+@register("chart_box_outlier_points_events", sql_rounded(f"""{_BOX_EVENTS}
+SELECT b.g AS event_type, b.v AS value FROM b JOIN f ON b.g = f.g WHERE b.v < f.lf OR b.v > f.uf""",
+    ["value"], ["event_type"]))
 def _boxpts(spark, sf_dir):
-    return K.box_outlier_points(table(spark, sf_dir, "events"), "value", "event_type")
+    return rounded(K.box_outlier_points(table(spark, sf_dir, "events"), "value", "event_type"))

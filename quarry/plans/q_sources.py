@@ -99,10 +99,16 @@ def _sink_summary(spark, sf_dir):
     return S.read_table(spark, path, fmt="csv")
 
 
-@register("sink_profile_json_orders")
+@register("sink_profile_json_orders", sql_rounded(" UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", '{t}' AS dtype, count(*) - count({c}) AS missing_count,
+        count(DISTINCT {c}) AS unique_count, count(DISTINCT {c}) * 100.0 / count(*) AS unique_percent FROM orders"""
+    for c, t in [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
+                 ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")]),
+    ["unique_percent"], ["column", "dtype", "missing_count", "unique_count"]))
 def _sink_json(spark, sf_dir):
     path = S.write_json(P.column_overview(table(spark, sf_dir, "orders")), S.scratch_path(spark, "profile-json"))
-    return S.read_table(spark, path, fmt="json")
+    back = S.read_table(spark, path, fmt="json")
+    return rounded(back.select("column", "dtype", "missing_count", "unique_count", "unique_percent"))
 
 
 @register("source_registry_orders", """SELECT count(*) AS "rows" FROM orders""")
