@@ -30,6 +30,7 @@ from quarry.operators.quality import ID_KEYWORDS, LEAKAGE_KEYWORDS, _any_sub
 from quarry.operators.roles import kind_of
 
 SEED = 42
+MAX_CLASSES = 1000
 
 
 # ---- M11/M12 split ---------------------------------------------------------------------------
@@ -204,7 +205,10 @@ def fit_model(df: DataFrame, target: str, predictors: list[str], kind: str = "ra
     key = key or data.columns
     if task == "classification":
         data = data.withColumn(target, F.col(target).cast("string"))
-        levels = [r[0] for r in data.select(target).distinct().orderBy(target).collect()]  # class labels
+        n_levels = data.agg(F.count_distinct(target)).first()[0]
+        if n_levels > MAX_CLASSES:  # labels are read to the driver below: keep them bounded
+            raise ValueError(f"{n_levels} classes; classification supports at most {MAX_CLASSES}.")
+        levels = [r[0] for r in data.select(target).distinct().orderBy(target).collect()]  # <= MAX_CLASSES
         if len(levels) < 2:
             raise ValueError("Classification needs at least two classes.")
         min_class = data.groupBy(target).count().agg(F.min("count")).first()[0]
