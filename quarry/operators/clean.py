@@ -13,6 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -185,7 +186,9 @@ def clean(df: DataFrame, drop_duplicates: bool = True, numeric_fill: str = "medi
           categorical_fill: str = "mode", convert_datetimes: bool = True, remove_outliers: bool = False,
           mode: str = "app") -> CleanResult:
     """The whole pipeline; returns the cleaned table and an audit table
-    ``(step_no, step, column, n_affected, note)``."""
+    ``(step_no, step, column, n_affected, note)``.  Intermediate typed tables
+    are persisted (MEMORY_AND_DISK); call ``result.data.unpersist()`` /
+    ``spark.catalog.clearCache()`` when done."""
     spark = df.sparkSession
     audit: list[tuple] = []
     cur = normalise_missing(trim_column_names(df), mode="app" if mode == "app" else "browser")
@@ -203,10 +206,14 @@ def clean(df: DataFrame, drop_duplicates: bool = True, numeric_fill: str = "medi
             cur = cur.withColumn(r["column"], parse_number(F.col(r["column"])))
         audit.append((2, "coerce_numeric", ",".join(r["column"] for r in votes) or None, len(votes),
                       f"Coerced {len(votes)} numeric-looking text column(s)"))
+    # The typed table feeds several passes (duplicates, fills, fences, counts):
+    # materialise it once instead of re-parsing the text for each of them.
+    typed = cur.persist(StorageLevel.MEMORY_AND_DISK)
+    cur = typed
     # C5/C6
     dups = P.duplicate_rows(cur).first()[0]
     if drop_duplicates and dups:
-        cur = cur.dropDuplicates()
+        cur = cur.dropDuplicates().persist(StorageLevel.MEMORY_AND_DISK)
     audit.append((3, "drop_duplicates" if drop_duplicates and dups else "detect_duplicates", None, int(dups),
                   f"{'Dropped' if drop_duplicates and dups else 'Detected'} {dups} duplicate row(s)"))
     # C7/C8 (statistics after de-duplication)
