@@ -85,3 +85,41 @@ def test_chi_square_invariants(spark, sf_dir):
     ct = A.crosstab(li, "l_returnflag", "l_linestatus")
     tot = ct.agg(F.sum("observed"), F.sum("expected")).first()
     assert tot[0] == pytest.approx(tot[1])
+
+
+def test_top_k_with_a_hot_key_matches_a_plain_window(spark):
+    from pyspark.sql import Window
+    from quarry.operators.topk import top_k
+    rows = [("hot", i % 997, i) for i in range(20000)] + [(f"k{j}", j, j) for j in range(50)]
+    df = spark.createDataFrame(rows, "key string, v long, id long")
+    order = [F.col("v").desc(), F.col("id").asc()]
+    got = top_k(df, ["key"], order, 5, ["id"], salts=16).select("key", "id", "rank")
+    w = Window.partitionBy("key").orderBy(*order)
+    want = df.withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("key", "id", "rank")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_two_valued_screen(spark):
+    from quarry.operators.roles import two_valued
+    df = spark.createDataFrame([(1, 5.0, 7, None), (2, 5.0, 9, None), (1, 5.0, 7, None)],
+                               "a int, b double, c int, d double")
+    assert two_valued(df, ["a", "b", "c", "d"]) == {"a": 2, "b": 1, "c": 2, "d": 0}
+
+
+def test_exact_split_size(spark, sf_dir):
+    from quarry.operators import model as M
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    n = o.count()
+    sp = M.split(o, ["o_orderkey"], test_size=0.25)
+    assert sp.filter("is_test").count() == math.ceil(n * 0.25)
+
+
+def test_too_many_classes_is_refused(spark, sf_dir):
+    from quarry.operators import model as M
+    with pytest.raises(ValueError):
+        M.MAX_CLASSES = 3
+        try:
+            M.fit_model(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_brand", ["p_size"], "decision_tree",
+                        key=["p_partkey"])
+        finally:
+            M.MAX_CLASSES = 1000
