@@ -57,3 +57,13 @@ def test_analyse_dispatch(spark, student):
     assert api.analyse(student, "missing_values").count() == 14
     assert api.stat_test(student, "kruskal", "G3", "school").first()["test"] == "kruskal"
     assert api.chart_data(student, "count", "school").count() == 2
+
+
+def test_unsupported_format_and_unknown_dataset(spark, sf_dir):
+    from quarry.sources import io as S
+    with pytest.raises(ValueError):
+        S.read_table(spark, "/nowhere/table.xlsx")
+    with pytest.raises(KeyError):
+        S.get(spark, "no_such_dataset_registered")
+    S.register(spark.read.parquet(f"{sf_dir}/region.parquet"), "quarry_region_test", persist=False)
+    assert S.get(spark, "quarry_region_test").count() == 5
