@@ -174,7 +174,9 @@ def iqr_filter(df: DataFrame, columns: list[str] | None = None) -> tuple[DataFra
     """Drop a row when any numeric value lies outside its column's fences
     (fences from the same pre-filter table; nulls pass).  Fences are one row
     per column, applied as literals."""
-    fences = [r for r in iqr_fences(df, columns).collect() if r["lower_fence"] is not None]
+    pos = {c: i for i, c in enumerate(df.columns)}
+    fences = sorted((r for r in iqr_fences(df, columns).collect() if r["lower_fence"] is not None),
+                    key=lambda r: pos[r["column"]])  # schema order, for a deterministic audit
     if not fences:
         return df, []
     keep = reduce(lambda a, b: a & b, [F.col(r["column"]).cast("double").between(r["lower_fence"], r["upper_fence"]) |

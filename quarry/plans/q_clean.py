@@ -125,7 +125,33 @@ def _iqr(spark, sf_dir):
     return kept.select("l_orderkey", "l_linenumber")
 
 
-@register("clean_audit_orders_dup")
+def _audit_sql():
+    nums = ["o_orderkey", "o_custkey", "o_totalprice"]
+    dd = f"(SELECT DISTINCT * FROM {FX.ORDERS_DUP_SQL})"
+    fences = " UNION ALL ".join(
+        f"""SELECT {i} AS pos, '{c}' AS c, quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS lf,
+            quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS uf
+            FROM {dd} d HAVING count(DISTINCT {c}) > 2 AND quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) <> 0"""
+        for i, c in enumerate(nums))
+    keep = " AND ".join(
+        f"(NOT EXISTS (SELECT 1 FROM f WHERE f.c = '{c}') OR d.{c} IS NULL OR d.{c} BETWEEN "
+        f"(SELECT lf FROM f WHERE f.c = '{c}') AND (SELECT uf FROM f WHERE f.c = '{c}'))" for c in nums)
+    return f"""WITH f AS ({fences}),
+      dups AS (SELECT (SELECT count(*) FROM {FX.ORDERS_DUP_SQL}) - (SELECT count(*) FROM {dd}) AS n),
+      kept AS (SELECT count(*) AS n FROM {dd} d WHERE {keep})
+    SELECT 1 AS step_no, 'convert_datetime' AS step, NULL::VARCHAR AS "column", 0::BIGINT AS n_affected,
+           'Converted 0 probable datetime column(s)' AS note
+    UNION ALL SELECT 2, 'coerce_numeric', NULL, 0, 'Coerced 0 numeric-looking text column(s)'
+    UNION ALL SELECT 3, CASE WHEN n > 0 THEN 'drop_duplicates' ELSE 'detect_duplicates' END, NULL, n,
+           CASE WHEN n > 0 THEN 'Dropped ' ELSE 'Detected ' END || n || ' duplicate row(s)' FROM dups
+    UNION ALL SELECT 4, 'fill_numeric', NULL, 0, 'numeric fill: median'
+    UNION ALL SELECT 5, 'fill_categorical', NULL, 0, 'categorical fill: mode'
+    UNION ALL SELECT 6, 'remove_outliers', (SELECT string_agg(c, ',' ORDER BY pos) FROM f),
+           (SELECT count(*) FROM {dd}) - kept.n, 'Removed ' || ((SELECT count(*) FROM {dd}) - kept.n) ||
+           ' row(s) with IQR outliers' FROM kept"""
+
+
+@register("clean_audit_orders_dup", _audit_sql())
 def _audit(spark, sf_dir):
     return C.clean(FX.orders_dup(spark, sf_dir), remove_outliers=True).audit
 
