@@ -8,6 +8,8 @@ from quarry.operators import route as R
 from quarry.plans.catalog import register, table
 
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
+# the events table's columns: `ts` occurs (as a compact match) in the conversation texts
+EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 
 
 def _cond_sql(q: str, phrases: list[str]) -> str:
@@ -81,7 +83,26 @@ def _route(spark, sf_dir):
         "conv_id", "turn", "intent", "confidence", "method", "columns", "target", "predictors", "missing_roles")
 
 
-@register("route_column_mentions_conversations")
+def _mentions_sql(cols: list[str]) -> str:
+    parts = []
+    for c in cols:
+        L = len(c)
+        lc = c.lower()
+        norm = "".join(ch for ch in lc if ch.isalnum() and ch.isascii())
+        boundary = (f"list_filter(range(1, length(text) - {L} + 2), lambda i: lower(substr(text, i, {L})) = '{lc}' "
+                    f"AND (i = 1 OR NOT regexp_matches(substr(text, i - 1, 1), '[A-Za-z0-9_]')) "
+                    f"AND (i + {L} > length(text) OR NOT regexp_matches(substr(text, i + {L}, 1), '[A-Za-z0-9_]')))")
+        compact = f"contains(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g'), '{norm}')" if norm else "false"
+        parts.append(f"""SELECT conv_id, turn, '{c}' AS name, {L} AS l,
+            CASE WHEN len({boundary}) > 0 THEN {boundary}[1] - 1
+                 WHEN strpos(lower(text), '{lc}') > 0 THEN strpos(lower(text), '{lc}') - 1 ELSE 10000 END AS p,
+            len({boundary}) > 0 OR {compact} AS hit FROM conversations""")
+    return f"""SELECT c.conv_id, c.turn, coalesce(m.cols, []::VARCHAR[]) AS columns FROM conversations c LEFT JOIN (
+        SELECT conv_id, turn, list(name ORDER BY p, l, name) AS cols FROM ({' UNION ALL '.join(parts)}) WHERE hit
+        GROUP BY 1, 2) m ON c.conv_id = m.conv_id AND c.turn = m.turn"""
+
+
+@register("route_column_mentions_conversations", _mentions_sql(EVENT_COLUMNS))
 def _mentions(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").withColumn("qid", F.concat_ws(":", "conv_id", "turn"))
-    return R.column_mentions(c, "qid", "text", DOC_COLUMNS).select("conv_id", "turn", "columns")
+    return R.column_mentions(c, "qid", "text", EVENT_COLUMNS).select("conv_id", "turn", "columns")
