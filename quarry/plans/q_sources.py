@@ -89,14 +89,24 @@ def _sink_clean(spark, sf_dir):
     return back.agg(F.count(F.lit(1)).alias("rows"), F.count("o_totalprice").alias("priced"))
 
 
-@register("sink_combined_summary_lineitem")
+@register("sink_combined_summary_lineitem", sql_rounded("""
+    SELECT 'numeric' AS "table", 'l_quantity' AS "column", count(l_quantity) AS "count", avg(l_quantity) AS mean,
+           NULL::BIGINT AS unique_count, NULL::VARCHAR AS top_value FROM lineitem
+    UNION ALL SELECT 'numeric', 'l_discount', count(l_discount), avg(l_discount), NULL, NULL FROM lineitem
+    UNION ALL SELECT 'categorical', 'l_returnflag', NULL, NULL, count(DISTINCT l_returnflag),
+           (SELECT l_returnflag FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) FROM lineitem
+    UNION ALL SELECT 'categorical', 'l_linestatus', NULL, NULL, count(DISTINCT l_linestatus),
+           (SELECT l_linestatus FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) FROM lineitem""",
+    ["mean"], ["table", "column", "count", "unique_count", "top_value"]))
 def _sink_summary(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     comb = S.combined_summary(P.numeric_profile(li, ["l_quantity", "l_discount"]),
                               P.categorical_profile(li.select("l_returnflag", "l_linestatus")))
     path = S.write_csv(comb.select("table", "column", "count", "mean", "unique_count", "top_value"),
                        S.scratch_path(spark, "summary"))
-    return S.read_table(spark, path, fmt="csv")
+    back = S.read_table(spark, path, fmt="csv")
+    return rounded(back.select("table", "column", F.col("count").cast("long").alias("count"), "mean",
+                               F.col("unique_count").cast("long").alias("unique_count"), "top_value"))
 
 
 @register("sink_profile_json_orders", sql_rounded(" UNION ALL ".join(
