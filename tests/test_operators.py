@@ -123,3 +123,12 @@ def test_too_many_classes_is_refused(spark, sf_dir):
                         key=["p_partkey"])
         finally:
             M.MAX_CLASSES = 1000
+
+
+def test_chi_square_without_grid_matches_grid(spark, sf_dir):
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    cols = ["chi2", "dof", "p_value", "cramers_v", "min_expected", "low_expected_cells", "sparse_cells", "n"]
+    a = A.chi_square(ev, "event_type", "user_id").select(*cols).first()
+    b = A.chi_square(ev, "event_type", "user_id", grid_cells=0).select(*cols).first()
+    for c in cols:
+        assert b[c] == pytest.approx(a[c], rel=1e-9), c
