@@ -47,12 +47,15 @@ def value_counts(df: DataFrame, columns: list[str], cast: str = "double",
 
 def cumulative_counts(counts: DataFrame, keys: list[str], value: str = "value", n: str = "n",
                       single_task_rows: int = SINGLE_TASK_ROWS,
-                      rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+                      rows_per_range: int = ROWS_PER_RANGE, widest: int | None = None) -> DataFrame:
     """Add ``cum_before`` (rows with a smaller value under the same keys) and
-    ``total`` (rows under the same keys) to a ties-collapsed count table."""
+    ``total`` (rows under the same keys) to a ties-collapsed count table.
+    ``widest`` (the largest number of distinct values under one key) may be
+    passed when the caller already knows it."""
     spark = counts.sparkSession
     per_key = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"))
-    widest = per_key.agg(F.max("_d")).first()[0] or 0
+    if widest is None:
+        widest = per_key.agg(F.max("_d")).first()[0] or 0
     if widest <= single_task_rows:
         # one task per key holds at most ``single_task_rows`` distinct values:
         # sort + running sum with numpy inside the task (faster than Window)
