@@ -49,8 +49,8 @@ def _result(one: DataFrame, test: str, stat, p, n, valid, message: str, extra: l
 
 def _first_two(m: DataFrame) -> DataFrame:
     """Moments of the first two groups in label order, as one row."""
-    w = Window.orderBy("g")  # one row per group: bounded
-    r = m.withColumn("_i", F.row_number().over(w))
+    w = Window.orderBy("g")
+    r = m.orderBy("g").limit(2).withColumn("_i", F.row_number().over(w))  # distributed top-2, then 2 rows
     k = m.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n_all"))
     a = r.filter("_i = 1").select(F.col("g").alias("g1"), F.col("n").alias("n1"), F.col("mean").alias("m1"),
                                   F.col("var").alias("v1"))
@@ -117,8 +117,8 @@ def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
     continuity-corrected normal approximation."""
     gv = grouped_values(df, value, group)
     sums, ties = _rank_sums(gv)
-    w = Window.orderBy("g")  # one row per group: bounded
-    s = sums.withColumn("_i", F.row_number().over(w))
+    w = Window.orderBy("g")
+    s = sums.orderBy("g").limit(2).withColumn("_i", F.row_number().over(w))  # distributed top-2, then 2 rows
     k = sums.agg(F.count(F.lit(1)).alias("k"))
     a = s.filter("_i = 1").select(F.col("rank_sum").alias("r1"), F.col("n").alias("n1"))
     b = s.filter("_i = 2").select(F.col("n").alias("n2"))

@@ -185,7 +185,13 @@ def frequency_table(df: DataFrame, columns: list[str], top: int | None = None, p
     if top is not None:
         ranked = top_k(h, ["column"], order, top, ["value"])
     else:
-        ranked = h.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(*order)))
+        # count-descending rank of every level from the rank engine (levels
+        # of a near-unique column never meet in one task)
+        keyed = h.withColumn("_o", F.struct((-F.col("n")).alias("negn"), F.col("value").alias("v"))) \
+            .withColumnRenamed("n", "_cnt").withColumn("n", F.lit(1))
+        ranked = (ranks.cumulative_counts(keyed, ["column"], value="_o")
+                  .withColumn("rank", F.col("cum_before") + 1).drop("n", "cum_before", "total", "_o")
+                  .withColumnRenamed("_cnt", "n"))
     return (ranked.join(F.broadcast(tot), "column")
             .withColumn("percent", safe_pct(F.col("n"), F.col(denom)))
             .select("column", "value", F.col("n").cast("long").alias("count"), "percent",
@@ -376,8 +382,11 @@ def top_bottom(df, column: str, n: int = 10, key: list[str] | None = None) -> Da
 
 def distinct_in_first_order(df, column: str, order: list[str]) -> DataFrame:
     """Distinct values ordered by their first appearance under ``order``."""
-    first = df.groupBy(column).agg(F.min(F.struct(*[F.col(c) for c in order])).alias("_first"))
-    return first.select(column, F.row_number().over(Window.orderBy("_first")).alias("first_position"))
+    first = (df.groupBy(column).agg(F.min(F.struct(*[F.col(c) for c in order])).alias("_first"))
+             .withColumn("n", F.lit(1)).withColumn("_k", F.lit(0)))
+    # positions from the rank engine (no single-task global window)
+    cum = ranks.cumulative_counts(first, ["_k"], value="_first")
+    return cum.select(column, (F.col("cum_before") + 1).cast("int").alias("first_position"))
 
 
 def melt(df, id_cols: list[str], value_cols: list[str], var: str = "variable", val: str = "value") -> DataFrame:

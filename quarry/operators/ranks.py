@@ -56,6 +56,13 @@ def cumulative_counts(counts: DataFrame, keys: list[str], value: str = "value",
     per_key = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"))
     if widest is None:
         widest = per_key.agg(F.max("_d")).first()[0] or 0
+    atomic = not isinstance(counts.schema[value].dataType, (T.StructType, T.ArrayType, T.MapType))
+    if widest <= single_task_rows and not atomic:
+        w = Window.partitionBy(*keys).orderBy(value)
+        return (counts
+                .withColumn("cum_before", F.coalesce(
+                    F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
+                .withColumn("total", F.sum(n).over(Window.partitionBy(*keys)).cast("long")))
     if widest <= single_task_rows:
         # one task per key holds at most ``single_task_rows`` distinct values:
         # sort + running sum with numpy inside the task (faster than Window)
