@@ -132,3 +132,23 @@ def test_chi_square_without_grid_matches_grid(spark, sf_dir):
     b = A.chi_square(ev, "event_type", "user_id", grid_cells=0).select(*cols).first()
     for c in cols:
         assert b[c] == pytest.approx(a[c], rel=1e-9), c
+
+
+def test_struct_valued_ranks_range_path_matches_window(spark, sf_dir):
+    """Full frequency ranks use a (-count, value) struct key; the range
+    partitioned path must give the same ranks as the bounded path."""
+    from quarry.operators import ranks as RK
+    h = P.value_hist(spark.read.parquet(f"{sf_dir}/part.parquet"), ["p_type", "p_brand", "p_size"])
+    keyed = h.withColumn("_o", F.struct((-F.col("n")).alias("negn"), F.col("value").alias("v"))) \
+        .drop("n").withColumn("n", F.lit(1))
+    a = RK.cumulative_counts(keyed, ["column"], value="_o").select("column", "value", "cum_before")
+    b = RK.cumulative_counts(keyed, ["column"], value="_o", single_task_rows=0, rows_per_range=7) \
+        .select("column", "value", "cum_before")
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_frequency_ranks_are_dense_and_count_descending(spark, sf_dir):
+    f = P.frequency_table(spark.read.parquet(f"{sf_dir}/part.parquet"), ["p_brand"]).orderBy("rank").collect()
+    assert [r["rank"] for r in f] == list(range(1, len(f) + 1))
+    for x, y in zip(f, f[1:]):
+        assert x["count"] > y["count"] or (x["count"] == y["count"] and x["value"] < y["value"])
