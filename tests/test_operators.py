@@ -152,3 +152,22 @@ def test_frequency_ranks_are_dense_and_count_descending(spark, sf_dir):
     assert [r["rank"] for r in f] == list(range(1, len(f) + 1))
     for x, y in zip(f, f[1:]):
         assert x["count"] > y["count"] or (x["count"] == y["count"] and x["value"] < y["value"])
+
+
+def test_streaming_moments_match_batch(spark, sf_dir):
+    from quarry.sources.io import scratch_path
+    from quarry.streaming.moments import run_available_now
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    src = scratch_path(spark, "stream-test-src")
+    ev.write.parquet(src)
+    out = run_available_now(spark, src, ev.schema, scratch_path(spark, "stream-test-sink"),
+                            name=src.rsplit("/", 1)[-1])
+    got = {(r["event_type"], r["window_start"]): r for r in out.collect()}
+    want = (ev.groupBy(F.date_trunc("day", "ts").alias("d"), "event_type")
+            .agg(F.avg("value").alias("m"), F.var_samp("value").alias("v"), F.count("value").alias("n")).collect())
+    assert len(got) == len(want)
+    for w in want:
+        g = got[(w["event_type"], w["d"])]
+        assert g["n"] == w["n"] and g["mean"] == pytest.approx(w["m"], rel=1e-9)
+        if w["v"] is not None:
+            assert g["variance"] == pytest.approx(w["v"], rel=1e-6, abs=1e-9)
