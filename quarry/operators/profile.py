@@ -56,7 +56,8 @@ def moments(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quantile_table(df: DataFrame, columns: list[str], probs: list[float], names: list[str],
-                   method: str = "exact", accuracy: int = 100_000, counts: DataFrame | None = None) -> DataFrame:
+                   method: str = "exact", accuracy: int = 100_000, counts: DataFrame | None = None,
+                   widest: int | None = None) -> DataFrame:
     """Per-column quantiles; ``exact`` by cumulative counts of distinct values,
     ``approx`` by ``percentile_approx`` (bounded-memory sketch)."""
     if method == "approx":
@@ -65,7 +66,7 @@ def quantile_table(df: DataFrame, columns: list[str], probs: list[float], names:
             F.percentile_approx("value", probs, accuracy).alias("_q")).select(
             "column", *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
     counts = counts if counts is not None else ranks.value_counts(df, columns)
-    cum = ranks.cumulative_counts(counts, ["column"])
+    cum = ranks.cumulative_counts(counts, ["column"], widest=widest)
     return ranks.exact_quantiles(cum, ["column"], probs, names=names)
 
 
@@ -81,10 +82,15 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None, skew_kind:
         return spark.createDataFrame([], "column string")
     mom = moments(df, cols)
     counts = ranks.value_counts(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
-    qs = quantile_table(df, cols, [0.25, 0.5, 0.75], ["q1", "median", "q3"], quantiles, counts=counts)
-    per = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"),
-                                       F.min(F.struct((-F.col("n")).alias("negn"), F.col("value").alias("v")))["v"]
-                                       .alias("mode"))
+    # distinct count and mode per column (one row per column, read once); the
+    # largest distinct count is the widest key of the rank engine
+    per_rows = counts.groupBy("column").agg(
+        F.count(F.lit(1)).alias("distinct_count"),
+        F.min(F.struct((-F.col("n")).alias("negn"), F.col("value").alias("v")))["v"].alias("mode")).collect()
+    per = spark.createDataFrame(per_rows, "column string, distinct_count long, mode double")
+    widest = max((r["distinct_count"] for r in per_rows), default=0)
+    qs = quantile_table(df, cols, [0.25, 0.5, 0.75], ["q1", "median", "q3"], quantiles, counts=counts,
+                        widest=widest)
     # One row per column: collected (bounded by the column count) so the
     # fences enter the outlier count as literals instead of re-running the
     # quantile plan in a second branch.
