@@ -170,3 +170,15 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     out = rows_.join(low, "top", "left")
     comp = F.when(F.col("top").isNull(), F.col("doc_id")).otherwise(F.col("low"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """One row of each group of near duplicates, with all columns of ``docs``: the one with the smallest doc_id.
+
+    Rows without words stay; of exactly repeated rows one stays.  A row without a doc_id stays only if its whole group has none.
+    """
+    verdict = near_duplicates(docs, **options)
+    ids = verdict.where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    own = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), F.lit(":"), F.coalesce("text", F.lit(""))), 256)
+    return (docs.join(ids, docs.doc_id.eqNullSafe(ids["__id"]), "left_semi").withColumn("__own", own)
+            .dropDuplicates(["__own"]).drop("__own"))

@@ -46,3 +46,27 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_spans(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept_bytes")).cast("long").alias("n_removed"),
                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+@query("op2_source_mixture")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.mixing import mixture
+    return mixture(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_bpe_round_trip")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    from quarry.llm.bpe import decoder, encode
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ids = encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, P.PATTERN).drop("text")
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                      F.sha2(decoder(ids, path)("ids"), 256).alias("decoded_sha256"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
