@@ -70,3 +70,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op1_toxicity_grammar")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.toxicity import toxicity
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query("op5_license_notices")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.license import scan
+    return scan(_table(spark, sf_dir, "documents")).drop("spans")
