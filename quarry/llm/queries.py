@@ -82,3 +82,24 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.license import scan
     return scan(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op4_balanced_posting_lists")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.ann import search
+    return search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op6_token_length_histogram")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each encoded length, which is also a context limit."""
+    import public_tokenizers as P
+
+    from quarry.llm.lengths import histogram, limits
+    return limits(histogram(_table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN))
+
+
+@query("op9_page_language")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.langid import identify
+    return identify(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
