@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from quarry.llm.scratch import save
 
 SAMPLE, MAX_LISTS, LIST_TARGET, LIST_MAX = 16384, 4096, 400, 4000
-REPLICA_RATIO, MAX_REPLICAS, PROBE_RATIO, LEAST_LISTS = 1.08, 4, 1.22, 8
+REPLICA_RATIO, MAX_REPLICAS, PROBE_RATIO, LEAST_LISTS = 1.08, 4, 1.10, 8
 DEGREE, LONG_LINKS, BEAM = 16, 4, 24
 
 
