@@ -11,10 +11,11 @@ is cut into bands; documents that agree in a band are candidates.
 
 Candidates are confirmed on the full shingle sets.  To avoid all pairs within a
 bucket, each bucket is first compared with two of its members (the one that
-shares most buckets with others, and the smallest); links give components, and
-only pairs of one bucket that are still in different components are compared
-after that.  So no pair of different texts that shares a band goes unexamined
-unless its two ends are already connected by confirmed links.
+shares most buckets with others, and the smallest), and links give components.
+Buckets that still hold several components are settled by an exact prefix filter:
+a document outside its bucket's largest component is compared with every one
+it can be similar enough to.  So no pair that shares a band goes unexamined unless its
+two ends are already connected by confirmed links or too far apart by count.
 
 With 42 bands of 6 rows a pair of similarity 0.8 shares no band with
 probability 3e-6.
@@ -112,6 +113,72 @@ def _confirm(width: int, percent: int):
     return run
 
 
+#: Relative width of the size classes that the prefix filter tells apart.
+CLASS_WIDTH = 1.05
+
+
+def _tokens(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, node = b.column("text").to_pylist(), b.column("node").to_numpy()
+            for lo, hi in K.pieces([len(t) for t in texts]):
+                e, off = K.shingle_sets([t.encode().translate(K.LOWER) for t in texts[lo:hi]], width)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node[lo:hi], np.diff(off))), pa.array(e.view(np.int64))], names=["node", "token"])
+    return run
+
+
+def _prefix_keys(percent: int, probing: bool):
+    """A row for each token of a node's prefix and each size class of possible partners."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = [1]
+        for b in batches:
+            out: list[np.ndarray] = []
+            at: list[np.ndarray] = []
+            rest: list[np.ndarray] = []
+            for i, (n, tokens) in enumerate(zip(b.column("n").to_pylist(), b.column("tokens"), strict=True)):
+                least, most = -(-percent * n // 100), 100 * n // percent
+                while low[-1] <= most:
+                    low.append(max(low[-1] + 1, int(low[-1] * CLASS_WIDTH)))
+                tok = np.asarray(tokens.values).view(U)
+                own = int(np.searchsorted(low, n, side="right")) - 1
+                for other in range(int(np.searchsorted(low, least, side="right")) - 1, int(np.searchsorted(low, most, side="right"))):
+                    need = -(-percent * (n + max(low[other], least)) // (100 + percent))
+                    length = n - need + 1 - (n - len(tok))  # tokens that no other node has come first and can't match
+                    if length > 0:
+                        x, y = (own, other) if probing else (other, own)
+                        out.append(K.mix(tok[:length] + U((x << 20 | y) * 0x9E3779B97F4A7C15 & (2**64 - 1))))
+                        at.append(np.full(length, i))
+                        rest.append(len(tok) - np.arange(length))
+            if out:
+                take = pa.array(np.concatenate(at))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), *(b.column(c).take(take) for c in ("node", "root", "probe", "n")), pa.array(np.concatenate(rest))],
+                                                 names=["token", "node", "root", "probe", "n", "rest"])
+    return run
+
+
+def _prefix_pairs(nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): the pairs of a probing node and any other node of another root that the prefix filter leaves.
+
+    ``nodes``: node, root, probe, n, text.  Tokens are sorted by the number of nodes that have them, rarest
+    first.  Two sets that are similar enough must share one of their first n - need + 1 tokens, where need
+    is the least overlap for a partner of that size class.  In a group of near copies that differ from one
+    text in places of their own, the first tokens of a far copy are its own changes, so it meets few others.
+    """
+    tokens = save(nodes.select("node", "text").mapInArrow(_tokens(width), "node long, token long"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    sorted_ = (tokens.join(often, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("t"))
+               .select("node", F.col("t.token").alias("tokens")))
+    sorted_ = save(sorted_.join(nodes.select("node", "root", "probe", "n"), "node"))
+    kind = "token long, node long, root long, probe int, n long, rest long"
+    x = sorted_.where("probe = 1").mapInArrow(_prefix_keys(percent, True), kind).alias("x")
+    y = sorted_.mapInArrow(_prefix_keys(percent, False), kind).alias("y")
+    once = (F.col("x.root") != F.col("y.root")) & ((F.col("y.probe") == 0) | (F.col("x.node") < F.col("y.node")))
+    # if this is the first token they share, they share no more than what follows in either
+    once &= (100 + percent) * F.least("x.rest", "y.rest") >= percent * (F.col("x.n") + F.col("y.n"))
+    return (x.join(y, (F.col("x.token") == F.col("y.token")) & once)
+            .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles,
     component_id, kept.  Links need 100 * intersection >= percent * union."""
@@ -145,18 +212,15 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
 
     roots = save(components(confirmed(star)))
 
-    # what is left: pairs of one bucket whose ends are still in different components
+    # what is left: buckets that still hold several components, other than the largest in each
     tagged = placed.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     split = tagged.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     tagged = save(tagged.join(split, "key"))
     main = (tagged.groupBy("key", "root").agg(F.count("*").alias("c"))
             .groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main")))
-    rest = tagged.join(main, "key")
-    x = rest.where("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("rx"))
-    y = rest.select("key", F.col("node").alias("y"), F.col("root").alias("ry"), "main")
-    cross = (x.join(y, (x.key == y.key) & (F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("main")) | (F.col("x") < F.col("y"))))
-             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "rx", "ry").distinct())
-    more = confirmed(cross.select("a", "b"))
+    open_nodes = (tagged.join(main, "key").groupBy("node", "root").agg(F.max((F.col("root") != F.col("main")).cast("int")).alias("probe")))
+    cross = _prefix_pairs(open_nodes.join(texts, "node"), width, percent)
+    more = confirmed(cross)
     tag = tagged.select("node", "root").distinct()
     more = (more.join(tag.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
             .join(tag.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
