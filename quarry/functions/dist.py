@@ -1,313 +1,179 @@
-"""Tail probabilities as Column expressions.
-
-Spark SQL has no gamma, beta or erf function, so the regularised incomplete
-beta and gamma functions are written as fixed-length continued fractions
-(modified Lentz) folded with ``aggregate(sequence(..))``; log-gamma is the
-Lanczos approximation.  Everything stays inside Catalyst: no Python UDF.
-Results are evaluated per result row (one row per test), never per data row.
+"""Tail probabilities as SQL expressions (T12), evaluated once per result row.
+
+Spark SQL has no incomplete gamma or beta function.  Both are written here as
+text for one parse; formulas are those of the Digital Library of Mathematical
+Functions (DLMF), by their numbers.
+
+* Moderate parameters: the power series (8.7.1) or continued fraction (8.9.2) of
+  the incomplete gamma function, and the continued fraction of the incomplete
+  beta function (8.17.22).  Each is folded from its innermost term outwards over
+  a sequence whose length grows with the square root of the smaller parameter.
+* From LARGE on: the uniform expansions in terms of the normal tail (8.12.3, 8.18.9),
+  whose error falls with the parameter.  So there is no limit on sizes.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import count
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Lanczos approximation, g = 7, nine coefficients (public constants).
-LANCZOS_G = 7.0
-LANCZOS_COEF = [
-    0.99999999999980993, 676.5203681218851, -1259.1392167224028,
-    771.32342877765313, -176.61502916214059, 12.507343278686905,
-    -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7,
-]
-TINY = 1e-300
-STEPS = 1500
-
-
-def _c(x) -> Column:
-    return x if isinstance(x, Column) else F.lit(float(x))
-
-
-def _lgamma_pos(x: Column) -> Column:
-    """log Gamma(x) for x >= 0.5."""
-    z = x - 1.0
-    a = F.lit(LANCZOS_COEF[0])
-    for i, coef in enumerate(LANCZOS_COEF[1:], start=1):
-        a = a + F.lit(coef) / (z + float(i))
-    t = z + LANCZOS_G + 0.5
-    return F.lit(0.5 * math.log(2 * math.pi)) + (z + 0.5) * F.log(t) - t + F.log(a)
-
-
-def lgamma(x) -> Column:
-    """log |Gamma(x)|, with the reflection formula below 0.5."""
-    x = _c(x)
-    refl = F.log(F.lit(math.pi) / F.abs(F.sin(F.lit(math.pi) * x))) - _lgamma_pos(1.0 - x)
-    return F.when(x < 0.5, refl).otherwise(_lgamma_pos(x))
-
-
-def _fix(v: Column) -> Column:
-    return F.when(F.abs(v) < TINY, F.lit(TINY)).otherwise(v)
-
-
-def _betacf(a: Column, b: Column, x: Column, steps: int = STEPS) -> Column:
-    """Continued fraction of the incomplete beta, one half-step per element."""
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    d0 = 1.0 / _fix(1.0 - qab * x / qap)
-    init = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"))
-
-    def step(acc, j):
-        m = F.ceil(j / 2.0).cast("double")
-        m2 = 2.0 * m
-        odd = (j % 2) == 1
-        aa = F.when(odd, m * (b - m) * x / ((qam + m2) * (a + m2))).otherwise(
-            -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2)))
-        d = 1.0 / _fix(1.0 + aa * acc["d"])
-        c = _fix(1.0 + aa / acc["c"])
-        return F.struct(c.alias("c"), d.alias("d"), (acc["h"] * d * c).alias("h"))
-
-    return F.aggregate(F.sequence(F.lit(1), 2 * _n_iter(F.greatest(a, b), steps)), init, step, lambda acc: acc["h"])
-
-
-def _n_iter(size: Column, cap: int) -> Column:
-    """Iterations for a continued fraction / series whose convergence needs
-    O(sqrt(size)) terms: 30 + 6 sqrt(size), at most ``cap``."""
-    return F.least(F.lit(cap), (F.lit(30.0) + 6.0 * F.sqrt(F.abs(size))).cast("int"))
-
-
-def _lgammacor(x: Column) -> Column:
-    """Stirling remainder lgamma(x) - ((x - .5) ln x - x + .5 ln 2 pi), x >= 10."""
-    x2 = x * x
-    return 1.0 / (12.0 * x) - 1.0 / (360.0 * x * x2) + 1.0 / (1260.0 * x * x2 * x2) - 1.0 / (1680.0 * x * x2 * x2 * x2)
-
-
-def lbeta(a, b) -> Column:
-    """log Beta(a, b) without the cancellation of three huge log-gammas."""
-    a, b = _c(a), _c(b)
-    p, q = F.least(a, b), F.greatest(a, b)
-    both = (-0.5 * F.log(q) + 0.5 * math.log(2 * math.pi) + _lgammacor(p) + _lgammacor(q) - _lgammacor(p + q)
-            + (p - 0.5) * F.log(p / (p + q)) + q * F.log1p(-p / (p + q)))
-    one = (lgamma(p) + _lgammacor(q) - _lgammacor(p + q) + p - p * F.log(p + q)
-           + (q - 0.5) * F.log1p(-p / (p + q)))
-    return (F.when(p >= 10, both).when(q >= 10, one)
-            .otherwise(lgamma(p) + lgamma(q) - lgamma(p + q)))
-
-
-def betainc(a, b, x) -> Column:
-    """Regularised incomplete beta I_x(a, b)."""
-    a, b, x = _c(a), _c(b), _c(x)
-    lbeta_ab = lbeta(a, b)
-    front = F.exp(a * F.log(x) + b * F.log(1.0 - x) - lbeta_ab)
-    direct = front * _betacf(a, b, x) / a
-    mirror = 1.0 - front * _betacf(b, a, 1.0 - x) / b
-    return (F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0))
-            .when(x < (a + 1.0) / (a + b + 2.0), direct).otherwise(mirror))
+#: From this parameter on the uniform expansions hold to better than 1e-10.
+LARGE = 10_000.0
+_LN_2PI = math.log(2 * math.pi)
+# First Taylor coefficients of the expansion's terms about the mean (8.12.12 and following).
+_C0 = (-1 / 3, 1 / 12, -2 / 135, 1 / 864, 1 / 2835, -139 / 777600)
+_C1 = (-1 / 540, -1 / 288, 1 / 378, -77 / 77760)
 
+_fresh = count()
 
-def _gser(a: Column, x: Column, steps: int = STEPS) -> Column:
-    init = F.struct((1.0 / a).alias("term"), (1.0 / a).alias("sum"))
 
-    def step(acc, j):
-        term = acc["term"] * x / (a + j.cast("double"))
-        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+def _let(body, **values: str) -> str:
+    """``body`` as a function of names bound once to the given expressions."""
+    row = f"v{next(_fresh)}"
+    fields = ", ".join(f"'{k}', CAST({v} AS DOUBLE)" for k, v in values.items())
+    return f"transform(array(named_struct({fields})), {row} -> {body(*(f'{row}.{k}' for k in values))})[0]"
 
-    total = F.aggregate(F.sequence(F.lit(1), _n_iter(F.greatest(a, x), steps)), init, step,
-                        lambda acc: acc["sum"])
-    return total * F.exp(-x + a * F.log(x) - lgamma(a))
 
+def _poly(z: str, coefficients: tuple[float, ...]) -> str:
+    out = f"{coefficients[-1]!r}D"
+    for c in reversed(coefficients[:-1]):
+        out = f"({c!r}D + {z} * {out})"
+    return out
 
-def _gcf(a: Column, x: Column, steps: int = STEPS) -> Column:
-    b0 = x + 1.0 - a
-    init = F.struct(b0.alias("b"), F.lit(1.0 / TINY).alias("c"), (1.0 / _fix(b0)).alias("d"),
-                    (1.0 / _fix(b0)).alias("h"))
 
-    def step(acc, i):
-        i = i.cast("double")
-        an = -i * (i - a)
-        b = acc["b"] + 2.0
-        d = 1.0 / _fix(an * acc["d"] + b)
-        c = _fix(b + an / acc["c"])
-        return F.struct(b.alias("b"), c.alias("c"), d.alias("d"), (acc["h"] * d * c).alias("h"))
+def _fold(n: str, start: str, step) -> str:
+    """``step(value, j)`` for j = n, n - 1, .. 1, beginning with ``start``."""
+    f, j = f"f{next(_fresh)}", f"j{next(_fresh)}"
+    return f"aggregate(sequence(CAST({n} AS INT), 1, -1), CAST({start} AS DOUBLE), ({f}, {j}) -> {step(f, j)})"
 
-    h = F.aggregate(F.sequence(F.lit(1), _n_iter(F.greatest(a, x), steps)), init, step, lambda acc: acc["h"])
-    return F.exp(-x + a * F.log(x) - lgamma(a)) * h
 
+def _stirling(x: str) -> str:
+    """ln Gamma(x) less its leading terms, for x >= 8 (5.11.1)."""
+    return f"((1 / 12D - (1 / 360D - (1 / 1260D - 1 / (1680D * {x} * {x})) / ({x} * {x})) / ({x} * {x})) / {x})"
 
-def gammaincc(a, x) -> Column:
-    """Regularised upper incomplete gamma Q(a, x)."""
-    a, x = _c(a), _c(x)
-    return (F.when(x <= 0, F.lit(1.0))
-            .when(x < a + 1.0, 1.0 - _gser(a, x)).otherwise(_gcf(a, x)))
 
+def _rising(x: str) -> str:
+    """ln of x (x + 1) .. (x + 7)."""
+    return "(" + " + ".join(f"ln({x} + {i}D)" for i in range(8)) + ")"
 
-def _clip01(v: Column) -> Column:
-    return F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
 
+def _ln_gamma(x: str) -> str:
+    """For x > 0: by the recurrence (5.5.1) from x + 8."""
+    return _let(lambda y: f"(({y} - 0.5D) * ln({y}) - {y} + {_LN_2PI / 2!r}D + {_stirling(y)} - {_rising(f'({y} - 8D)')})", y=f"({x} + 8D)")
 
-def t_two_sided_p(t, dof) -> Column:
-    """P(|T| > |t|) for Student t with ``dof`` degrees of freedom."""
-    t, dof = _c(t), _c(dof)
-    return _clip01(betainc(dof / 2.0, F.lit(0.5), dof / (dof + t * t)))
 
+def _ln_beta(a: str, b: str) -> str:
+    """ln B(a, b) from B(a + 8, b + 8), where the large terms of the three log-gammas are cancelled by hand."""
+    def body(p: str, q: str) -> str:  # p <= q, both raised by 8
+        s = f"({p} + {q})"
+        main = (f"{_LN_2PI / 2!r}D - 0.5D * ln({q}) + ({p} - 0.5D) * ln({p} / {s}) + {q} * log1p(-{p} / {s}) "
+                f"+ {_stirling(p)} + {_stirling(q)} - {_stirling(s)}")
+        up_p = " + ".join(f"ln(({s} - {16 - i}D) / ({p} - {8 - i}D))" for i in range(8))  # p from its own value, q not yet raised
+        up_q = " + ".join(f"ln(({s} - {8 - i}D) / ({q} - {8 - i}D))" for i in range(8))
+        return f"({main} + {up_p} + {up_q})"
+    return _let(body, p=f"(least({a}, {b}) + 8D)", q=f"(greatest({a}, {b}) + 8D)")
 
-def chi2_sf(x, k) -> Column:
-    """P(X > x) for chi-square with k degrees of freedom."""
-    x, k = _c(x), _c(k)
-    return _clip01(gammaincc(k / 2.0, x / 2.0))
 
+def _gamma_q_moderate(a: str, x: str) -> str:
+    n = f"30 + 9 * sqrt({a})"
+    front = f"exp({a} * ln({x}) - {x} - {_ln_gamma(a)})"
+    series = f"(1D - {front} / {a} * {_fold(n, '1', lambda f, j: f'1D + {x} / ({a} + {j}) * {f}')})"
+    fraction = f"({front} / ({x} + 1D - {a} + {_fold(n, '0', lambda f, j: f'{j} * ({a} - {j}) / ({x} + 2D * {j} + 1D - {a} + {f})')}))"
+    return f"(CASE WHEN {x} <= 0 THEN 1D WHEN {x} < {a} + 1D THEN {series} ELSE {fraction} END)"
 
-def f_sf(f, d1, d2) -> Column:
-    """P(F > f) for the F distribution (d1, d2)."""
-    f, d1, d2 = _c(f), _c(d1), _c(d2)
-    return _clip01(F.when(f <= 0, F.lit(1.0)).otherwise(
-        betainc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))))
 
-
-def norm_two_sided_p(z) -> Column:
-    """P(|Z| > |z|) for the standard normal."""
-    z = _c(z)
-    return _clip01(gammaincc(F.lit(0.5), z * z / 2.0))
-
-
-# ---- SQL-text form ------------------------------------------------------------------------
-# Building the expressions above costs one JVM call per operator; for column
-# *names* the same algorithms are emitted as one SQL string (one parse).
-
-def _sql_lgamma_pos(x: str) -> str:
-    z = f"(({x}) - 1.0D)"
-    a = f"{LANCZOS_COEF[0]!r}D" + "".join(f" + ({c!r}D / ({z} + {i}.0D))" for i, c in enumerate(LANCZOS_COEF[1:], 1))
-    t = f"({z} + {LANCZOS_G + 0.5!r}D)"
-    return f"({0.5 * math.log(2 * math.pi)!r}D + ({z} + 0.5D) * ln({t}) - {t} + ln({a}))"
-
-
-def sql_lgamma(x: str) -> str:
-    return (f"(CASE WHEN ({x}) < 0.5D THEN ln({math.pi!r}D / abs(sin({math.pi!r}D * ({x})))) - "
-            f"{_sql_lgamma_pos(f'(1.0D - ({x}))')} ELSE {_sql_lgamma_pos(x)} END)")
-
-
-def _sql_n_iter(size: str, cap: int) -> str:
-    return f"least({cap}, CAST(30.0D + 6.0D * sqrt(abs({size})) AS INT))"
-
-
-def _sql_fix(v: str) -> str:
-    return f"(CASE WHEN abs({v}) < {TINY!r}D THEN {TINY!r}D ELSE {v} END)"
+def _normal_tail(z: str) -> str:
+    """P(Z > z)."""
+    half = _let(lambda h: f"(0.5D * {_gamma_q_moderate('0.5D', h)})", h=f"({z} * {z} / 2D)")
+    return f"(CASE WHEN {z} >= 0 THEN {half} ELSE 1D - {half} END)"
 
 
-def _sql_betacf(a: str, b: str, x: str, steps: int = STEPS) -> str:
-    qab, qap, qam = f"(({a}) + ({b}))", f"(({a}) + 1.0D)", f"(({a}) - 1.0D)"
-    d0 = f"(1.0D / {_sql_fix(f'(1.0D - {qab} * ({x}) / {qap})')})"
-    m = "CAST(ceil(j / 2.0D) AS DOUBLE)"
-    aa = (f"(CASE WHEN j % 2 = 1 THEN {m} * (({b}) - {m}) * ({x}) / (({qam} + 2.0D * {m}) * (({a}) + 2.0D * {m})) "
-          f"ELSE -(({a}) + {m}) * ({qab} + {m}) * ({x}) / ((({a}) + 2.0D * {m}) * ({qap} + 2.0D * {m})) END)")
-    d = f"(1.0D / {_sql_fix(f'(1.0D + {aa} * acc.d)')})"
-    c = _sql_fix(f"(1.0D + {aa} / acc.c)")
-    return (f"aggregate(sequence(1, 2 * {_sql_n_iter(f'greatest({a}, {b})', steps)}), "
-            f"named_struct('c', 1.0D, 'd', {d0}, 'h', {d0}), "
-            f"(acc, j) -> named_struct('c', {c}, 'd', {d}, 'h', acc.h * {d} * {c}), acc -> acc.h)")
+def _gamma_q_large(a: str, x: str) -> str:
+    def body(mu: str, eta: str) -> str:
+        c0 = f"(CASE WHEN abs({eta}) < 0.1D THEN {_poly(eta, _C0)} ELSE 1D / {mu} - 1D / {eta} END)"
+        return f"({_normal_tail(f'({eta} * sqrt({a}))')} + exp(-{a} * {eta} * {eta} / 2D - 0.5D * ln({2 * math.pi!r}D * {a})) * ({c0} + {_poly(eta, _C1)} / {a}))"
 
+    def with_mu(mu: str) -> str:
+        near = f"({mu} * {_poly(mu, (1.0, -1 / 3, 7 / 36, -73 / 540, 1331 / 12960))})"
+        eta = f"(CASE WHEN abs({mu}) < 0.001D THEN {near} ELSE signum({mu}) * sqrt(2D * ({mu} - log1p({mu}))) END)"
+        return _let(lambda m, e: body(m, e), m=mu, e=eta)
+    return f"(CASE WHEN {x} <= 0 THEN 1D ELSE {_let(with_mu, mu=f'(({x} - {a}) / {a})')} END)"
 
-def _sql_lgammacor(x: str) -> str:
-    return (f"(1.0D / (12.0D * {x}) - 1.0D / (360.0D * pow({x}, 3)) + 1.0D / (1260.0D * pow({x}, 5)) "
-            f"- 1.0D / (1680.0D * pow({x}, 7)))")
 
+def gamma_q(a: str, x: str) -> str:
+    """Regularised upper incomplete gamma function Q(a, x)."""
+    return _let(lambda p, y: f"(CASE WHEN {p} < {LARGE!r}D THEN {_gamma_q_moderate(p, y)} ELSE {_gamma_q_large(p, y)} END)", p=a, y=x)
 
-def sql_lbeta(a: str, b: str) -> str:
-    p, q = f"least({a}, {b})", f"greatest({a}, {b})"
-    pq = f"({a} + {b})"
-    both = (f"(-0.5D * ln({q}) + {0.5 * math.log(2 * math.pi)!r}D + {_sql_lgammacor(p)} + {_sql_lgammacor(q)} "
-            f"- {_sql_lgammacor(pq)} + ({p} - 0.5D) * ln({p} / {pq}) + {q} * log1p(-{p} / {pq}))")
-    one = (f"({sql_lgamma(p)} + {_sql_lgammacor(q)} - {_sql_lgammacor(pq)} + {p} - {p} * ln({pq}) "
-           f"+ ({q} - 0.5D) * log1p(-{p} / {pq}))")
-    return (f"(CASE WHEN {p} >= 10 THEN {both} WHEN {q} >= 10 THEN {one} "
-            f"ELSE {sql_lgamma(a)} + {sql_lgamma(b)} - {sql_lgamma(pq)} END)")
 
+def _beta_fraction(a: str, b: str, x: str, y: str) -> str:
+    """I_x(a, b) for x below the mean; y = 1 - x."""
+    ln = lambda u, v: f"(CASE WHEN {v} < 0.5D THEN log1p(-{v}) ELSE ln({u}) END)"
 
-def sql_betainc(a: str, b: str, x: str) -> str:
-    """I_x(a, b); the arguments are bound once (one-element ``transform``) so
-    the text refers to them by short names."""
-    a_, b_, x_ = "_s.a", "_s.b", "_s.x"
-    front = f"exp({a_} * ln({x_}) + {b_} * ln(1.0D - {x_}) - {sql_lbeta(a_, b_)})"
-    body = (f"(CASE WHEN {x_} <= 0 THEN 0.0D WHEN {x_} >= 1 THEN 1.0D "
-            f"WHEN {x_} < ({a_} + 1.0D) / ({a_} + {b_} + 2.0D) THEN {front} * {_sql_betacf(a_, b_, x_)} / {a_} "
-            f"ELSE 1.0D - {front} * {_sql_betacf(b_, a_, f'(1.0D - {x_})')} / {b_} END)")
-    return f"transform(array(named_struct('a', {a}, 'b', {b}, 'x', {x})), _s -> {body})[0]"
+    def step(f: str, j: str) -> str:
+        m = f"floor({j} / 2)"
+        d = (f"(CASE WHEN {j} % 2 = 0 THEN {m} * ({b} - {m}) * {x} / (({a} + {j} - 1D) * ({a} + {j})) "
+             f"ELSE -({a} + {m}) * ({a} + {b} + {m}) * {x} / (({a} + {j} - 1D) * ({a} + {j})) END)")
+        return f"{d} / (1D + {f})"
+    fraction = _fold(f"60 + 16 * sqrt(least({a}, {b}))", "0", step)
+    return f"(exp({a} * {ln(x, y)} + {b} * {ln(y, x)} - {_ln_beta(a, b)}) / ({a} * (1D + {fraction})))"
 
 
-def sql_gammaincc(a_in: str, x_in: str) -> str:
-    a, x = "_s.a", "_s.x"
-    n = _sql_n_iter(f"greatest({a}, {x})", STEPS)
-    lg = sql_lgamma(a)
-    ser = (f"(aggregate(sequence(1, {n}), named_struct('t', 1.0D / ({a}), 's', 1.0D / ({a})), "
-           f"(acc, j) -> named_struct('t', acc.t * ({x}) / (({a}) + j), 's', acc.s + acc.t * ({x}) / (({a}) + j)), "
-           f"acc -> acc.s) * exp(-({x}) + ({a}) * ln({x}) - {lg}))")
-    b0 = f"(({x}) + 1.0D - ({a}))"
-    an = f"(-CAST(j AS DOUBLE) * (CAST(j AS DOUBLE) - ({a})))"
-    bb = "(acc.b + 2.0D)"
-    d = f"(1.0D / {_sql_fix(f'({an} * acc.d + {bb})')})"
-    c = _sql_fix(f"({bb} + {an} / acc.c)")
-    cf = (f"(exp(-({x}) + ({a}) * ln({x}) - {lg}) * aggregate(sequence(1, {n}), "
-          f"named_struct('b', {b0}, 'c', {1.0 / TINY!r}D, 'd', 1.0D / {_sql_fix(b0)}, 'h', 1.0D / {_sql_fix(b0)}), "
-          f"(acc, j) -> named_struct('b', {bb}, 'c', {c}, 'd', {d}, 'h', acc.h * {d} * {c}), acc -> acc.h))")
-    body = f"(CASE WHEN ({x}) <= 0 THEN 1.0D WHEN ({x}) < ({a}) + 1.0D THEN 1.0D - {ser} ELSE {cf} END)"
-    return f"transform(array(named_struct('a', {a_in}, 'x', {x_in})), _s -> {body})[0]"
+def _beta_large(a: str, b: str, x: str, y: str) -> str:
+    def body(n: str, x0: str, y0: str, d: str) -> str:
+        square = f"(-2D * ({x0} * log1p({d} / {x0}) + {y0} * log1p(-{d} / {y0})))"
 
+        def with_eta(eta: str) -> str:
+            c0 = (f"(CASE WHEN abs({eta}) < 0.00001D THEN (1D - 2D * {x0}) / (3D * sqrt({x0} * {y0})) "
+                  f"ELSE 1D / {eta} - sqrt({x0} * {y0}) / {d} END)")
+            return (f"({_normal_tail(f'(-{eta} * sqrt({n}))')} + exp(-{n} * {eta} * {eta} / 2D - 0.5D * ln({2 * math.pi!r}D * {n})) * {c0})")
+        return _let(with_eta, eta=f"signum({d}) * sqrt(greatest(0D, {square}))")
+    # x - x0 = (x b - y a) / (a + b)
+    return _let(body, n=f"({a} + {b})", x0=f"({a} / ({a} + {b}))", y0=f"({b} / ({a} + {b}))", d=f"(({x} * {b} - {y} * {a}) / ({a} + {b}))")
 
-def _clip_sql(v: str) -> str:
-    return f"least(greatest({v}, 0.0D), 1.0D)"
 
+def beta_i(a: str, b: str, x: str, y: str) -> str:
+    """Regularised incomplete beta function I_x(a, b), with y = 1 - x given apart (either may be tiny)."""
+    def body(p: str, q: str, u: str, v: str) -> str:
+        low = _beta_fraction(p, q, u, v)
+        high = f"(1D - {_beta_fraction(q, p, v, u)})"
+        moderate = f"(CASE WHEN {u} < ({p} + 1D) / ({p} + {q} + 2D) THEN {low} ELSE {high} END)"
+        return (f"(CASE WHEN {u} <= 0 THEN 0D WHEN {v} <= 0 THEN 1D WHEN least({p}, {q}) < {LARGE!r}D THEN {moderate} "
+                f"ELSE {_beta_large(p, q, u, v)} END)")
+    return _let(body, p=a, q=b, u=x, v=y)
 
-def _names(*args) -> bool:
-    return all(isinstance(a, str) for a in args)
 
+def _arg(value: str | float) -> str:
+    """A column's name, or a number."""
+    if isinstance(value, str):
+        return "CAST(`" + value.replace("`", "``") + "` AS DOUBLE)"
+    return f"CAST({value!r} AS DOUBLE)"
 
-def _q(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
 
+def _probability(text: str) -> Column:
+    return F.expr(f"least(greatest({text}, 0D), 1D)")
 
-def t_two_sided_p_sql(t: str, dof: str) -> str:
-    t, dof = f"CAST({t} AS DOUBLE)", f"CAST({dof} AS DOUBLE)"
-    return _clip_sql(sql_betainc(f"({dof} / 2.0D)", "0.5D", f"({dof} / ({dof} + {t} * {t}))"))
 
+def t_two_sided_p(t: str | float, dof: str | float) -> Column:
+    """P(|T| > |t|) for Student's t with ``dof`` degrees of freedom."""
+    t, n = _arg(t), _arg(dof)
+    return _probability(_let(lambda s, k: beta_i(f"({k} / 2D)", "0.5D", f"({k} / ({k} + {s}))", f"({s} / ({k} + {s}))"), s=f"({t} * {t})", k=n))
 
-def chi2_sf_sql(x: str, k: str) -> str:
-    x, k = f"CAST({x} AS DOUBLE)", f"CAST({k} AS DOUBLE)"
-    return _clip_sql(sql_gammaincc(f"({k} / 2.0D)", f"({x} / 2.0D)"))
 
+def chi2_sf(x: str | float, dof: str | float) -> Column:
+    """P(X > x) for chi-square with ``dof`` degrees of freedom."""
+    return _probability(gamma_q(f"({_arg(dof)} / 2D)", f"({_arg(x)} / 2D)"))
 
-def f_sf_sql(f: str, d1: str, d2: str) -> str:
-    f, d1, d2 = f"CAST({f} AS DOUBLE)", f"CAST({d1} AS DOUBLE)", f"CAST({d2} AS DOUBLE)"
-    return _clip_sql(f"(CASE WHEN {f} <= 0 THEN 1.0D ELSE "
-                     f"{sql_betainc(f'({d2} / 2.0D)', f'({d1} / 2.0D)', f'({d2} / ({d2} + {d1} * {f}))')} END)")
 
+def f_sf(f: str | float, d1: str | float, d2: str | float) -> Column:
+    """P(F > f) for the F distribution."""
+    return _probability(_let(lambda v, m, n: f"(CASE WHEN {v} <= 0 THEN 1D ELSE "
+                             + beta_i(f"({n} / 2D)", f"({m} / 2D)", f"({n} / ({n} + {m} * {v}))", f"({m} * {v} / ({n} + {m} * {v}))") + " END)",
+                             v=_arg(f), m=_arg(d1), n=_arg(d2)))
 
-def norm_two_sided_p_sql(z: str) -> str:
-    z = f"CAST({z} AS DOUBLE)"
-    return _clip_sql(sql_gammaincc("0.5D", f"({z} * {z} / 2.0D)"))
 
-
-_col_t, _col_chi2, _col_f, _col_norm = t_two_sided_p, chi2_sf, f_sf, norm_two_sided_p
-
-
-def t_two_sided_p(t, dof) -> Column:  # noqa: F811
-    """P(|T| > |t|); column names take the one-parse SQL path."""
-    if _names(t, dof):
-        return F.expr(t_two_sided_p_sql(_q(t), _q(dof)))
-    return _col_t(t, dof)
-
-
-def chi2_sf(x, k) -> Column:  # noqa: F811
-    if _names(x, k):
-        return F.expr(chi2_sf_sql(_q(x), _q(k)))
-    return _col_chi2(x, k)
-
-
-def f_sf(f, d1, d2) -> Column:  # noqa: F811
-    if _names(f, d1, d2):
-        return F.expr(f_sf_sql(_q(f), _q(d1), _q(d2)))
-    return _col_f(f, d1, d2)
-
-
-def norm_two_sided_p(z) -> Column:  # noqa: F811
-    if _names(z):
-        return F.expr(norm_two_sided_p_sql(_q(z)))
-    return _col_norm(z)
+def norm_two_sided_p(z: str | float) -> Column:
+    """P(|Z| > |z|) for the standard normal."""
+    return _probability(gamma_q("0.5D", f"({_arg(z)} * {_arg(z)} / 2D)"))

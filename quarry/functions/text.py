@@ -34,8 +34,10 @@ def slug(c: Column, default: str = "chart") -> Column:
 
 
 def compact_label(c: Column, max_len: int = 42) -> Column:
-    """ellipsis after ``max_len`` characters."""
-    return F.when(F.length(c) > max_len, F.concat(F.substring(c, 1, max_len - 3), F.lit("..."))).otherwise(c)
+    """at most ``max_len`` characters, the last an ellipsis where text is cut
+    (no blanks before it); a dash for nothing."""
+    cut = F.concat(F.regexp_replace(F.substring(c, 1, max_len - 1), r"\s+$", ""), F.lit("\u2026"))
+    return F.when(F.coalesce(c, F.lit("")) == "", F.lit("\u2014")).when(F.length(c) > max_len, cut).otherwise(c)
 
 
 def contains_any(c: Column, words: list[str]) -> Column:

@@ -31,12 +31,22 @@ def _num(df: DataFrame, c: str) -> Column:
     return F.when(~F.isnan(v), v)
 
 
-def hash_sample(df: DataFrame, n: int = CHART_ROWS, seed: int = SEED, key: list[str] | None = None) -> DataFrame:
-    """Reproducible sample of ``n`` rows, independent of partitioning
-    (smallest ``xxhash64(key..., seed)``; ties broken by the key)."""
-    cols = key or df.columns
-    h = F.xxhash64(*[F.col(c) for c in cols], F.lit(seed))
-    return df.withColumn("_h", h).orderBy("_h", *cols).limit(n).drop("_h")
+def hash_sample(df: DataFrame, n: int = CHART_ROWS, seed: int = SEED, key: list[str] | None = None,
+                columns: list[str] | None = None, where: Column | None = None) -> DataFrame:
+    """Sample of ``n`` rows (smallest ``xxhash64``), of which ``columns`` are
+    returned.  What is hashed is the row: its ``key``, or, without one, all its
+    columns and its place in the scan, so that equal points are drawn
+    one by one; the columns of the chart never decide it."""
+    base = df.withColumn("_place", F.lit(0) if key else F.monotonically_increasing_id())
+    base = base.withColumn("_h", F.xxhash64(*[F.col(c) for c in (key or df.columns)], "_place", F.lit(seed)))
+    base = base.filter(where) if where is not None else base
+    out = base.select(*(columns or df.columns), "_h")
+    return out.orderBy("_h", *[c for c in (columns or df.columns) if c in (key or [])]).limit(n).drop("_h")
+
+
+def _present(df: DataFrame, columns: list[str]) -> Column:
+    """All of them have a value."""
+    return reduce(lambda a, b: a & b, [~missing_expr(df, c) for c in columns])
 
 
 def histogram(df: DataFrame, column: str, bins: int = 10, color: str | None = None) -> DataFrame:
@@ -60,10 +70,10 @@ def kde(df: DataFrame, column: str, group: str | None = None, grid: int = KDE_GR
     st = st.withColumn("bw", F.col("sd") * F.pow(F.col("n").cast("double"), -0.2)) \
         .filter(F.col("bw") > 0)
     w = (F.col("hi") - F.col("lo")) / bins
-    fine = (base.join(F.broadcast(st), keys) if keys else base.crossJoin(F.broadcast(st)))
+    fine = (base.join(st, keys) if keys else base.crossJoin(F.broadcast(st)))
     fine = (fine.withColumn("b", F.least(F.floor((F.col("x") - F.col("lo")) / w), F.lit(bins - 1)))
             .groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("c")))
-    centres = fine.join(F.broadcast(st), keys) if keys else fine.crossJoin(F.broadcast(st))
+    centres = fine.join(st, keys) if keys else fine.crossJoin(F.broadcast(st))
     centres = centres.withColumn("xc", F.col("lo") + (F.col("b") + 0.5) * w)
     g = df.sparkSession.range(grid).select(F.col("id").cast("int").alias("gi"))
     pts = centres.crossJoin(F.broadcast(g)).withColumn(
@@ -86,7 +96,7 @@ def box_stats(df: DataFrame, column: str, group: str | None = None) -> DataFrame
                               names=["q1", "median", "q3"])
     q = q.withColumn("lower_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
         .withColumn("upper_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    j = counts.join(F.broadcast(q), keys)  # one row per group
+    j = counts.join(q, keys)
     inside = (F.col("value") >= F.col("lower_fence")) & (F.col("value") <= F.col("upper_fence"))
     agg = j.groupBy(*keys, "q1", "median", "q3", "lower_fence", "upper_fence").agg(
         F.sum("n").alias("count"), F.min("value").alias("min"), F.max("value").alias("max"),
@@ -103,7 +113,7 @@ def box_outlier_points(df: DataFrame, column: str, group: str | None = None) ->
     """K3 outlier points: rows outside their group's fences."""
     b = box_stats(df, column, group).select(*( [group] if group else []), "lower_fence", "upper_fence")
     base = df.select(*([F.col(group).cast("string").alias(group)] if group else []), _num(df, column).alias("value"))
-    j = base.join(F.broadcast(b), [group]) if group else base.crossJoin(F.broadcast(b))
+    j = base.join(b, [group]) if group else base.crossJoin(F.broadcast(b))
     return j.filter((F.col("value") < F.col("lower_fence")) | (F.col("value") > F.col("upper_fence"))) \
         .drop("lower_fence", "upper_fence")
 
@@ -123,7 +133,7 @@ def violin(df: DataFrame, column: str, group: str | None = None) -> DataFrame:
 def scatter(df: DataFrame, x: str, y: str, color: str | None = None, n: int = CHART_ROWS) -> DataFrame:
     """K5: sampled points."""
     cols = [x, y] + ([color] if color else [])
-    return hash_sample(df.select(*cols).na.drop(subset=[x, y]), n)
+    return hash_sample(df, n, columns=cols, where=_present(df, [x, y]))
 
 
 def regression_lines(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
@@ -173,7 +183,7 @@ def pie(df: DataFrame, column: str, top: int | None = None) -> DataFrame:
 
 def line(df: DataFrame, x: str, y: str, n: int = CHART_ROWS) -> DataFrame:
     """Sampled rows ordered by x."""
-    return hash_sample(df.select(x, y).na.drop(), n).orderBy(x, y)
+    return hash_sample(df, n, columns=[x, y], where=_present(df, [x, y])).orderBy(x, y)
 
 
 def over_time(df: DataFrame, ts: str, unit: str = "month", value: str | None = None) -> DataFrame:
@@ -184,20 +194,20 @@ def over_time(df: DataFrame, ts: str, unit: str = "month", value: str | None = N
     return (df.filter(F.col(ts).isNotNull()).groupBy(F.date_trunc(unit, F.col(ts)).alias("period")).agg(*aggs))
 
 
-def scatter_matrix(df: DataFrame, n: int = CHART_ROWS, k: int = 6) -> DataFrame:
-    """First ``k`` numeric columns of a sample."""
-    return hash_sample(df.select(*numeric_columns(df)[:k]), n)
+def scatter_matrix(df: DataFrame, n: int = CHART_ROWS, k: int | None = None) -> DataFrame:
+    """The numeric columns (the first ``k``, if given) of a sample."""
+    return hash_sample(df, n, columns=numeric_columns(df)[:k])
 
 
 def scatter_3d(df: DataFrame, x: str, y: str, z: str, n: int = CHART_ROWS) -> DataFrame:
     """K15."""
-    return hash_sample(df.select(x, y, z).na.drop(), n)
+    return hash_sample(df, n, columns=[x, y, z], where=_present(df, [x, y, z]))
 
 
 def missing_heatmap(df: DataFrame, n: int = HEATMAP_ROWS, key: list[str] | None = None) -> DataFrame:
     """0/1 missing indicator per sampled row x column (long)."""
     s = hash_sample(df, n, key=key).withColumn("_row", F.xxhash64(*[F.col(c) for c in (key or df.columns)],
-                                                                  F.lit(SEED)))
+                                                                  F.lit(SEED) if key else F.monotonically_increasing_id()))
     cols = df.columns
     return s.select("_row", F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), missing_expr(df, c).cast("int").alias("missing")) for c in cols]))
@@ -208,8 +218,7 @@ def geo_points(df: DataFrame, lat: str, lon: str, color: str | None = None, labe
                n: int = CHART_ROWS) -> DataFrame:
     """Valid coordinates only, sampled."""
     cols = [lat, lon] + [c for c in (color, label) if c]
-    d = df.select(*cols).filter(F.col(lat).between(-90, 90) & F.col(lon).between(-180, 180))
-    return hash_sample(d, n)
+    return hash_sample(df, n, columns=cols, where=F.col(lat).between(-90, 90) & F.col(lon).between(-180, 180))
 
 
 def missing_bar(df: DataFrame, top: int = 30) -> DataFrame:

@@ -55,7 +55,7 @@ def normalise_missing(df: DataFrame, mode: str = "app") -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f.name)
         if isinstance(f.dataType, T.StringType):
-            hit = c.isin(MISSING_TOKENS) if mode == "app" else F.lower(F.trim(c)).isin(BROWSER_MISSING_TOKENS)
+            hit = c.isin(MISSING_TOKENS) if mode != "browser" else F.lower(F.trim(c)).isin(BROWSER_MISSING_TOKENS)
             out.append(F.when(hit, F.lit(None).cast("string")).otherwise(c).alias(f.name))
         else:
             out.append(c)
@@ -172,7 +172,7 @@ def iqr_fences(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def iqr_filter(df: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, list]:
     """Drop a row when any numeric value lies outside its column's fences
-    (fences from the same pre-filter table; nulls pass).  Fences are one row
+    (fences from the same pre-filter table; nulls and NaN pass).  Fences are one row
     per column, applied as literals."""
     pos = {c: i for i, c in enumerate(df.columns)}
     fences = sorted((r for r in iqr_fences(df, columns).collect() if r["lower_fence"] is not None),
@@ -180,7 +180,7 @@ def iqr_filter(df: DataFrame, columns: list[str] | None = None) -> tuple[DataFra
     if not fences:
         return df, []
     keep = reduce(lambda a, b: a & b, [F.col(r["column"]).cast("double").between(r["lower_fence"], r["upper_fence"]) |
-                                       F.col(r["column"]).isNull() for r in fences])
+                                       missing_expr(df, r["column"]) for r in fences])
     return df.filter(keep), fences
 
 
@@ -193,7 +193,7 @@ def clean(df: DataFrame, drop_duplicates: bool = True, numeric_fill: str = "medi
     ``spark.catalog.clearCache()`` when done."""
     spark = df.sparkSession
     audit: list[tuple] = []
-    cur = normalise_missing(trim_column_names(df), mode="app" if mode == "app" else "browser")
+    cur = normalise_missing(trim_column_names(df), mode=mode)
     # C2/C3
     if convert_datetimes and string_columns(cur):
         votes = datetime_votes(cur, mode=mode).filter("is_datetime").select("column", "parsed").collect()

@@ -3,7 +3,8 @@ aggregations.
 
 * Splits order rows by ``xxhash64(key, seed)``; the cut point (the k-th
   smallest hash, k = ceil(n * test_size)) comes from the ties-collapsed rank
-  engine, so the test set has exactly k rows without a global sort.
+  engine, so the test set has exactly k rows without a global sort, also where
+  keys repeat (the one block of equal hashes at the cut is counted off).
 * Imputation medians, modes and scaling moments are fitted on the training
   rows only, by aggregates; the fitted values are one row per feature.
 * Metrics, confusion matrices, reports and ROC curves are group-bys over
@@ -31,6 +32,7 @@ from quarry.operators.roles import kind_of
 
 SEED = 42
 MAX_CLASSES = 1000
+MAX_DEPTH = 30  # the deepest that Spark ML allows
 
 
 # ---- M11/M12 split ---------------------------------------------------------------------------
@@ -39,23 +41,29 @@ def split(df: DataFrame, key: list[str], test_size: float = 0.25, seed: int = SE
           stratify: str | None = None) -> DataFrame:
     """Add ``is_test``: exactly ceil(n * test_size) rows (per class when
     stratified, rounded half up) with the smallest ``xxhash64(key, seed)``."""
-    h = df.withColumn("_h", F.xxhash64(*[F.col(c) for c in key], F.lit(seed)))
-    keys = [stratify] if stratify else ["_k"]
-    if not stratify:
-        h = h.withColumn("_k", F.lit(0))
-    counts = h.groupBy(*keys, "_h").agg(F.count(F.lit(1)).alias("n"))
-    cum = ranks.cumulative_counts(counts, keys, value="_h")
+    h = df.withColumn("_h", F.xxhash64(*[F.col(c) for c in key], F.lit(seed))) \
+        .withColumn("_k", F.col(stratify).cast("string") if stratify else F.lit(""))
+    cum = ranks.cumulative_counts(h.groupBy("_k", "_h").agg(F.count(F.lit(1)).alias("n")), ["_k"], value="_h")
     k = F.ceil(F.col("total") * test_size) if not stratify else F.floor(F.col("total") * test_size + 0.5)
-    # hashes whose whole tie block lies before position k are test rows
-    cut = cum.filter(F.col("cum_before") < k).groupBy(*keys).agg(F.max("_h").alias("_cut"))
-    out = h.join(F.broadcast(cut), keys, "left")  # one row per class
-    out = out.withColumn("is_test", F.coalesce(F.col("_h") <= F.col("_cut"), F.lit(False)))
-    return out.drop("_h", "_cut", *(["_k"] if not stratify else []))
+    # the hash that holds position k of its class, and how many of its rows are still test rows
+    cut = (cum.withColumn("_left", k - F.col("cum_before")).filter((F.col("_left") > 0) & (F.col("_left") <= F.col("n")))
+           .select(F.col("_k").alias("_ck"), F.col("_h").alias("_cut"), "_left", F.col("n").alias("_block"))).checkpoint()
+    out = h.join(cut, F.col("_k").eqNullSafe(F.col("_ck")), "left")
+    whole = out.withColumn("is_test", F.coalesce(F.col("_h") <= F.col("_cut"), F.lit(False)))
+    if cut.filter("_left < _block").isEmpty():
+        return whole.select(*df.columns, "is_test")
+    # a block of equal hashes (repeated keys) that is cut within: its rows are counted off one by one
+    part = F.coalesce((F.col("_h") == F.col("_cut")) & (F.col("_left") < F.col("_block")), F.lit(False))
+    tied = ranks.row_positions(out.filter(part).withColumn("_all", F.xxhash64(*df.columns)), ["_k"], ["_all"], "_at")
+    return (whole.filter(~part).select(*df.columns, "is_test")
+            .unionByName(tied.select(*df.columns, (F.col("_at") < F.col("_left")).alias("is_test"))))
 
 
 def fold_ids(df: DataFrame, key: list[str], folds: int = 5, seed: int = SEED) -> DataFrame:
-    """Fold id from the key hash (<= 5 folds)."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(*[F.col(c) for c in key], F.lit(seed)), F.lit(min(folds, 5))))
+    """Folds whose sizes differ by one at most: the position by key hash, modulo ``folds``."""
+    h = df.withColumn("_k", F.lit(0)).withColumn("_h", F.xxhash64(*[F.col(c) for c in key], F.lit(seed)))
+    at = ranks.row_positions(h, ["_k"], ["_h"], "_at")
+    return at.withColumn("fold", F.pmod(F.col("_at"), F.lit(folds))).select(*df.columns, "fold")
 
 
 # ---- preprocessing (M6-M10) ------------------------------------------------------------------
@@ -82,14 +90,14 @@ def prepare(train: DataFrame, data: DataFrame, predictors: list[str], scale: boo
         counts = ranks.value_counts(train, num)
         med = ranks.exact_quantiles(ranks.cumulative_counts(counts, ["column"]), ["column"], [0.5], names=["m"])
         meds = {r["column"]: r["m"] for r in med.collect()}  # one row per feature
-        stats = train.agg(*[F.avg(F.col(c).cast("double")).alias(f"a{i}") for i, c in enumerate(num)],
-                          *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(num)]).first()
+        # NaN counts as missing, as in the medians
+        full = {c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(meds.get(c, 0.0))) for c in num}
+        stats = train.agg(*[F.avg(full[c]).alias(f"a{i}") for i, c in enumerate(num)],
+                          *[F.stddev_pop(full[c]).alias(f"s{i}") for i, c in enumerate(num)]).first()
         for i, c in enumerate(num):
-            x = F.coalesce(F.col(c).cast("double"), F.lit(meds.get(c, 0.0)))
-            if scale:
-                sd = stats[f"s{i}"] or 1.0
-                # moments of the raw training column; imputed cells take the median
-                x = (x - F.lit(stats[f"a{i}"] or 0.0)) / F.lit(sd if sd else 1.0)
+            x = full[c]
+            if scale:  # moments of the imputed training column
+                x = (x - F.lit(stats[f"a{i}"] or 0.0)) / F.lit(stats[f"s{i}"] or 1.0)
             out = out.withColumn(c, x)
     stages, names = [], list(num)
     if cat:
@@ -143,15 +151,15 @@ def _estimator(kind: str, task: str, n_train: int, n_classes: int = 2, trees: in
     if task == "regression":
         return {"linear": LinearRegression(solver="normal", regParam=0.0),
                 "random_forest": RandomForestRegressor(numTrees=trees, featureSubsetStrategy="all", seed=SEED,
-                                                       maxDepth=12),
-                "decision_tree": DecisionTreeRegressor(seed=SEED, maxDepth=12)}[kind]
+                                                       maxDepth=MAX_DEPTH),
+                "decision_tree": DecisionTreeRegressor(seed=SEED, maxDepth=MAX_DEPTH)}[kind]
     if kind == "logistic":
         return LogisticRegression(regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False,
                                   maxIter=200)
     if kind == "random_forest":
-        return RandomForestClassifier(numTrees=trees, featureSubsetStrategy="sqrt", seed=SEED, maxDepth=12)
+        return RandomForestClassifier(numTrees=trees, featureSubsetStrategy="sqrt", seed=SEED, maxDepth=MAX_DEPTH)
     if kind == "decision_tree":
-        return DecisionTreeClassifier(seed=SEED, maxDepth=12)
+        return DecisionTreeClassifier(seed=SEED, maxDepth=MAX_DEPTH)
     svc = LinearSVC(regParam=1.0 / max(n_train, 1), maxIter=100)
     return svc if n_classes <= 2 else OneVsRest(classifier=svc)
 
@@ -433,7 +441,7 @@ def cross_validate(df: DataFrame, target: str, predictors: list[str], kind: str
     task = problem_type(df, target)
     data = fold_ids(df.na.drop(subset=[target]), key or df.columns, folds)
     out = []
-    for f in range(min(folds, 5)):
+    for f in range(folds):
         d = data.withColumn("is_test", F.col("fold") == f)
         train = d.filter(~F.col("is_test"))
         lab = d.withColumn("label", F.col(target).cast("double")) if task == "regression" else \

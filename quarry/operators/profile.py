@@ -11,6 +11,8 @@ Plan shape for a table of any size:
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,8 +58,7 @@ def moments(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quantile_table(df: DataFrame, columns: list[str], probs: list[float], names: list[str],
-                   method: str = "exact", accuracy: int = 100_000, counts: DataFrame | None = None,
-                   widest: int | None = None) -> DataFrame:
+                   method: str = "exact", accuracy: int = 100_000, counts: DataFrame | None = None) -> DataFrame:
     """Per-column quantiles; ``exact`` by cumulative counts of distinct values,
     ``approx`` by ``percentile_approx`` (bounded-memory sketch)."""
     if method == "approx":
@@ -66,7 +67,7 @@ def quantile_table(df: DataFrame, columns: list[str], probs: list[float], names:
             F.percentile_approx("value", probs, accuracy).alias("_q")).select(
             "column", *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
     counts = counts if counts is not None else ranks.value_counts(df, columns)
-    cum = ranks.cumulative_counts(counts, ["column"], widest=widest)
+    cum = ranks.cumulative_counts(counts, ["column"])
     return ranks.exact_quantiles(cum, ["column"], probs, names=names)
 
 
@@ -82,15 +83,12 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None, skew_kind:
         return spark.createDataFrame([], "column string")
     mom = moments(df, cols)
     counts = ranks.value_counts(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
-    # distinct count and mode per column (one row per column, read once); the
-    # largest distinct count is the widest key of the rank engine
+    # distinct count and mode per column (one row per column, read once)
     per_rows = counts.groupBy("column").agg(
         F.count(F.lit(1)).alias("distinct_count"),
         F.min(F.struct((-F.col("n")).alias("negn"), F.col("value").alias("v")))["v"].alias("mode")).collect()
     per = spark.createDataFrame(per_rows, "column string, distinct_count long, mode double")
-    widest = max((r["distinct_count"] for r in per_rows), default=0)
-    qs = quantile_table(df, cols, [0.25, 0.5, 0.75], ["q1", "median", "q3"], quantiles, counts=counts,
-                        widest=widest)
+    qs = quantile_table(df, cols, [0.25, 0.5, 0.75], ["q1", "median", "q3"], quantiles, counts=counts)
     # One row per column: collected (bounded by the column count) so the
     # fences enter the outlier count as literals instead of re-running the
     # quantile plan in a second branch.
@@ -338,8 +336,10 @@ def equal_width_histogram(df: DataFrame, column: str, bins: int = 10, by: str |
     grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).crossJoin(F.broadcast(rng)) \
         .filter(F.col("bin") < nb)
     if by:
-        grid = grid.crossJoin(base.select(by).distinct())
-    out = (grid.join(binned, [*keys, "bin"], "left")
+        grid = grid.crossJoin(base.select(by).distinct())  # levels x bins
+    hits = binned.select(*[F.col(k).alias(f"_{k}") for k in [*keys, "bin"]], "count")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*keys, "bin"]])
+    out = (grid.join(hits, same, "left")
            .withColumn("count", F.coalesce("count", F.lit(0)).cast("long"))
            .withColumn("bin_start", F.col("lo") + F.col("bin") * w)
            .withColumn("bin_end", F.when(F.col("bin") == nb - 1, F.col("hi")).otherwise(

@@ -2,16 +2,11 @@
 
 Nothing here sorts raw rows.  Rows are first collapsed to one row per
 distinct ``(key, value)`` with a count (map-side combined, so a value that
-holds a third of all rows is one row).  Cumulative counts over the
-distinct values then come from either
-
-* one window per key, when the number of distinct values is at most
-  ``single_task_rows`` (a proven bound for one task), or
-* a range-partitioned, checkpointed copy: ``repartitionByRange`` places
-  contiguous value ranges in partitions, per-partition totals (a table of
-  at most keys x partitions rows) give offsets, and a window per
-  ``(key, partition)`` finishes the job.  The checkpoint fixes partition
-  ids so the two passes agree, also when executors are lost.
+holds a third of all rows is one row).  Cumulative counts come from one plan
+at every size: ``repartitionByRange`` places contiguous value ranges in
+partitions, a checkpoint fixes the partition ids (so later passes agree, also
+when executors are lost), per-partition totals give offsets, and a window
+per ``(key, partition)`` finishes the job.
 """
 
 from __future__ import annotations
@@ -20,13 +15,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarry.session import ensure_checkpoint_dir
 
-SINGLE_TASK_ROWS = 2_000_000
-ROWS_PER_RANGE = 1_000_000
-
 
 def long_values(df: DataFrame, columns: list[str], cast: str = "double",
                 key: str = "column", value: str = "value") -> DataFrame:
@@ -45,59 +36,46 @@ def value_counts(df: DataFrame, columns: list[str], cast: str = "double",
     return long_values(df, columns, cast, key, value).groupBy(key, value).agg(F.count(F.lit(1)).alias(n))
 
 
-def cumulative_counts(counts: DataFrame, keys: list[str], value: str = "value", n: str = "n",
-                      single_task_rows: int = SINGLE_TASK_ROWS,
-                      rows_per_range: int = ROWS_PER_RANGE, widest: int | None = None) -> DataFrame:
+def _same(keys: list[str], prefix: str) -> Column:
+    """Null-safe equality of the key columns with their prefixed copies."""
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in keys], F.lit(True))
+
+
+def _ranged(df: DataFrame, keys: list[str], order: list[str], weight: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` dealt out by range with its partition id ``_pid``, and the offsets: per
+    key and partition, the weight ahead of it and the key's total."""
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = (df.repartitionByRange(*[F.col(c) for c in [*keys, *order]])
+              .withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True))
+    sums = ranged.groupBy(*keys, "_pid").agg(F.sum(weight).alias("_w"))
+    wk = Window.partitionBy(*keys)
+    ahead = F.sum("_w").over(wk.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_pid").alias("_o_pid"),
+                          F.coalesce(ahead, F.lit(0)).alias("_off"), F.sum("_w").over(wk).alias("total"))
+    return ranged, offsets
+
+
+def cumulative_counts(counts: DataFrame, keys: list[str], value: str = "value", n: str = "n") -> DataFrame:
     """Add ``cum_before`` (rows with a smaller value under the same keys) and
-    ``total`` (rows under the same keys) to a ties-collapsed count table.
-    ``widest`` (the largest number of distinct values under one key) may be
-    passed when the caller already knows it."""
-    spark = counts.sparkSession
-    per_key = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"))
-    if widest is None:
-        widest = per_key.agg(F.max("_d")).first()[0] or 0
-    atomic = not isinstance(counts.schema[value].dataType, (T.StructType, T.ArrayType, T.MapType))
-    if widest <= single_task_rows and not atomic:
-        w = Window.partitionBy(*keys).orderBy(value)
-        return (counts
-                .withColumn("cum_before", F.coalesce(
-                    F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
-                .withColumn("total", F.sum(n).over(Window.partitionBy(*keys)).cast("long")))
-    if widest <= single_task_rows:
-        # one task per key holds at most ``single_task_rows`` distinct values:
-        # sort + running sum with numpy inside the task (faster than Window)
-        schema = T.StructType(counts.schema.fields + [T.StructField("cum_before", T.LongType()),
-                                                      T.StructField("total", T.LongType())])
-
-        def running(pdf):
-            pdf = pdf.sort_values(value, kind="mergesort")
-            c = pdf[n].cumsum()
-            pdf["cum_before"] = (c - pdf[n]).astype("int64")
-            pdf["total"] = int(pdf[n].sum())
-            return pdf
-
-        return counts.groupBy(*keys).applyInPandas(running, schema)
-    ensure_checkpoint_dir(spark)
-    total_rows = per_key.agg(F.sum("_d")).first()[0]
-    parts = max(1, int(total_rows // rows_per_range) + 1)
-    ranged = (counts.repartitionByRange(parts, *[F.col(k) for k in keys], F.col(value))
-              .withColumn("_pid", F.spark_partition_id())
-              .checkpoint(eager=True))
-    part_tot = ranged.groupBy(*keys, "_pid").agg(F.sum(n).alias("_pn"))
-    wk = Window.partitionBy(*keys).orderBy("_pid")
-    offsets = (part_tot
-               .withColumn("_off", F.coalesce(F.sum("_pn").over(wk.rowsBetween(Window.unboundedPreceding, -1)),
-                                              F.lit(0)))
-               .withColumn("total", F.sum("_pn").over(Window.partitionBy(*keys)))
-               .drop("_pn"))
-    w = Window.partitionBy(*keys, "_pid").orderBy(value)
-    inner = ranged.withColumn("_in", F.coalesce(
-        F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # offsets has at most keys x partitions rows: bounded, broadcast.
-    return (inner.join(F.broadcast(offsets), [*keys, "_pid"])
-            .withColumn("cum_before", (F.col("_off") + F.col("_in")).cast("long"))
-            .withColumn("total", F.col("total").cast("long"))
-            .drop("_pid", "_off", "_in"))
+    ``total`` (rows under the same keys) to a ties-collapsed count table."""
+    ranged, offsets = _ranged(counts, keys, [value], n)
+    w = Window.partitionBy(*keys, "_pid").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    inner = ranged.withColumn("_in", F.coalesce(F.sum(n).over(w), F.lit(0)))
+    return (inner.join(offsets, _same(keys, "_o_") & (F.col("_pid") == F.col("_o_pid")))
+            .select(*counts.columns, (F.col("_off") + F.col("_in")).cast("long").alias("cum_before"),
+                    F.col("total").cast("long").alias("total")))
+
+
+def row_positions(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """Adds ``out``: the 0-based position of every row under its keys.  Rows that
+    tie in ``order`` follow a mark that is fixed once (so ties of any size are dealt out too)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    marked = df.withColumn("_mark", F.monotonically_increasing_id()).withColumn("_one", F.lit(1)).checkpoint(eager=True)
+    ranged, offsets = _ranged(marked, keys, [*order, "_mark"], "_one")
+    w = Window.partitionBy(*keys, "_pid").orderBy(*order, "_mark")
+    inner = ranged.withColumn("_in", F.row_number().over(w) - 1)
+    return (inner.join(offsets, _same(keys, "_o_") & (F.col("_pid") == F.col("_o_pid")))
+            .select(*df.columns, (F.col("_off") + F.col("_in")).cast("long").alias(out)))
 
 
 def average_rank(cum: DataFrame, n: str = "n") -> Column:
@@ -115,26 +93,17 @@ def exact_quantiles(cum: DataFrame, keys: list[str], probs: list[float], value:
     """Linear-interpolation quantiles (pandas / ``percentile`` semantics) from a
     cumulative count table: one row per key with one column per prob."""
     names = names or [f"q{int(round(p * 100)):02d}" for p in probs]
-    spark = cum.sparkSession
-    probs_df = spark.createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "_pi int, _p double")
-    totals = cum.select(*keys, "total").distinct()
-    targets = (totals.crossJoin(F.broadcast(probs_df))
-               .withColumn("_h", (F.col("total") - 1) * F.col("_p"))
-               .withColumn("_lo", F.floor("_h").cast("long"))
-               .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("total") - 1))
-               .withColumn("_frac", F.col("_h") - F.col("_lo")))
-    ends = targets.select(*keys, "_pi", "_frac", F.explode(F.array(
-        F.struct(F.lit(0).alias("_end"), F.col("_lo").alias("_idx")),
-        F.struct(F.lit(1).alias("_end"), F.col("_hi").alias("_idx")))).alias("e")).select(
-        *keys, "_pi", "_frac", "e._end", "e._idx")
-    # keys x probs x 2 rows: bounded by the number of keys, broadcast.
-    ends = ends.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_pi", "_frac", "_end", "_idx")
-    cond = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_k_{k}") for k in keys]) & \
-        (F.col("cum_before") <= F.col("_idx")) & (F.col("_idx") < F.col("cum_before") + F.col(n))
-    hit = cum.join(F.broadcast(ends), cond).select(*keys, "_pi", "_frac", "_end", value)
-    per = (hit.groupBy(*keys, "_pi", "_frac")
-           .agg(F.max(F.when(F.col("_end") == 0, F.col(value))).alias("_a"),
-                F.max(F.when(F.col("_end") == 1, F.col(value))).alias("_b"))
-           .withColumn("_q", F.col("_a") + F.col("_frac") * (F.col("_b") - F.col("_a"))))
-    return per.groupBy(*keys).agg(*[F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(nm)
-                                    for i, nm in enumerate(names)])
+    total = F.col("total")
+
+    def at(index: Column) -> Column:
+        """The value at a 0-based position: its block's row knows that it holds it."""
+        return F.max(F.when((F.col("cum_before") <= index) & (index < F.col("cum_before") + F.col(n)), F.col(value)))
+
+    aggs = [F.max(total).alias("_t")]
+    for i, p in enumerate(probs):
+        low = F.floor((total - 1) * F.lit(float(p))).cast("long")
+        aggs += [at(low).alias(f"_a{i}"), at(F.least(low + 1, total - 1)).alias(f"_b{i}")]
+    per = cum.groupBy(*keys).agg(*aggs)
+    part = lambda p: (F.col("_t") - 1) * F.lit(float(p)) - F.floor((F.col("_t") - 1) * F.lit(float(p)))
+    return per.select(*keys, *[(F.col(f"_a{i}") + part(p) * (F.col(f"_b{i}") - F.col(f"_a{i}"))).alias(nm)
+                               for i, (p, nm) in enumerate(zip(probs, names, strict=True))])

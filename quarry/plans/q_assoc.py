@@ -220,7 +220,7 @@ PART_CATS = ["p_brand", "p_mostly", "p_type"]
 @register("pair_scan_part_const", sql_rounded(_scan_sql(FX.PART_CONST_SQL, PART_CATS), SCAN_D, SCAN_O, P))
 def _scan(spark, sf_dir):
     df = FX.part_const(spark, sf_dir)
-    return rounded(A.pair_scan(df, ["p_name", "p_brand", "p_type", "p_const", "p_mostly", "p_empty"]), P)
+    return rounded(A.pair_scan(df, ["p_name", "p_brand", "p_type", "p_const", "p_mostly", "p_empty"], limit=5), P)
 
 
 ORDER_CATS = ["o_orderpriority", "o_orderstatus"]
@@ -229,7 +229,7 @@ ORDER_CATS = ["o_orderpriority", "o_orderstatus"]
 @register("significant_chi_square_scan_orders", sql_rounded(_scan_sql("orders", ORDER_CATS, alpha=0.05, limit=None),
                                                             SCAN_D, SCAN_O, P))
 def _sig_scan(spark, sf_dir):
-    return rounded(A.pair_scan(table(spark, sf_dir, "orders"), ORDER_CATS, limit=None, first=6, alpha=0.05), P)
+    return rounded(A.pair_scan(table(spark, sf_dir, "orders"), ORDER_CATS, alpha=0.05), P)
 
 
 @register("vif_two_predictors_lineitem", sql_rounded(

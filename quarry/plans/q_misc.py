@@ -44,7 +44,8 @@ def _dedup(spark, sf_dir):
     CASE WHEN coalesce(regexp_replace(lower(regexp_replace(p_name, '[^0-9A-Za-z]+', '_', 'g')), '^_+|_+$', '', 'g'), '')
          = '' THEN 'chart' ELSE regexp_replace(lower(regexp_replace(p_name, '[^0-9A-Za-z]+', '_', 'g')), '^_+|_+$', '', 'g')
     END AS slug,
-    CASE WHEN length(p_name) > 42 THEN substr(p_name, 1, 39) || '...' ELSE p_name END AS label FROM part""")
+    CASE WHEN coalesce(p_name, '') = '' THEN chr(8212) WHEN length(p_name) > 42
+         THEN rtrim(substr(p_name, 1, 41)) || chr(8230) ELSE p_name END AS label FROM part""")
 def _slug(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     return p.select("p_partkey", TX.slug(F.col("p_name")).alias("slug"), TX.compact_label(F.col("p_name")).alias("label"))

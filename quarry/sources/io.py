@@ -34,36 +34,49 @@ def trim_names(df: DataFrame) -> DataFrame:
 
 
 def _unwrap_json(df: DataFrame) -> DataFrame:
-    """S3: an object whose first array-of-records member holds the rows."""
+    """S3: a file that is one object: its first array-of-records member holds the rows."""
     for f in df.schema.fields:
         if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
             return df.select(F.explode(F.col(f.name)).alias("_r")).select("_r.*")
     return df
 
 
-def read_table(spark: SparkSession, path: str, fmt: str | None = None, infer: bool = True, **options) -> DataFrame:
-    """Read CSV (header, inferred types, UTF-8 then Latin-1),
-    TSV/TXT, JSON (records, or the first array of records in an object) or
+def _read_text(spark: SparkSession, path: str, sep: str, infer: bool, multiline: bool, options: dict) -> DataFrame:
+    """Delimited files, each in UTF-8 or (where that fails) Latin-1.  Lines are
+    read in splits unless ``multiline`` says that quoted fields hold line breaks."""
+    def reader(encoding: str):
+        return (spark.read.option("header", True).option("inferSchema", infer).option("multiLine", multiline)
+                .option("sep", sep).option("encoding", encoding).options(**options))
+
+    # one pass over the raw lines; a row per file comes back
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), (~F.is_valid_utf8("value")).alias("bad"))
+    files = {r["file"]: r["bad"] for r in lines.groupBy("file").agg(F.max("bad").alias("bad")).collect()}
+    bad = sorted(f for f, b in files.items() if b)
+    good = sorted(f for f, b in files.items() if not b)
+    if not bad:
+        return reader("UTF-8").csv(path)
+    parts = [reader("ISO-8859-1").csv(bad)] + ([reader("UTF-8").csv(good)] if good else [])
+    return union_files(parts)
+
+
+def read_table(spark: SparkSession, path: str, fmt: str | None = None, infer: bool = True, multiline: bool = False,
+               **options) -> DataFrame:
+    """Read CSV (header, inferred types, UTF-8 or Latin-1 by file),
+    TSV/TXT, JSON (lines, an array, or the first array of records in one object) or
     Parquet; unknown suffixes raise ``ValueError``."""
     suffix = (fmt or path.rstrip("/").rsplit(".", 1)[-1]).lower()
     kind = FORMATS.get(suffix)
     if kind is None:
         raise ValueError("Supported file formats are CSV, TSV/TXT, JSON and Parquet.")
     if kind in ("csv", "tsv"):
-        reader = (spark.read.option("header", True).option("inferSchema", infer).option("multiLine", True)
-                  .option("sep", "\t" if kind == "tsv" else ",").options(**options))
-        df = reader.option("encoding", "UTF-8").csv(path)
-        text_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-        if text_cols:
-            bad = df.filter(reduce(lambda a, b: a | b, [F.col(c).contains("�") for c in text_cols])).limit(1)
-            if bad.count():  # undecodable bytes: the file is Latin-1
-                df = reader.option("encoding", "ISO-8859-1").csv(path)
+        df = _read_text(spark, path, "\t" if kind == "tsv" else ",", infer, multiline, options)
     elif kind == "json":
         # JSON lines first; a whole-file array / object otherwise
         df = spark.read.options(**options).json(path)
         if df.columns == ["_corrupt_record"]:
-            df = spark.read.option("multiLine", True).options(**options).json(path)
-        df = _unwrap_json(df)
+            df = _unwrap_json(spark.read.option("multiLine", True).options(**options).json(path))
+        elif not multiline and len(df.head(2)) == 1:  # one line: it may be the whole object
+            df = _unwrap_json(df)
     else:
         df = spark.read.options(**options).parquet(path)
     return trim_names(df)

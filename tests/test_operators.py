@@ -14,13 +14,23 @@ from quarry.operators import profile as P
 from quarry.operators import ranks
 
 
-def test_range_partitioned_cumulative_counts_match_single_window(spark, sf_dir):
+def test_cumulative_counts_match_a_single_window(spark, sf_dir):
+    from pyspark.sql import Window
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     counts = ranks.value_counts(ev, ["value", "user_id"])
-    a = ranks.cumulative_counts(counts, ["column"]).select("column", "value", "cum_before", "total")
-    b = ranks.cumulative_counts(counts, ["column"], single_task_rows=0, rows_per_range=97) \
-        .select("column", "value", "cum_before", "total")
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    nulls = spark.createDataFrame([(None, 1.0, 3), (None, 2.0, 1), ("x", 1.0, 2)], "column string, value double, n long")
+    for table in (counts, nulls):
+        w = Window.partitionBy("column").orderBy("value")
+        want = table.select("column", "value", (F.sum("n").over(w) - F.col("n")).alias("c"), F.sum("n").over(Window.partitionBy("column")).alias("t"))
+        got = ranks.cumulative_counts(table, ["column"]).select("column", "value", "cum_before", "total")
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_row_positions_number_every_row(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.lit(7).alias("v"))
+    at = ranks.row_positions(df, ["k"], ["v"], "at").collect()
+    for k in range(3):
+        assert sorted(r["at"] for r in at if r["k"] == k) == list(range(sum(r["k"] == k for r in at)))
 
 
 def test_exact_quantiles_equal_percentile(spark, sf_dir):
@@ -35,10 +45,10 @@ def test_exact_quantiles_equal_percentile(spark, sf_dir):
 
 def test_tail_probabilities_known_values(spark):
     row = spark.range(1).select(
-        dist.t_two_sided_p(F.lit(2.1), F.lit(7.0)).alias("t"),
-        dist.chi2_sf(F.lit(3.0 * 2), F.lit(2.0)).alias("c"),
-        dist.norm_two_sided_p(F.lit(1.959963984540054)).alias("z"),
-        dist.f_sf(F.lit(1.0), F.lit(1.0), F.lit(1e9)).alias("f")).first()
+        dist.t_two_sided_p(2.1, 7.0).alias("t"),
+        dist.chi2_sf(6.0, 2.0).alias("c"),
+        dist.norm_two_sided_p(1.959963984540054).alias("z"),
+        dist.f_sf(1.0, 1.0, 1e9).alias("f")).first()
     assert row.c == pytest.approx(math.exp(-3), rel=1e-12)
     assert row.z == pytest.approx(0.05, rel=1e-9)
     assert row.t == pytest.approx(0.0738711962129229, rel=1e-9)
@@ -125,26 +135,21 @@ def test_too_many_classes_is_refused(spark, sf_dir):
             M.MAX_CLASSES = 1000
 
 
-def test_chi_square_without_grid_matches_grid(spark, sf_dir):
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
-    cols = ["chi2", "dof", "p_value", "cramers_v", "min_expected", "low_expected_cells", "sparse_cells", "n"]
-    a = A.chi_square(ev, "event_type", "user_id").select(*cols).first()
-    b = A.chi_square(ev, "event_type", "user_id", grid_cells=0).select(*cols).first()
-    for c in cols:
-        assert b[c] == pytest.approx(a[c], rel=1e-9), c
-
-
-def test_struct_valued_ranks_range_path_matches_window(spark, sf_dir):
-    """Full frequency ranks use a (-count, value) struct key; the range
-    partitioned path must give the same ranks as the bounded path."""
-    from quarry.operators import ranks as RK
-    h = P.value_hist(spark.read.parquet(f"{sf_dir}/part.parquet"), ["p_type", "p_brand", "p_size"])
-    keyed = h.withColumn("_o", F.struct((-F.col("n")).alias("negn"), F.col("value").alias("v"))) \
-        .drop("n").withColumn("n", F.lit(1))
-    a = RK.cumulative_counts(keyed, ["column"], value="_o").select("column", "value", "cum_before")
-    b = RK.cumulative_counts(keyed, ["column"], value="_o", single_task_rows=0, rows_per_range=7) \
-        .select("column", "value", "cum_before")
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+def test_chi_square_matches_the_full_grid(spark):
+    import numpy as np
+    rng = np.random.default_rng(1)
+    for shape, yates in (((5, 40), True), ((2, 2), True), ((2, 2), False)):
+        o = rng.integers(0, 9, shape)
+        o[0, 0] = 0
+        o[:, 0] += np.arange(shape[0])
+        rows = [(f"a{i}", f"b{j}") for i in range(shape[0]) for j in range(shape[1]) for _ in range(o[i, j])]
+        r = A.chi_square(spark.createDataFrame(rows, "a string, b string"), "a", "b", yates=yates).first()
+        o = o[o.sum(1) > 0][:, o.sum(0) > 0]
+        e = o.sum(1)[:, None] * o.sum(0)[None] / o.sum()
+        d = np.abs(o - e)
+        chi2 = ((np.maximum(d - 0.5, 0) if yates and o.shape == (2, 2) else d) ** 2 / e).sum()
+        assert r.chi2 == pytest.approx(chi2, rel=1e-9) and r.min_expected == pytest.approx(e.min())
+        assert r.low_expected_cells == (e < 5).sum() and r.sparse_cells == (o <= 1).sum()
 
 
 def test_frequency_ranks_are_dense_and_count_descending(spark, sf_dir):
@@ -171,3 +176,69 @@ def test_streaming_moments_match_batch(spark, sf_dir):
         assert g["n"] == w["n"] and g["mean"] == pytest.approx(w["m"], rel=1e-9)
         if w["v"] is not None:
             assert g["variance"] == pytest.approx(w["v"], rel=1e-6, abs=1e-9)
+
+
+def test_tail_probabilities_of_very_large_tables(spark):
+    """Half of the mass lies above the mean, less 1 / (3 sqrt(pi k))."""
+    for k in (1e4, 1e6, 1e7, 1e8, 1e9, 1e10):
+        p = spark.range(1).select(dist.chi2_sf(k, k).alias("p"), dist.f_sf(1.0, k, k).alias("f")).first()
+        assert p.p == pytest.approx(0.5 - 1 / (3 * math.sqrt(math.pi * k)), abs=1e-5 / math.sqrt(k))
+        assert p.f == pytest.approx(0.5, abs=1e-9)
+
+
+def test_split_is_exact_with_repeated_rows(spark, sf_dir):
+    from quarry.operators import model as M
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_quantity", "l_returnflag")
+    n = li.count()
+    got = M.split(li, li.columns, 0.25)
+    assert got.count() == n and got.filter("is_test").count() == math.ceil(n * 0.25)
+    by = {r["l_returnflag"]: (r["n"], r["t"]) for r in M.split(li, li.columns, 0.25, stratify="l_returnflag")
+          .groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_test").alias("t")).collect()}
+    assert all(t == math.floor(n * 0.25 + 0.5) for n, t in by.values())
+    folds = [r["count"] for r in M.fold_ids(li, li.columns, 7).groupBy("fold").count().collect()]
+    assert len(folds) == 7 and max(folds) - min(folds) <= 1
+
+
+def test_point_samples_draw_rows_not_values(spark, sf_dir):
+    from quarry.operators import charts as K
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    pts = K.scatter(li, "l_quantity", "l_discount", n=2000)
+    assert pts.count() == 2000 and pts.distinct().count() > 0.7 * li.select("l_quantity", "l_discount").distinct().count()
+
+
+def test_missing_and_nan_values(spark):
+    from quarry.functions.text import compact_label
+    from quarry.operators import clean as C
+    from quarry.operators import quality as Q
+    rows = [(float(i), float(i * i % 7), "a" if i % 2 else None) for i in range(20)] + [(float("nan"), 1.0, "a"), (None, 2.0, None)]
+    df = spark.createDataFrame(rows, "x double, y double, c string")
+    assert [r["zscore_outliers"] for r in Q.zscore_outliers(df, ["x"]).collect()] == [0]
+    assert C.iqr_filter(df, ["x"])[0].count() == 22
+    h = P.equal_width_histogram(df, "y", 5, by="c").collect()
+    assert sum(r["count"] for r in h if r["c"] is None) == 11 and sum(r["count"] for r in h) == 22
+    toks = spark.createDataFrame([("NA",), ("nan",), (" na ",), ("undefined",)], "t string")
+    assert C.normalise_missing(toks, "api").filter("t is null").count() == C.normalise_missing(toks, "app").filter("t is null").count()
+    labels = spark.createDataFrame([("x" * 42,), ("x" * 40 + "  yy",), ("",), (None,)], "t string").select(compact_label(F.col("t")).alias("l"))
+    assert [r.l for r in labels.collect()] == ["x" * 42, "x" * 40 + "\u2026", "\u2014", "\u2014"]
+
+
+def test_spearman_matrix_deletes_by_pair(spark):
+    rows = [(1.0, 2.0, 1.0), (2.0, 1.0, None), (3.0, 4.0, 2.0), (4.0, 3.0, None), (5.0, 6.0, 3.0), (6.0, 5.0, 4.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    m = {(r["left"], r["right"]): (r["r"], r["n"]) for r in A.spearman_matrix(df, ["a", "b", "c"]).collect()}
+    assert m[("a", "b")] == (pytest.approx(0.82857142857), 6) and m[("b", "a")][1] == 6
+    assert m[("a", "c")] == (pytest.approx(1.0), 4) and m[("c", "c")] == (1.0, 4)
+
+
+def test_readers(spark, tmp_path):
+    from quarry.sources.io import read_table
+    (tmp_path / "d.csv").mkdir()
+    (tmp_path / "d.csv" / "1.csv").write_bytes("name,v\nJosé,1\n".encode("latin-1"))
+    (tmp_path / "d.csv" / "2.csv").write_bytes("name,v\nZoë,2\n".encode())
+    assert {r["name"] for r in read_table(spark, str(tmp_path / "d.csv")).collect()} == {"José", "Zoë"}
+    (tmp_path / "q.csv").write_text('a,b\n"x\ny",1\n')
+    assert [tuple(r) for r in read_table(spark, str(tmp_path / "q.csv"), multiline=True).collect()] == [("x\ny", 1)]
+    (tmp_path / "n.json").write_text('{"id": 1, "items": [{"q": 1}]}\n{"id": 2, "items": [{"q": 2}, {"q": 3}]}\n')
+    assert sorted(read_table(spark, str(tmp_path / "n.json")).columns) == ["id", "items"]
+    (tmp_path / "o.json").write_text('{"rows": [{"q": 2}, {"q": 3}]}')
+    assert [r["q"] for r in read_table(spark, str(tmp_path / "o.json")).collect()] == [2, 3]
