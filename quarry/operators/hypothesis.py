@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import dist
-from quarry.functions.text import fmt_g
 from quarry.operators import ranks
 from quarry.operators.assoc import ALPHA, _num, significance_text
 from quarry.operators.roles import floating_columns
@@ -67,7 +66,7 @@ def welch_t_test(df: DataFrame, value: str, group: str) -> DataFrame:
     one = _first_two(m)
     if "m1" not in one.columns:
         return _result(one, "t_test", F.lit(None), F.lit(None), F.col("n_all"), F.lit(False),
-                       f"{TWO_GROUP['t_test']} requires exactly two non-empty groups.")
+                       "needs_2_groups")
     se2 = F.col("v1") / F.col("n1") + F.col("v2") / F.col("n2")
     t = F.try_divide(F.col("m1") - F.col("m2"), F.sqrt(se2))
     dof = F.try_divide(F.pow(se2, 2), F.try_divide(F.pow(F.col("v1") / F.col("n1"), 2), F.col("n1") - 1) +
@@ -75,7 +74,7 @@ def welch_t_test(df: DataFrame, value: str, group: str) -> DataFrame:
     one = one.withColumn("_t", t).withColumn("dof", dof)
     p = dist.t_two_sided_p("_t", "dof")
     return _result(one, "t_test", F.col("_t"), p, F.col("n_all"), F.col("k") == 2,
-                   f"{TWO_GROUP['t_test']} requires exactly two non-empty groups.",
+                   "needs_2_groups",
                    [F.when(F.col("k") == 2, F.col("dof")).alias("dof")])
 
 
@@ -96,7 +95,7 @@ def anova(df: DataFrame, value: str, group: str) -> DataFrame:
     m = group_moments(grouped_values(df, value, group))
     one = _anova_from_moments(m)
     return _result(one, "anova", F.col("F"), F.col("p"), F.col("n_all"), F.col("k") >= 2,
-                   f"{K_GROUP['anova']} requires at least two non-empty groups.")
+                   "needs_2_or_more_groups")
 
 
 def _rank_sums(gv: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -132,7 +131,7 @@ def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
     # two-sided: 2 * P(Z > z) for z >= 0
     p = F.when(F.col("_z") <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), dist.norm_two_sided_p("_z")))
     return _result(one, "mann_whitney", F.col("_u1"), p, F.col("n_total"), F.col("k") == 2,
-                   f"{TWO_GROUP['mann_whitney']} requires exactly two non-empty groups.")
+                   "needs_2_groups")
 
 
 def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
@@ -147,7 +146,7 @@ def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
     one = one.withColumn("_h", h).withColumn("_df", F.col("k") - 1)
     p = dist.chi2_sf("_h", "_df")
     return _result(one, "kruskal", F.col("_h"), p, F.col("n_total"), F.col("k") >= 2,
-                   f"{K_GROUP['kruskal']} requires at least two non-empty groups.")
+                   "needs_2_or_more_groups")
 
 
 def grouped_test(df: DataFrame, value: str, group: str, test: str) -> DataFrame:
@@ -164,52 +163,43 @@ def normality(df: DataFrame, value: str) -> DataFrame:
         v = F.when(~F.isnan(v), v)
     one = df.agg(F.count(v).alias("n"), F.skewness(v).alias("b1"), F.kurtosis(v).alias("g2"))
     n = F.col("n").cast("double")
-    b2 = F.col("b1")
-    y = b2 * F.sqrt(((n + 1) * (n + 3)) / (6.0 * (n - 2)))
-    beta2 = 3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
-    w2 = -1 + F.sqrt(2 * (beta2 - 1))
-    delta = 1 / F.sqrt(0.5 * F.log(w2))
-    alpha = F.sqrt(2 / (w2 - 1))
-    y = F.when(y == 0, F.lit(1.0)).otherwise(y)
-    zs = delta * F.log(y / alpha + F.sqrt(F.pow(y / alpha, 2) + 1))
-    kb = F.col("g2") + 3
-    e = 3.0 * (n - 1) / (n + 1)
-    varb2 = 24.0 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
-    x = (kb - e) / F.sqrt(varb2)
-    sb1 = 6.0 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
-    a = 6.0 + 8.0 / sb1 * (2.0 / sb1 + F.sqrt(1 + 4.0 / (sb1 * sb1)))
-    term1 = 1 - 2 / (9 * a)
-    denom = 1 + x * F.sqrt(2 / (a - 4))
-    term2 = F.signum(denom) * F.pow((1 - 2 / a) / F.abs(denom), 1.0 / 3)
-    zk = (term1 - term2) / F.sqrt(2 / (9 * a))
+    # D'Agostino's transformation of sqrt(b1): its standard deviation, then an inverse hyperbolic sine
+    b1 = F.col("b1") / F.sqrt(6 * (n - 2) / ((n + 1) * (n + 3)))
+    kurt = 3 * (n - 1) / (n + 1) * ((n * n + 27 * n - 70) * (n + 3)) * ((n + 1) * (n + 1)) / ((n - 1) * (n - 2) * (n + 5) * (n + 7) * (n + 9))
+    spread = F.sqrt(2 * kurt - 2) - 1
+    b1 = F.when(b1 == 0, F.lit(1.0)).otherwise(b1)
+    zs = F.asinh(b1 * F.sqrt((spread - 1) / 2)) / F.sqrt(F.log(spread) / 2)
+    # Anscombe and Glynn's transformation of b2: standardised, then the cube root of a scaled chi-square
+    var_b2 = 24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
+    b2 = (F.col("g2") + 3 - 3 * (n - 1) / (n + 1)) / F.sqrt(var_b2)
+    third = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+    freedom = 6 + 8 / third * (2 / third + F.sqrt(1 + 4 / (third * third)))
+    scaled = (1 - 2 / freedom) / (1 + b2 * F.sqrt(2 / (freedom - 4)))
+    zk = (1 - 2 / (9 * freedom) - F.signum(scaled) * F.pow(F.abs(scaled), 1.0 / 3)) * F.sqrt(9 * freedom / 2)
     k2 = zs * zs + zk * zk
     p = F.exp(-k2 / 2)
     valid = F.col("n") >= 20
-    msg = "At least 20 observations are needed for the omnibus normality test."
+    msg = "needs_20_rows"
     res = _result(one, "normality", k2, p, F.col("n"), valid, msg, [F.when(valid, zs).alias("z_skew"),
                                                                    F.when(valid, zk).alias("z_kurtosis")])
-    return res.withColumn("interpretation", F.when(
-        F.col("valid"), F.concat(F.lit("Normality check p="), fmt_g(F.col("p_value")), F.lit("; "),
-            F.when(F.col("p_value") >= ALPHA, "no strong departure detected").otherwise("non-normality is likely"),
-            F.lit(" (sample n="), F.format_number(F.col("n"), 0), F.lit(")."))).otherwise(F.col("interpretation")))
+    return res.withColumn("interpretation", F.when(F.col("valid"), F.when(F.col("p_value") >= ALPHA, "no_departure").otherwise("departure"))
+                          .otherwise(F.col("interpretation")))
 
 
 def levene(df: DataFrame, value: str, group: str) -> DataFrame:
     """Brown-Forsythe / median-centred Levene over groups with > 1 row."""
     gv = grouped_values(df, value, group)
-    sizes = gv.groupBy("g").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    gv = gv.join(sizes.select("g"), "g", "left_semi")
-    counts = gv.groupBy("g", "x").agg(F.count(F.lit(1)).alias("n"))
-    med = ranks.exact_quantiles(ranks.cumulative_counts(counts, ["g"], value="x"), ["g"], [0.5], value="x",
-                                names=["med"])
-    # one row per group; broadcast only when the group count is small
-    n_groups = sizes.count()
-    med_side = F.broadcast(med) if n_groups <= 1_000_000 else med
-    dev = gv.join(med_side, "g").select("g", F.abs(F.col("x") - F.col("med")).alias("x"))
-    m = group_moments(dev)
+    cum = ranks.cumulative_counts(gv.groupBy("g", "x").agg(F.count(F.lit(1)).alias("n")), ["g"], value="x").filter("total > 1")
+    counts = cum.select("g", "x", "n")
+    med = ranks.exact_quantiles(cum, ["g"], [0.5], value="x", names=["med"])
+    # deviations from the ties-collapsed table: groups may be of any size
+    dev = counts.join(med, "g").select("g", "n", F.abs(F.col("x") - F.col("med")).alias("d"))
+    w = F.col("n").cast("double")
+    m = dev.groupBy("g").agg(F.sum("n").alias("n"), (F.sum(w * F.col("d")) / F.sum("n")).alias("mean"), F.sum(w * F.col("d") * F.col("d")).alias("_sq"))
+    m = m.select("g", "n", "mean", F.try_divide(F.greatest(F.lit(0.0), F.col("_sq") - F.col("n") * F.col("mean") * F.col("mean")), F.col("n") - 1).alias("var"))
     one = _anova_from_moments(m)
     return _result(one, "levene", F.col("F"), F.col("p"), F.col("n_all"), F.col("k") >= 2,
-                   "Levene's test requires at least two groups with more than one row.")
+                   "needs_2_groups_of_2")
 
 
 def assumption_checks(df: DataFrame, value: str, group: str | None = None) -> DataFrame:

@@ -16,9 +16,9 @@ P = ("p_value",)
 
 
 def sig_text(p: str) -> str:
-    return (f"CASE WHEN {p} IS NULL OR isnan({p}) THEN 'The p-value could not be calculated for this selection.' "
-            f"WHEN {p} < 0.05 THEN 'Statistically significant at α = 0.05 (p = ' || printf('%.4g', {p}) || ').' "
-            f"ELSE 'Not statistically significant at α = 0.05 (p = ' || printf('%.4g', {p}) || ').' END")
+    return (f"CASE WHEN {p} IS NULL OR isnan({p}) THEN 'undefined' "
+            f"WHEN {p} < 0.05 THEN 'significant' "
+            f"ELSE 'not_significant' END")
 
 
 def _corr_test_sql(src: str, method: str) -> str:
@@ -26,7 +26,7 @@ def _corr_test_sql(src: str, method: str) -> str:
     return f"""SELECT x, y, '{method}' AS method, n, CASE WHEN n >= 3 THEN r END AS statistic,
         CASE WHEN n >= 3 THEN (CASE WHEN abs(r) >= 1 THEN 0.0 ELSE {p} END) END AS p_value, n >= 3 AS valid,
         CASE WHEN n >= 3 THEN {sig_text(f"(CASE WHEN abs(r) >= 1 THEN 0.0 ELSE {p} END)")}
-             ELSE 'Correlation requires at least 3 paired non-missing observations.' END AS interpretation
+             ELSE 'needs_3_pairs' END AS interpretation
       FROM ({src})"""
 
 
@@ -172,11 +172,11 @@ def _chi_sql(tbl, a, b):
     return f"""SELECT '{a}' AS first_column, '{b}' AS second_column, valid, n, r_levels, k_levels,
         CASE WHEN valid THEN chi2 END AS chi2, dof, CASE WHEN valid THEN {p} END AS p_value,
         CASE WHEN valid THEN {v} END AS cramers_v,
-        CASE WHEN NOT valid THEN 'Association strength could not be calculated.' WHEN {v} < 0.1 THEN 'negligible'
+        CASE WHEN NOT valid THEN 'undefined' WHEN {v} < 0.1 THEN 'negligible'
              WHEN {v} < 0.3 THEN 'weak' WHEN {v} < 0.5 THEN 'moderate' ELSE 'strong' END AS association_strength,
         min_expected, low_expected_cells, sparse_cells,
         CASE WHEN valid THEN {sig_text(p)}
-             ELSE 'Chi-square requires at least two categories in each selected column.' END AS interpretation
+             ELSE 'needs_2_levels' END AS interpretation
       FROM (SELECT n, rl AS r_levels, kl AS k_levels, (rl - 1) * (kl - 1) AS dof, rl >= 2 AND kl >= 2 AS valid,
                    sum(pow(abs(observed - expected) - {yates}, 2) / expected) AS chi2, min(expected) AS min_expected,
                    count(*) FILTER (WHERE expected < 5) AS low_expected_cells,
@@ -233,8 +233,8 @@ def _sig_scan(spark, sf_dir):
 
 
 @register("vif_two_predictors_lineitem", sql_rounded(
-    """SELECT feature, 1 / (1 - r * r) AS "VIF", CASE WHEN 1 / (1 - r * r) >= 10 THEN 'High multicollinearity'
-         WHEN 1 / (1 - r * r) >= 5 THEN 'Moderate' ELSE 'OK' END AS interpretation
+    """SELECT feature, 1 / (1 - r * r) AS "VIF", CASE WHEN 1 / (1 - r * r) >= 10 THEN 'high'
+         WHEN 1 / (1 - r * r) >= 5 THEN 'moderate' ELSE 'ok' END AS interpretation
        FROM (SELECT corr(l_quantity, l_extendedprice) AS r FROM lineitem),
             (VALUES ('l_quantity'), ('l_extendedprice')) v(feature)""", ["VIF"], ["feature", "interpretation"]))
 def _vif2(spark, sf_dir):
@@ -260,7 +260,7 @@ def _welch_sql(tbl, x, g):
     p = S.t_two_sided_p(t, dof)
     return f"""SELECT 't_test' AS test, CASE WHEN k = 2 THEN {t} END AS statistic, CASE WHEN k = 2 THEN {p} END AS p_value,
         n_all AS n, k = 2 AS valid, CASE WHEN k = 2 THEN {sig_text(p)}
-        ELSE 'Independent samples t-test requires exactly two non-empty groups.' END AS interpretation,
+        ELSE 'needs_2_groups' END AS interpretation,
         CASE WHEN k = 2 THEN {dof} END AS dof
       FROM (SELECT count(*) AS k, sum(n) AS n_all FROM {m}) c, (SELECT * FROM {m} WHERE i = 1) a,
            (SELECT * FROM {m} WHERE i = 2) b"""
@@ -278,7 +278,7 @@ def _t2(spark, sf_dir):
     return rounded(H.welch_t_test(table(spark, sf_dir, "labels"), "toxic", "quality"), P)
 
 
-def _anova_sql(src_rows, test="anova", msg="One-way ANOVA requires at least two non-empty groups."):
+def _anova_sql(src_rows, test="anova", msg="needs_2_or_more_groups"):
     """``src_rows`` yields (g, x)."""
     f = "((ssb / (k - 1)) / (ssw / (n_all - k)))"
     p = S.f_sf(f, "(k - 1)", "(n_all - k)")
@@ -317,7 +317,7 @@ def _mwu_sql(tbl, x, g):
     grp = f"""(SELECT row_number() OVER (ORDER BY g) AS i, g, count(*) AS n, sum(rk) AS rs FROM ({rr}) GROUP BY g)"""
     return f"""SELECT 'mann_whitney' AS test, CASE WHEN k = 2 THEN {u1} END AS statistic,
         CASE WHEN k = 2 THEN {p} END AS p_value, t.nn::BIGINT AS n, k = 2 AS valid,
-        CASE WHEN k = 2 THEN {sig_text(p)} ELSE 'Mann-Whitney U requires exactly two non-empty groups.' END
+        CASE WHEN k = 2 THEN {sig_text(p)} ELSE 'needs_2_groups' END
           AS interpretation
       FROM (SELECT count(*) AS k FROM {grp}) c,
            (SELECT sum(c * c * c - c) AS tie, sum(c) AS nn FROM (SELECT count(*)::DOUBLE AS c FROM ({_gx(tbl, x, g)})
@@ -337,7 +337,7 @@ def _kw_sql(tbl, x, g):
     p = S.chi2_sf(h, "(s.k - 1)")
     return f"""SELECT 'kruskal' AS test, CASE WHEN s.k >= 2 THEN {h} END AS statistic,
         CASE WHEN s.k >= 2 THEN {p} END AS p_value, t.nn::BIGINT AS n, s.k >= 2 AS valid,
-        CASE WHEN s.k >= 2 THEN {sig_text(p)} ELSE 'Kruskal-Wallis requires at least two non-empty groups.' END
+        CASE WHEN s.k >= 2 THEN {sig_text(p)} ELSE 'needs_2_or_more_groups' END
           AS interpretation
       FROM (SELECT count(*) AS k, sum(rs * rs / n) AS ssr FROM (SELECT g, count(*) AS n, sum(rk) AS rs FROM ({rr})
               GROUP BY g)) s,
@@ -356,7 +356,7 @@ def _levene_sql(tbl, x, g):
     src = _gx(tbl, x, g)
     dev = f"""SELECT s.g, abs(s.x - m.med) AS x FROM ({src}) s JOIN (SELECT g, median(x) AS med FROM ({src})
               GROUP BY g HAVING count(*) > 1) m ON s.g = m.g"""
-    return _anova_sql(dev, "levene", "Levene''s test requires at least two groups with more than one row.")
+    return _anova_sql(dev, "levene", "needs_2_groups_of_2")
 
 
 @register("levene_orders_price_by_priority", sql_rounded(_levene_sql("orders", "o_totalprice", "o_orderpriority"),
@@ -394,10 +394,7 @@ def _normal_sql(tbl, x):
     p = f"exp(-{k2} / 2)"
     return f"""SELECT 'normality' AS test, CASE WHEN n >= 20 THEN {k2} END AS statistic,
         CASE WHEN n >= 20 THEN {p} END AS p_value, n, n >= 20 AS valid,
-        CASE WHEN n >= 20 THEN 'Normality check p=' || printf('%.4g', {p}) || '; ' ||
-             CASE WHEN {p} >= 0.05 THEN 'no strong departure detected' ELSE 'non-normality is likely' END ||
-             ' (sample n=' || format('{{:,}}', n) || ').'
-             ELSE 'At least 20 observations are needed for the omnibus normality test.' END AS interpretation,
+        CASE WHEN n >= 20 THEN CASE WHEN {p} >= 0.05 THEN 'no_departure' ELSE 'departure' END ELSE 'needs_20_rows' END AS interpretation,
         CASE WHEN n >= 20 THEN {zs} END AS z_skew, CASE WHEN n >= 20 THEN {zk} END AS z_kurtosis
       FROM (SELECT count({x}) AS n, avg(pow({x} - mu, 3)) / pow(avg(pow({x} - mu, 2)), 1.5) AS b1,
                    avg(pow({x} - mu, 4)) / pow(avg(pow({x} - mu, 2)), 2) AS kb

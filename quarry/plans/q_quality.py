@@ -62,9 +62,9 @@ def targets_sql(tbl, cols):
     miss = 'missing / greatest("rows", 1)'
     return f"""SELECT "column", reason, missing_percent, unique_count, priority_score FROM (
       SELECT "column", position,
-        CASE WHEN kind = 'numeric' AND "distinct" > 5 THEN 'numeric outcome candidate for regression'
-             WHEN "distinct" <= 10 OR is_binary THEN 'class/segment candidate for classification'
-             ELSE 'categorical outcome candidate; consider grouping rare levels' END AS reason,
+        CASE WHEN kind = 'numeric' AND "distinct" > 5 THEN 'numeric_outcome'
+             WHEN "distinct" <= 10 OR is_binary THEN 'few_classes'
+             ELSE 'many_classes' END AS reason,
         {miss} * 100 AS missing_percent, "distinct" AS unique_count,
         round((1 - {miss}) + least("distinct", 20) / 20.0 +
               CASE WHEN {_like_any(name, Q.LEAKAGE_KEYWORDS)} THEN 0.4 ELSE 0.0 END, 3) AS priority_score
@@ -93,14 +93,14 @@ def candidates_sql(tbl, cols):
     num = "kind = 'numeric'"
     cat = "kind IN ('categorical', 'boolean')"
     terms = [
-        (_like_any(lower, Q.TARGET_SIGNALS), 4, "name looks outcome-oriented"),
-        (f"{lower} IN ({', '.join(repr(x) for x in Q.FINAL_NAMES)})", 2, "looks like a final outcome field"),
-        ("is_binary", 3, "binary target candidate"),
-        (f'{num} AND "distinct" >= 5', 2, "continuous numeric outcome candidate"),
-        (f'{num} AND "distinct" <= 20', 1, "bounded/ordinal numeric outcome candidate"),
-        (f'{cat} AND "distinct" <= 20', 2, "manageable categorical classes"),
+        (_like_any(lower, Q.TARGET_SIGNALS), 4, "outcome_name"),
+        (f"{lower} IN ({', '.join(repr(x) for x in Q.FINAL_NAMES)})", 2, "final_name"),
+        ("is_binary", 3, "binary"),
+        (f'{num} AND "distinct" >= 5', 2, "numeric_5_or_more"),
+        (f'{num} AND "distinct" <= 20', 1, "numeric_20_or_fewer"),
+        (f'{cat} AND "distinct" <= 20', 2, "classes_20_or_fewer"),
         (f"{lower} IN ({', '.join(repr(x) for x in Q.IDENTIFIER_NAMES)}) OR suffix({lower}, 'id')", -5,
-         "identifier-like leakage risk"),
+         "identifier_name"),
     ]
     score = " + ".join(f"(CASE WHEN {c} THEN {w} ELSE 0 END)" for c, w, _ in terms)
     why = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{t}' END" for c, _, t in terms) + \
