@@ -187,7 +187,7 @@ def frequency_table(df: DataFrame, columns: list[str], top: int | None = None, p
     denom = "_all" if percent_of == "all" else "_present"
     order = [F.col("n").desc(), F.col("value").asc()]
     if top is not None:
-        ranked = top_k(h, ["column"], order, top, ["value"])
+        ranked = top_k(h, ["column"], order, top)
     else:
         # count-descending rank of every level from the rank engine (levels
         # of a near-unique column never meet in one task)
@@ -316,7 +316,7 @@ def sample_values(df: DataFrame, k: int = 5, hist: DataFrame | None = None) -> D
     """First ``k`` distinct non-missing values per column in value order (P20),
     by a two-stage top-k (never one collected group per column)."""
     h = hist if hist is not None else value_hist(df)
-    firsts = top_k(h.filter(F.col("value").isNotNull()), ["column"], [F.col("value").asc()], k, ["value"])
+    firsts = top_k(h.filter(F.col("value").isNotNull()), ["column"], [F.col("value").asc()], k)
     return firsts.select("column", F.col("rank").cast("long").alias("rank"), "value")
 
 

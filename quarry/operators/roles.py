@@ -77,16 +77,23 @@ class ColumnRoles:
 
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row: ``rows`` and exact non-missing distinct count per column."""
+    """One row: ``rows`` and exact non-missing distinct count per column.
+
+    Distinct values of all columns are collapsed in one map-side combined
+    aggregate keyed by column (several distinct counts in one aggregate would
+    multiply every row by the number of columns before combining)."""
+    from quarry.operators import ranks
     cols = columns if columns is not None else profiled_columns(df)
-    flo = floating_columns(df)
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for c in cols:
-        x = F.col(c)
-        if c in flo:
-            x = F.when(~F.isnan(x), x)
-        aggs.append(F.count_distinct(x).alias(c))
-    return df.agg(*aggs)
+    flo = set(floating_columns(df))
+    rows = df.count()
+    got: dict[str, int] = {}
+    if cols:
+        # + 0.0: both zeros are one value; NaN is missing
+        same = df.select(*[(F.nanvl(F.col(c), F.lit(None).cast("double")) + F.lit(0.0) if c in flo else F.col(c)).cast("string").alias(c) for c in cols])
+        per = ranks.value_counts(same, cols, "string").groupBy("column").agg(F.count(F.lit(1)).alias("d"))
+        got = {r["column"]: r["d"] for r in per.collect()}  # one row per column
+    values = [rows, *[got.get(c, 0) for c in cols]]
+    return df.sparkSession.range(1).select(*[F.lit(v).cast("long").alias(c) for v, c in zip(values, ["rows", *cols], strict=True)])
 
 
 def two_valued(df: DataFrame, columns: list[str]) -> dict[str, int]:

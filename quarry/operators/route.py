@@ -133,27 +133,28 @@ def _normalise(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
 
 
+def mentions(text: Column, columns: list[str]) -> Column:
+    """The columns named in a text, by position, then name length, then name: a
+    boundary match (any case) or, failing that, a substring of the letters and digits.
+    One expression per column of the dataset: routing is a projection."""
+    plain, low = _normalise(text), F.lower(text)
+    found = []
+    for c in columns:
+        name = re.sub("[^a-z0-9]+", "", c.lower())
+        at = F.regexp_instr(text, F.lit("(?i)(?<![A-Za-z0-9_])" + re.escape(c) + "(?![A-Za-z0-9_])"))
+        part = F.instr(plain, name) > 0 if name else F.lit(False)
+        inside = F.instr(low, c.lower())
+        place = F.when(at > 0, at - 1).when(inside > 0, inside - 1).otherwise(F.lit(10000))
+        found.append(F.when((at > 0) | part, F.struct(place.alias("p"), F.lit(len(c)).alias("l"), F.lit(c).alias("n"))))
+    if not found:
+        return F.array().cast("array<string>")
+    return F.transform(F.array_sort(F.array_compact(F.array(*found))), lambda m: m["n"])
+
+
 def column_mentions(questions: DataFrame, id_col: str, text_col: str, columns: list[str],
                     out: str = "columns") -> DataFrame:
-    """Dataset columns mentioned in each text, ordered by position then
-    name length; boundary match (case-insensitive) or normalised substring."""
-    spark = questions.sparkSession
-    names = spark.createDataFrame(
-        [(c, "(?i)(?<![A-Za-z0-9_])" + re.escape(c) + "(?![A-Za-z0-9_])", len(c)) for c in columns],
-        "name string, pattern string, name_len int")
-    q = questions.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    pairs = q.crossJoin(F.broadcast(names))  # names: one row per dataset column (schema-bounded)
-    b = F.expr("regexp_instr(_t, pattern)")
-    compact = (_normalise(F.col("name")) != "") & F.instr(_normalise(F.col("_t")), _normalise(F.col("name"))).cast(
-        "boolean")
-    found = pairs.withColumn("_b", b).filter((F.col("_b") > 0) | compact)
-    pos = F.when(F.col("_b") > 0, F.col("_b") - 1).otherwise(F.instr(F.lower("_t"), F.lower("name")) - 1)
-    pos = F.when(pos >= 0, pos).otherwise(F.lit(10000))
-    agg = found.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct(pos.alias("p"), F.col("name_len").alias("l"),
-                                                                        F.col("name").alias("n")))).alias("_m"))
-    agg = agg.select("_id", F.transform("_m", lambda s: s["n"]).alias(out))
-    return questions.join(agg.withColumnRenamed("_id", id_col), id_col, "left").withColumn(
-        out, F.coalesce(F.col(out), F.array().cast("array<string>")))
+    """N2 over a table of texts: adds ``out``."""
+    return questions.withColumn(out, mentions(F.col(text_col), columns))
 
 
 def _suffix_after(text: Column, pattern: str) -> Column:

@@ -1,9 +1,8 @@
-"""Distributed top-k per key (W5) without one task per key.
+"""Top-k per key.
 
-Stage 1 ranks inside ``(key, salt)`` slices, where ``salt`` is a hash of
-the ordering columns; stage 2 ranks the at most ``salts * k`` survivors of
-each key.  A key holding most of the rows is thus spread over ``salts``
-tasks, and the final window sees a bounded number of rows per key.
+Spark keeps at most k rows per key in each task before the shuffle (a window
+limit on ``row_number() <= k``), so a key that holds most of the rows sends k
+rows per task, not all of them.
 """
 
 from __future__ import annotations
@@ -11,14 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 64
 
-
-def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, salt_cols: list[str],
-          rank_col: str = "rank", salts: int = SALTS) -> DataFrame:
+def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank_col: str = "rank") -> DataFrame:
     """Rows ranked 1..k per key by ``order`` (which must be a total order)."""
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(salts)))
-    w1 = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    first = salted.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= k).drop("_r1", "_salt")
-    w2 = Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
-    return first.withColumn(rank_col, F.row_number().over(w2)).filter(F.col(rank_col) <= k)
+    if not keys:
+        df = df.orderBy(*order).limit(k)  # k rows per task, then k in all
+    w = Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
+    return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)

@@ -2,8 +2,10 @@
 
 Counts, sums and sums of squares are mergeable, so windowed moments of an
 unbounded ``events``-like stream are a watermarked ``groupBy(window, key)``;
-mean and variance are derived from the sums when read.  The sink rewrites
-the complete result per micro-batch (``foreachBatch``), and the query's
+mean and variance are derived from the sums when read.  Each micro-batch
+writes the windows it changed to a folder of its own (named by batch, so a
+repeated batch overwrites itself); a reader takes each window's last version.
+The watermark lets finished windows leave the state, and the query's
 checkpoint lives in the shared checkpoint folder, so a restarted job
 resumes exactly once.
 """
@@ -47,11 +49,18 @@ def run_available_now(spark: SparkSession, source_dir: str, schema, sink_dir: st
     stream = spark.readStream.schema(schema).parquet(source_dir)
     agg = windowed_moments(stream, ts, value, key, window, decimal_scale=decimal_scale)
 
-    def write(batch: DataFrame, _batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(sink_dir)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink_dir}/batch={batch_id}")
 
-    q = (agg.writeStream.outputMode("complete").foreachBatch(write)
+    q = (agg.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", os.path.join(base, "quarry-streams", name))
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return finish_moments(spark.read.parquet(sink_dir))
+    return finish_moments(last_versions(spark.read.parquet(sink_dir), key))
+
+
+def last_versions(written: DataFrame, key: str) -> DataFrame:
+    """The newest batch's row for each window and key."""
+    rest = [c for c in written.columns if c not in ("w", key, "batch")]
+    last = written.groupBy("w", key).agg(F.max_by(F.struct(*rest), "batch").alias("_v"))
+    return last.select("w", key, *[F.col(f"_v.{c}").alias(c) for c in rest])
