@@ -25,13 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm.textkit import pieces
+
 #: Bytes encoded directly; longest piece and number of pieces that are remembered.
 LEAF, MEMO_CHARS, MEMO = 24, 48, 1 << 17
+#: Up to so many bytes every merge looks through all pairs; beyond, a heap holds them.
+SHORT, NONE = 32, 1 << 60
 
 
 class TreeEncoder:
@@ -39,11 +44,26 @@ class TreeEncoder:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
 
+    def short(self, b: bytes) -> list[int]:
+        """``direct`` for few bytes: looks through all pairs for each merge."""
+        get = self.ranks.get
+        parts = [b[i:i + 1] for i in range(len(b))]
+        pairs = [get(b[i:i + 2], NONE) for i in range(len(b) - 1)]
+        while pairs and (least := min(pairs)) != NONE:
+            i = pairs.index(least)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], NONE)
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], NONE)
+        return [self.ranks[p] for p in parts]
+
     def direct(self, b: bytes) -> list[int]:
         """Merges the leftmost pair of least rank until none is left."""
         ranks, n = self.ranks, len(b)
-        if n < 2:
-            return [ranks[b]] if n else []
+        if n <= SHORT:
+            return self.short(b)
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
         heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := ranks.get(b[i:i + 2])) is not None]
@@ -123,7 +143,6 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, ids: str = "ids") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, find = _encoder(shared.value), regex.compile(pattern).findall
-        memo: dict[str, bytes] = {}
 
         class Memo(dict):
             def __missing__(self, piece: str) -> bytes:
@@ -137,10 +156,12 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, ids: str = "ids") -> D
         memo = Memo()
         get = memo.__getitem__
         for b in batches:
-            packed = [b"".join(map(get, find(t))) if t else b"" for t in b.column(text_at).to_pylist()]
-            off = np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed]))).astype(np.int32)
-            flat = pa.array(np.frombuffer(b"".join(packed), np.int32))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(off), flat)], names=names)
+            for lo, hi in pieces(pc.fill_null(pc.binary_length(b.column(text_at)), 0).to_pylist()):
+                part = b.slice(lo, hi - lo)
+                packed = [b"".join(map(get, find(t))) if t else b"" for t in part.column(text_at).to_pylist()]
+                off = np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed]))).astype(np.int32)
+                flat = pa.array(np.frombuffer(b"".join(packed), np.int32))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(off), flat)], names=names)
 
     return docs.mapInArrow(run, schema)
 
@@ -153,6 +174,7 @@ def decoder(docs: DataFrame, rank_file: str):
     @F.arrow_udf("binary")
     def decode(ids: pa.Array) -> pa.Array:
         encoder = _encoder(shared.value)
-        return pa.array([encoder.decode_tree(x) if x else b"" for x in ids.to_pylist()], pa.binary())
+        off, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+        return pa.array([encoder.decode_tree(flat[x:y].tolist()) for x, y in zip(off[:-1], off[1:], strict=True)], pa.binary())
 
     return decode
