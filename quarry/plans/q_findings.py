@@ -111,12 +111,59 @@ register("findings_strongest_pairs_lineitem_nulls", _sql("key_findings", [
         [r for r in R.SECTIONS["key_findings"] if r.code in ("strongest_positive", "strongest_negative", "most_missing")])))
 
 
-register("findings_chart_recommendations_lineitem")(_run("charts", lambda s, d: table(s, d, "lineitem"), R.chart_recommendations))
-register("findings_key_findings_lineitem_nulls")(_run("key", FX.lineitem_nulls, R.key_findings))
-register("findings_insights_lineitem_nulls")(_run("insights", FX.lineitem_nulls, R.insights))
+_LI_PAIRS = _pairs("lineitem", _LN_NUM)
+register("findings_chart_recommendations_lineitem", _sql("charts", [
+    _row("correlation_heatmap", value="8"),
+    f"SELECT row_number() OVER (ORDER BY abs(c) DESC, l, r) AS o, 'scatter_with_line' AS code, l AS subject, r AS other, c AS value "
+    f"FROM (SELECT * FROM {_LI_PAIRS} ORDER BY abs(c) DESC, l, r LIMIT 2)",
+    "SELECT row_number() OVER (ORDER BY abs(value) DESC, subject) AS o, code, subject, other, value FROM (" + " UNION ALL ".join(
+        _row("distribution", f"'{c}'", value=f"skewness({c})", tail="FROM lineitem") for c in _LN_NUM) + ") WHERE abs(value) >= 1 ORDER BY abs(value) DESC LIMIT 2",
+    _row("category_counts", "'l_linestatus'", value="count(DISTINCT l_linestatus)", tail="FROM lineitem"),
+    _row("box_by_category", "'l_discount'", "'l_linestatus'", "count(DISTINCT l_linestatus)", "FROM lineitem"),
+    _row("scatter_matrix", value="8"), _row("line_over_time", "'l_discount'", "'l_shipdate'")]))(
+        _run("charts", lambda s, d: table(s, d, "lineitem"), R.chart_recommendations))
+
+_LN_SORTED = sorted(_LN_NUM)
+_CELLS = f"(SELECT count(*) FROM {_LN} z)"
+
+
+def _share_rows() -> str:
+    """The most imbalanced category: share of its most frequent value (ties to the smaller value), by schema order."""
+    parts = [f"""SELECT {i} AS o, '{c}' AS subject, v AS other, 100.0 * n / {_CELLS} AS value FROM
+        (SELECT {c} AS v, count(*) AS n FROM {_LN} z WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY n DESC, v LIMIT 1)"""
+             for i, c in enumerate(("l_returnflag", "l_linestatus"))]
+    return (f"SELECT o, 'most_imbalanced' AS code, subject, other, value FROM ({' UNION ALL '.join(parts)}) ORDER BY value DESC, o LIMIT 1")
+
+
+def _variation_rows() -> str:
+    parts = " UNION ALL ".join(_row("most_variable", f"'{c}'", value=f"stddev_samp({c}) / avg({c})", tail=f"FROM {_LN} z") for c in _LN_NUM)
+    return f"SELECT * FROM ({parts}) ORDER BY abs(value) DESC LIMIT 1"
+
+
+register("findings_key_findings_lineitem_nulls", _sql("key_findings", [
+    _row("column_counts_numeric", value="8"), _row("column_counts_categorical", value="2"), _row("column_counts_datetime", value="1"),
+    _row("strongest_positive", "l", "r", "c", f"FROM (SELECT * FROM {_pairs(_LN, _LN_NUM)} WHERE c > 0 ORDER BY c DESC, l, r LIMIT 1) t"),
+    _row("strongest_negative", "l", "r", "c", f"FROM (SELECT * FROM {_pairs(_LN, _LN_NUM)} WHERE c < 0 ORDER BY c, l, r LIMIT 1) t"),
+    _variation_rows(), _share_rows(), _missing_rows("most_missing", "LIMIT 1")]))(_run("key", FX.lineitem_nulls, R.key_findings))
+
+_HOT = " UNION ALL ".join(f"""SELECT {i} AS o, 'outlier_hotspot' AS code, '{c}' AS subject, NULL::VARCHAR AS other, CAST((SELECT count(*) FROM {_LN} x,
+    (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM {_LN} y) f
+    WHERE x.{c} < q1 - 1.5 * (q3 - q1) OR x.{c} > q3 + 1.5 * (q3 - q1)) AS DOUBLE) AS value""" for i, c in enumerate(_LN_SORTED))
+register("findings_insights_lineitem_nulls", _sql("insights", [
+    _row("rows", value=_CELLS), _row("columns", value="11"),
+    _row("completeness", value=f"100 - 100.0 * ({_LN_MISS}) / (11 * count(*))", tail=f"FROM {_LN} z"),
+    _missing_rows("missing_hotspot", "LIMIT 1"), f"SELECT * FROM ({_HOT}) ORDER BY value DESC, o LIMIT 1",
+    _row("strongest_pair", "l", "r", "c", f"FROM {_LN_TOP} t")]))(_run("insights", FX.lineitem_nulls, R.insights))
+
+register("findings_intelligence_orders", sql_rounded(f"""
+    SELECT 'prediction_tasks' AS section, CAST(row_number() OVER () AS INT) AS ord, 'predict' AS code, "column" AS subject, problem_type AS other,
+      CAST(score AS DOUBLE) AS value FROM ({candidates_sql('orders', ORDERS_COLS)})
+    UNION ALL SELECT 'segmentation', CAST(row_number() OVER (ORDER BY p) AS INT), 'segment_by', c, NULL, CAST(d AS DOUBLE) FROM (
+      SELECT 0 AS p, 'o_orderkey' AS c, count(DISTINCT o_orderkey) AS d FROM orders UNION ALL SELECT 1, 'o_custkey', count(DISTINCT o_custkey) FROM orders
+      UNION ALL SELECT 2, 'o_totalprice', count(DISTINCT o_totalprice) FROM orders) WHERE d > 1""", ["value"], _O))(
+        _run("intelligence", _orders, R.intelligence))
 register("findings_quality_interpretation_part_const")(_run("quality", FX.part_const, R.quality_interpretation))
 register("findings_descriptive_takeaways_lineitem_nulls")(_run("takeaways", FX.lineitem_nulls, R.descriptive_takeaways))
-register("findings_intelligence_orders")(_run("intelligence", _orders, R.intelligence))
 register("findings_summary_report_orders")(_run("report", _orders, R.summary_report))
 
 
