@@ -74,7 +74,7 @@ for _name, _tbl, _x, _y, _ties in [("spearman_lineitem_quantity_discount", "line
                                                "spearman" if _ties == "average" else "spearman_min_rank"),
                                 CT_D, CT_O, P))(_mk(_tbl, _x, _y, _ties))
 
-LI = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LI = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def _matrix_sql(tbl, cols):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.operators import findings as R
 from quarry.plans import fixtures as FX
 from quarry.plans.catalog import register, rounded, sql_rounded, table
-from quarry.plans.q_quality import ORDERS_COLS, _theme_sql, candidates_sql  # noqa: F401
+from quarry.plans.q_quality import ORDERS_COLS, candidates_sql
 
 _O = ["section", "ord", "code", "subject", "other"]
 

@@ -8,8 +8,8 @@ from quarry.operators import profile as P
 from quarry.plans.catalog import register, rounded, sql_rounded, table
 from quarry.plans.sqlgen import q
 
-LINEITEM_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-EVENTS_NUM = ["value"]
+LINEITEM_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+EVENTS_NUM = ["event_id", "user_id", "value"]
 
 PROFILE_DOUBLES = ["mean", "median", "mode", "std", "variance", "min", "max", "range", "q1", "q3", "iqr",
                    "skewness", "kurtosis", "missing_percent", "outlier_percent_iqr", "coefficient_of_variation",
