@@ -11,7 +11,6 @@ ignored; an empty table gives an empty histogram.
 from __future__ import annotations
 
 import pyarrow as pa
-import regex  # noqa: F401  (the encoder's pattern needs it)
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
