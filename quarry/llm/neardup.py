@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,7 +71,7 @@ def _signatures(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text")
-            sizes = [len(x) if x else 0 for x in texts.to_pylist()]
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
             for lo, hi in K.pieces(sizes):
                 raws = [(x or "").encode().translate(K.LOWER) for x in texts.slice(lo, hi - lo).to_pylist()]
                 e, off = K.shingle_sets(raws, width)
@@ -86,6 +87,7 @@ def _signatures(width: int, bands: int, rows: int):
                     pa.array((c1[off[1:]] - c1[off[:-1]]).view(np.int64)), pa.array((c2[off[1:]] - c2[off[:-1]]).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), flat)],
                     names=["doc_id", "rid", "n_shingles", "s1", "s2", "bands"])
+            K.release()
     return run
 
 
@@ -110,6 +112,8 @@ def _confirm(width: int, percent: int):
                     keep.append(i)
             if keep:
                 yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(keep)), b.column("b").take(pa.array(keep))], names=["a", "b"])
+            del ta, tb, sets
+            K.release()
     return run
 
 
@@ -243,6 +247,13 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """
     verdict = near_duplicates(docs, **options)
     ids = verdict.where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    own = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), F.lit(":"), F.coalesce("text", F.lit(""))), 256)
-    return (docs.join(ids, docs.doc_id.eqNullSafe(ids["__id"]), "left_semi").withColumn("__own", own)
-            .dropDuplicates(["__own"]).drop("__own"))
+    kept = docs.join(ids, docs.doc_id.eqNullSafe(ids["__id"]), "left_semi")
+    # exactly repeated rows are looked for by key alone; only their texts are moved once more
+    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), F.xxhash64("text"), F.hash("text")]
+    several = save(docs.select(*(k.alias(f"__{i}") for i, k in enumerate(key))).groupBy("__0", "__1", "__2").agg(F.count("*").alias("c")).where("c > 1").drop("c"))
+    if several.isEmpty():
+        return kept
+    marked = kept.select("*", *(k.alias(f"__{i}") for i, k in enumerate(key)))
+    names = ["__0", "__1", "__2"]
+    once = marked.join(several, names, "left_anti")
+    return once.unionByName(marked.join(several, names, "left_semi").dropDuplicates(names)).drop(*names)
