@@ -49,8 +49,8 @@ LENGTH, K = 100, 24
 WINDOWS = LENGTH - K + 1
 #: Different contexts of one anchor above which they are split by place, and windows in each of those runs.
 MAX_GROUP, PLACE = 8192, 20
-#: Bytes of text for each bucket of anchors, each block of documents; bytes of contexts for each index.
-BUCKET_BYTES, BLOCK_BYTES, INDEX_BYTES = 32 << 20, 8 << 20, 2 << 20
+#: Bytes of text for each bucket of anchors and each block of documents, of contexts for each index, and of text described at a time.
+BUCKET_BYTES, BLOCK_BYTES, INDEX_BYTES, MAP_BYTES = 16 << 20, 4 << 20, 1 << 20, 8 << 20
 
 U = np.uint64
 _POS_BITS = U(28)
@@ -116,30 +116,35 @@ def _describe(buckets: int):
             texts, ids = b.column("text"), b.column("id").to_numpy()
             rks = b.column("rk").to_numpy()
             sizes = pc.binary_length(texts).to_numpy()
-            found = []
-            for lo, hi in T.pieces(sizes.tolist()):
-                x = anchors([t.as_py() for t in texts.slice(lo, hi - lo)])
-                found.append((x[0] + lo, *x[1:]))
-            row, pos, lo_, hi_, a, c = (np.concatenate(x) for x in zip(*found, strict=True))
-            if not len(row):
-                continue
-            order, _, _, later = _sorted_classes(a, c, ids[row], pos)
-            kind = np.zeros(len(row), np.int64)
-            kind[order] = later  # 1: an earlier copy is in this very batch
-            bucket = (a % U(buckets)).astype(np.int64)
-            group = bucket * 2 + kind
-            order = np.argsort(group, kind="stable")
-            edges = np.flatnonzero(np.concatenate(([True], np.diff(group[order]) != 0, [True])))
-            for s, e in zip(edges[:-1], edges[1:], strict=True):
-                i = order[s:e]
-                used, di = np.unique(row[i], return_inverse=True)
-                cols = [ids[used], rks[used], di.astype(np.uint32), pos[i].astype(np.uint32), lo_[i].astype(np.uint8), hi_[i].astype(np.uint8)]
-                first = kind[i[0]] == 0
-                cols += [(a[i] >> U(32)).astype(np.uint32), c[i].astype(U)] if first else [np.zeros(0), np.zeros(0)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(bucket[i[0]])], pa.int32()), pa.array([int(kind[i[0]])], pa.int32()),
-                     *(pa.array([x.tobytes()], pa.binary()) for x in cols)],
-                    names=["bucket", "kind", "ids", "rks", "di", "pos", "lo", "hi", "a", "c"])
+            for from_, to in T.pieces(sizes.tolist(), MAP_BYTES):
+                yield from described(texts.slice(from_, to - from_), ids[from_:to], rks[from_:to], sizes[from_:to])
+            T.release()
+
+    def described(texts, ids, rks, sizes):
+        found = []
+        for lo, hi in T.pieces(sizes.tolist()):
+            x = anchors([t.as_py() for t in texts.slice(lo, hi - lo)])
+            found.append((x[0] + lo, *x[1:]))
+        row, pos, lo_, hi_, a, c = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not len(row):
+            return
+        order, _, _, later = _sorted_classes(a, c, ids[row], pos)
+        kind = np.zeros(len(row), np.int64)
+        kind[order] = later  # 1: an earlier copy is in this very batch
+        bucket = (a % U(buckets)).astype(np.int64)
+        group = bucket * 2 + kind
+        order = np.argsort(group, kind="stable")
+        edges = np.flatnonzero(np.concatenate(([True], np.diff(group[order]) != 0, [True])))
+        for s, e in zip(edges[:-1], edges[1:], strict=True):
+            i = order[s:e]
+            used, di = np.unique(row[i], return_inverse=True)
+            cols = [ids[used], rks[used], di.astype(np.uint32), pos[i].astype(np.uint32), lo_[i].astype(np.uint8), hi_[i].astype(np.uint8)]
+            first = kind[i[0]] == 0
+            cols += [(a[i] >> U(32)).astype(np.uint32), c[i].astype(U)] if first else [np.zeros(0), np.zeros(0)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(bucket[i[0]])], pa.int32()), pa.array([int(kind[i[0]])], pa.int32()),
+                 *(pa.array([x.tobytes()], pa.binary()) for x in cols)],
+                names=["bucket", "kind", "ids", "rks", "di", "pos", "lo", "hi", "a", "c"])
     return run
 
 
@@ -199,6 +204,7 @@ def _meet(blocks: int):
             for kind_, own_ in ((1, ~big), (2, big)):
                 j = i[own_]
                 tables.append(_emit(kind_, blocks, ids[j], rks[j], pos[j] - lo[j], pos[j] - hi[j] + LENGTH, pos[j], key[own_]))
+        T.release()
         return pa.concat_tables(tables)
     return run
 
@@ -352,6 +358,8 @@ def _index(blocks: int):
         hit = index.repeated(doc[part] << 32 | place, LENGTH)
         if not len(hit):
             return _emit(0, blocks, ids[:0], rks[:0], s[:0], s[:0])
+        del index
+        T.release()
         new = np.concatenate(([True], np.diff(hit) != 1))  # places of one context that follow each other
         head = np.flatnonzero(new)
         last = np.concatenate((head[1:], [len(hit)])) - 1
@@ -362,7 +370,7 @@ def _index(blocks: int):
 
 # ---- step 3: back to the documents -------------------------------------------------------
 
-def _spans(blocks_schema: str):
+def _spans(changed_only: bool):
     def run(texts: pa.Table, marks: pa.Table) -> pa.Table:
         spans: dict[tuple, list] = {}
         if marks.num_rows:
@@ -371,7 +379,12 @@ def _spans(blocks_schema: str):
             for i, r, x, y in zip(ids, rks, s, e, strict=True):
                 spans.setdefault((i, r), []).append((x, y))
         out: list[list] = [[] for _ in range(3)]
-        for i, r, t in zip(texts.column("id").to_pylist(), texts.column("rk").to_pylist(), texts.column("text").to_pylist(), strict=True):
+        rows = []
+        text = texts.column("text")
+        for at_row, (i, r) in enumerate(zip(texts.column("id").to_pylist(), texts.column("rk").to_pylist(), strict=True)):
+            if changed_only and (i, r) not in spans:
+                continue
+            t = text[at_row].as_py()
             runs: list[list[int]] = []
             for x, y in sorted(spans.get((i, r), ())):
                 if runs and x <= runs[-1][1]:
@@ -383,22 +396,28 @@ def _spans(blocks_schema: str):
                 kept.append(t[at:x])
                 at = y
             kept.append(t[at:])
+            rows.append(at_row)
             out[0].append([{"start": x, "end": y} for x, y in runs])
             out[1].append(len(t))
             out[2].append(b"".join(kept))
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         more = [pa.array(out[0], kind), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())]
-        keep = [c for c in texts.column_names if c not in ("block", "text")]
-        return pa.Table.from_arrays([*(texts.column(c) for c in keep), *more], names=[*keep, "spans", "n_bytes", "kept_bytes"])
+        take = pa.array(rows, pa.int64())
+        return pa.Table.from_arrays([*(texts.column(c).take(take) for c in ("doc_id", "id", "rk")), *more],
+                                    names=["doc_id", "id", "rk", "spans", "n_bytes", "kept_bytes"])
     return run
 
 
-def repeated_spans(docs: DataFrame, extra: str | None = None) -> DataFrame:
-    """doc_id, spans (maximal removed runs), n_bytes and kept_bytes for each row of ``docs`` (doc_id, text);
-    ``extra`` names a column that is passed through."""
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"),
-                       F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"),
-                       F.xxhash64(F.coalesce("text", F.lit(""))).alias("rk"), *([extra] if extra else []))
+def _key(id_: str = "doc_id", text: str = "text") -> list:
+    """What tells a row apart: its doc_id (null: the least) and its text's hash."""
+    return [F.coalesce(F.col(id_).cast("long"), F.lit(_NULL_ID)), F.xxhash64(F.coalesce(F.col(text), F.lit("")))]
+
+
+def repeated_spans(docs: DataFrame, changed_only: bool = False) -> DataFrame:
+    """doc_id, id and rk (the row's key), spans (maximal removed runs), n_bytes and kept_bytes for
+    each row of ``docs`` (doc_id, text), or only for those that lose bytes."""
+    id_, rk = _key()
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), id_.alias("id"), rk.alias("rk"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, blocks = 1 + total // BUCKET_BYTES, 1 + total // BLOCK_BYTES
 
@@ -419,25 +438,27 @@ def repeated_spans(docs: DataFrame, extra: str | None = None) -> DataFrame:
     second = ctx.groupBy("bucket").applyInArrow(_index(blocks), _OUT)
     marks = save(first.where("kind = 0").unionByName(second))
 
-    names = ["doc_id", "id", "rk", *([extra] if extra else [])]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.select(*names).schema)
-    out = (placed.select("block", "text", *names).groupBy("block").cogroup(marks.groupBy("block"))
-           .applyInArrow(_spans(schema), schema + ", spans array<struct<start: long, end: long>>, n_bytes long, kept_bytes binary"))
-    return out.drop("id", "rk")
+    schema = "doc_id long, id long, rk long, spans array<struct<start: long, end: long>>, n_bytes long, kept_bytes binary"
+    return (placed.select("block", "text", "doc_id", "id", "rk").groupBy("block").cogroup(marks.groupBy("block"))
+            .applyInArrow(_spans(changed_only), schema))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated bytes taken out of ``text`` (and ``n_chars``, where there is one, counted anew).
+    """``docs`` with the repeated bytes taken out of ``text`` (and ``n_chars``, where there is one, counted anew
+    for the texts that change).
 
     A cut within a character leaves some of its bytes; those are dropped.  A null text stays null.
     """
-    cleaned = repeated_spans(docs.select("doc_id", "text", F.struct("*").alias("__row")), extra="__row")
-
     @F.arrow_udf("string")
     def whole(kept: pa.Array) -> pa.Array:
         return pa.array([x.decode("utf-8", "ignore") for x in kept.to_pylist()], pa.string())
 
-    text = F.when(F.col("__row.text").isNotNull(), F.when(F.size("spans") == 0, F.col("__row.text")).otherwise(F.col("__text")))
-    out = cleaned.withColumn("__text", whole("kept_bytes"))
-    new = {"text": text, "n_chars": F.when(F.size("spans") == 0, F.col("__row.n_chars")).otherwise(F.length("__text").cast(dict(docs.dtypes).get("n_chars", "long")))}
-    return out.select(*(new[c].alias(c) if c in new else F.col(f"__row.`{c}`").alias(c) for c in docs.columns))
+    changed = (repeated_spans(docs.select("doc_id", "text"), changed_only=True)
+               .select(F.col("id").alias("__i"), F.col("rk").alias("__r"), whole("kept_bytes").alias("__text")).dropDuplicates(["__i", "__r"]))
+    id_, rk = _key()
+    out = docs.withColumn("__id", id_).withColumn("__rk", rk)
+    out = out.join(changed, (F.col("__id") == F.col("__i")) & (F.col("__rk") == F.col("__r")), "left")
+    new = {"text": F.coalesce("__text", "text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("__text").isNull(), F.col("n_chars")).otherwise(F.length("__text").cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))

@@ -3,9 +3,11 @@ sets of a batch of texts as flat numpy arrays."""
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: A-Z to a-z, every other byte as it is; ``bytes.split()`` then cuts at [\x20\x09-\x0D]+.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -19,6 +21,15 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[str, np.ndarray] = {}
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers are used again by later stages, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (bijective)."""
     x = x ^ (x >> U(30))

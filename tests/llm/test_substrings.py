@@ -79,7 +79,7 @@ def test_split_anchor_in_process(monkeypatch):
     monkeypatch.setattr(S, "MAX_GROUP", 1)
     rows = [(d or 0, t or "") for d, t in made(2) if d is not None and d < 80]
     ids, rks = [d for d, _ in rows], [7] * len(rows)
-    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(rks), pa.array([t.encode() for _, t in rows], pa.binary())], names=["id", "rk", "text"])
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids), pa.array(rks), pa.array([t.encode() for _, t in rows], pa.binary())], names=["doc_id", "id", "rk", "text"])
     parts = pa.Table.from_batches(list(S._describe(1)([batch])))
     first = S._meet(1)(parts)
     asked = first.filter(pa.compute.greater(first.column("kind"), 0))
@@ -91,7 +91,7 @@ def test_split_anchor_in_process(monkeypatch):
         own = ctx.filter(pa.compute.equal(ctx.column("bucket"), b))
         if own.num_rows:
             marks.append(S._index(1)(own))
-    out = S._spans("")(texts, pa.concat_tables(marks))
+    out = S._spans(False)(texts, pa.concat_tables(marks))
     got = sorted(((i, n, n - len(k), len(s), hashlib.sha256(k).hexdigest()) for i, s, n, k in zip(
         out.column("id").to_pylist(), out.column("spans").to_pylist(), out.column("n_bytes").to_pylist(), out.column("kept_bytes").to_pylist(), strict=True)), key=repr)
     assert got == brute(rows)
