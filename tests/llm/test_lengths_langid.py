@@ -49,3 +49,12 @@ def test_evidence_and_edges(spark):
     assert got[0] == "de" and got[100] == "en" and got[200] == "de" and got[201] == "en" and got[204] == "en" and got[None] == "de" and got[202] in ("de", "en")
     assert langid.identify(pages.limit(0), docs).collect() == []
     assert {r.lang for r in langid.identify(pages, docs.limit(0)).collect()} == {None}
+
+
+def test_every_language_has_a_model(spark):
+    """More languages than 64, the rare ones too, and scripts with many characters."""
+    words = lambda k: " ".join("".join(chr(0x4E00 + (k * 211 + w * 17 + j * 5) % 20000) for j in range(4)) for w in range(12))
+    docs = spark.createDataFrame([(words(k), f"l{k:03d}") for k in range(90) for _ in range(1 + (k < 70))] + [("1 2", "zz")], "text string, lang string")
+    pages = spark.createDataFrame([(k, f"http://h{k}.org/", f"<p>{words(k)}</p>") for k in range(90)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in langid.identify(pages, docs).collect()}
+    assert all(got[k].lang == got[k].text_lang == f"l{k:03d}" and 0 < got[k].confidence <= 1 for k in range(90))
