@@ -81,11 +81,14 @@ class Finder:
                     own.append([a, b])
         out = []
         for i, own in windows.items():
-            notice, label, _ = self.notices[i]
-            for a, b in own:
-                for m in self.patterns[i].finditer(text, a, b):
+            notice, label, k = self.notices[i]
+            while own:  # the best find of a stretch comes first; what lies before and behind it is searched again
+                a, b = own.pop()
+                m = self.patterns[i].search(text, a, b) if b - a >= len(notice) - k else None
+                if m:
                     s, e = m.span()
                     out.append((s, e, label, sum(m.fuzzy_counts), len(notice)))
+                    own += [[a, s], [e, b]]
         return sorted(out)
 
 

@@ -65,3 +65,12 @@ def test_documents(spark, sf_dir):
         if len(text) < 1500:
             want = {lab for nt, lab, k in L.NOTICES if edits(nt, text) <= k} | set(filter(None, x.base_labels.split(",")))
             assert x.labels == ",".join(sorted(want))
+
+
+def test_weaker_find_ahead_of_a_better_one():
+    """In one stretch, an inexact notice before an exact one has its own span."""
+    from quarry.llm.license import Finder
+    text = "xx licensed under the mitt license and also licensed under the mit license yy"
+    found = Finder([("licensed under the mit license", "mit", 3)]).spans(text)
+    assert [(text[s:e].strip(), label, edits) for s, e, label, edits, _ in found] == [
+        ("licensed under the mitt license", "mit", 1), ("licensed under the mit license", "mit", 0)]
