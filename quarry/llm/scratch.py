@@ -104,3 +104,48 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
     roots = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def numbered(df: DataFrame, key: str, order: list, name: str) -> DataFrame:
+    """Adds ``name``: the row's place (from 0) among the rows of the same ``key``, in ``order``.
+
+    Rows are dealt out by range over the key and the order together, so a key
+    that holds a third of all rows is spread over many partitions; each partition
+    numbers its own runs, and one row per partition (its first and last run) tells
+    where a run goes on.  Rows that tie in ``order`` get an arbitrary sequence.
+    """
+    spark = df.sparkSession
+    schema = T.StructType([*df.schema.fields, T.StructField("__in", T.LongType()), T.StructField("__at", T.LongType()),
+                           T.StructField("__lead", T.BooleanType()), T.StructField("__pid", T.IntegerType())])
+    names = [f.name for f in schema.fields]
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, at, run, lead, before = TaskContext.get().partitionId(), 0, 0, True, None
+        for b in batches:
+            n, col = b.num_rows, b.column(key)
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            codes = col.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            new[1:] = codes[1:] != codes[:-1]
+            first = col[0].as_py()
+            new[0] = at > 0 and first != before[0]
+            start = np.where(new, np.arange(n), -1)
+            start = np.maximum.accumulate(start)
+            place = np.where(start < 0, np.arange(n) + run, np.arange(n) - start)
+            leads = (start < 0) & lead
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(place), pa.array(np.arange(n) + at), pa.array(leads), pa.array(np.full(n, pid, np.int32))], names=names)
+            at, run, lead, before = at + n, int(place[-1]) + 1, bool(leads[-1]), (col[n - 1].as_py(),)
+
+    placed = save(df.repartitionByRange(key, *order).sortWithinPartitions(key, *order).mapInArrow(runs, schema))
+    ends = placed.groupBy("__pid").agg(  # a row per partition
+        F.min_by(F.struct(key), "__at").alias("first"), F.max_by(F.struct(key, "__in", "__lead"), "__at").alias("last")).collect()
+    offsets, before, carry = [], None, 0
+    for r in sorted(ends, key=lambda r: r["__pid"]):
+        start = carry if before is not None and before[0] == r["first"][key] else 0
+        offsets.append((r["__pid"], start))
+        before = (r["last"][key],)
+        carry = r["last"]["__in"] + 1 + (start if r["last"]["__lead"] else 0)
+    shift = spark.createDataFrame(offsets, "__pid int, __off long")
+    return (placed.join(F.broadcast(shift), "__pid")  # one row per partition
+            .withColumn(name, F.col("__in") + F.when(F.col("__lead"), F.col("__off")).otherwise(0)).drop("__in", "__at", "__lead", "__off", "__pid"))
