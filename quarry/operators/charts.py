@@ -1,8 +1,8 @@
 """Chart data (K1-K22): the aggregated or sampled table behind each chart.
 
 Rendering is not built.  Aggregated charts are group-bys; point charts use
-a deterministic hash sample (top-n by ``xxhash64(key, seed)``, a distributed
-top-k), which is the sampling feature of the point charts only; statistics
+a deterministic hash sample (the n least hashes of row name and occurrence
+number, a distributed top-k), which is the sampling feature of the point charts only; statistics
 are always computed on all rows.
 """
 
@@ -24,6 +24,7 @@ CHART_ROWS = 5000
 HEATMAP_ROWS = 1500
 KDE_BINS = 1024
 KDE_GRID = 100
+BLOCK_OF_COPIES = 1 << 16
 
 
 def _num(df: DataFrame, c: str) -> Column:
@@ -31,17 +32,35 @@ def _num(df: DataFrame, c: str) -> Column:
     return F.when(~F.isnan(v), v)
 
 
+def row_mark(df: DataFrame, columns: list[str]) -> Column:
+    """A row's name: MD5 over the texts of its values."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]))
+
+
 def hash_sample(df: DataFrame, n: int = CHART_ROWS, seed: int = SEED, key: list[str] | None = None,
-                columns: list[str] | None = None, where: Column | None = None) -> DataFrame:
-    """Sample of ``n`` rows (smallest ``xxhash64``), of which ``columns`` are
-    returned.  What is hashed is the row: its ``key``, or, without one, all its
-    columns and its place in the scan, so that equal points are drawn
-    one by one; the columns of the chart never decide it."""
-    base = df.withColumn("_place", F.lit(0) if key else F.monotonically_increasing_id())
-    base = base.withColumn("_h", F.xxhash64(*[F.col(c) for c in (key or df.columns)], "_place", F.lit(seed)))
-    base = base.filter(where) if where is not None else base
-    out = base.select(*(columns or df.columns), "_h")
-    return out.orderBy("_h", *[c for c in (columns or df.columns) if c in (key or [])]).limit(n).drop("_h")
+                columns: list[str] | None = None, where: Column | None = None, mark: str | None = None) -> DataFrame:
+    """A sample of ``n`` rows, of which ``columns`` are returned; the same after any repartitioning.
+
+    A row is named by its ``key`` or, without one, by all its columns.  Rows of one
+    name are counted, and the sample is the n least hashes of (name, occurrence number, seed), so
+    equal rows are drawn one by one.  Counting combines on the map side and moves the
+    name and the chart's columns only; ``mark`` names a column for the hash, which is
+    unique to the drawn row."""
+    cols = list(dict.fromkeys(columns or df.columns))
+    base = df.filter(where) if where is not None else df
+    counts = base.select(row_mark(df, key or df.columns).alias("_m"), *cols).groupBy("_m", *cols).agg(F.count(F.lit(1)).alias("_c"))
+
+    def drawn(rows: DataFrame) -> DataFrame:
+        last = F.least(F.col("_c") - 1, (F.col("_b") + 1) * BLOCK_OF_COPIES - 1)
+        return rows.select("_m", *cols, F.explode(F.sequence(F.col("_b") * BLOCK_OF_COPIES, last)).alias("_i"))
+
+    few = drawn(counts.where(F.col("_c") <= BLOCK_OF_COPIES).withColumn("_b", F.lit(0).cast("long")))
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_c - 1) div {BLOCK_OF_COPIES}"))).alias("_b")
+    many = drawn(counts.where(F.col("_c") > BLOCK_OF_COPIES).select("*", blocks).repartition("_m", "_b"))  # a row with very many copies is numbered in many tasks
+    hashed = few.unionByName(many).withColumn("_h", F.md5(F.concat_ws(":", "_m", F.col("_i").cast("string"), F.lit(str(seed)))))
+    # rows that share a name but differ in the chart's columns (a key that repeats) follow each other in their order
+    out = hashed.orderBy("_h", *cols).limit(n)
+    return out.select(*(columns or df.columns), *([F.col("_h").alias(mark)] if mark else []))
 
 
 def _present(df: DataFrame, columns: list[str]) -> Column:
@@ -130,10 +149,10 @@ def violin(df: DataFrame, column: str, group: str | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, [d, *parts])
 
 
-def scatter(df: DataFrame, x: str, y: str, color: str | None = None, n: int = CHART_ROWS) -> DataFrame:
+def scatter(df: DataFrame, x: str, y: str, color: str | None = None, n: int = CHART_ROWS, key: list[str] | None = None) -> DataFrame:
     """K5: sampled points."""
     cols = [x, y] + ([color] if color else [])
-    return hash_sample(df, n, columns=cols, where=_present(df, [x, y]))
+    return hash_sample(df, n, key=key, columns=cols, where=_present(df, [x, y]))
 
 
 def regression_lines(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
@@ -181,9 +200,9 @@ def pie(df: DataFrame, column: str, top: int | None = None) -> DataFrame:
     return P.frequency_table(df, [column], top=top).select("value", "count", "percent", "rank")
 
 
-def line(df: DataFrame, x: str, y: str, n: int = CHART_ROWS) -> DataFrame:
+def line(df: DataFrame, x: str, y: str, n: int = CHART_ROWS, key: list[str] | None = None) -> DataFrame:
     """Sampled rows ordered by x."""
-    return hash_sample(df, n, columns=[x, y], where=_present(df, [x, y])).orderBy(x, y)
+    return hash_sample(df, n, key=key, columns=[x, y], where=_present(df, [x, y])).orderBy(x, y)
 
 
 def over_time(df: DataFrame, ts: str, unit: str = "month", value: str | None = None) -> DataFrame:
@@ -194,37 +213,36 @@ def over_time(df: DataFrame, ts: str, unit: str = "month", value: str | None = N
     return (df.filter(F.col(ts).isNotNull()).groupBy(F.date_trunc(unit, F.col(ts)).alias("period")).agg(*aggs))
 
 
-def scatter_matrix(df: DataFrame, n: int = CHART_ROWS, k: int | None = None) -> DataFrame:
+def scatter_matrix(df: DataFrame, n: int = CHART_ROWS, k: int | None = None, key: list[str] | None = None) -> DataFrame:
     """The numeric columns (the first ``k``, if given) of a sample."""
-    return hash_sample(df, n, columns=numeric_columns(df)[:k])
+    return hash_sample(df, n, key=key, columns=numeric_columns(df)[:k])
 
 
-def scatter_3d(df: DataFrame, x: str, y: str, z: str, n: int = CHART_ROWS) -> DataFrame:
+def scatter_3d(df: DataFrame, x: str, y: str, z: str, n: int = CHART_ROWS, key: list[str] | None = None) -> DataFrame:
     """K15."""
-    return hash_sample(df, n, columns=[x, y, z], where=_present(df, [x, y, z]))
+    return hash_sample(df, n, key=key, columns=[x, y, z], where=_present(df, [x, y, z]))
 
 
 def missing_heatmap(df: DataFrame, n: int = HEATMAP_ROWS, key: list[str] | None = None) -> DataFrame:
     """0/1 missing indicator per sampled row x column (long)."""
-    s = hash_sample(df, n, key=key).withColumn("_row", F.xxhash64(*[F.col(c) for c in (key or df.columns)],
-                                                                  F.lit(SEED) if key else F.monotonically_increasing_id()))
     cols = df.columns
-    return s.select("_row", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), missing_expr(df, c).cast("int").alias("missing")) for c in cols]))
-        .alias("m")).select(F.col("_row").alias("row"), "m.column", "m.missing")
+    flags = df.select(row_mark(df, key or cols).alias("_name"), *[missing_expr(df, c).cast("int").alias(c) for c in cols])
+    s = hash_sample(flags, n, key=["_name"], columns=cols, mark="_row")
+    return s.select("_row", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("missing")) for c in cols]))
+                    .alias("m")).select(F.col("_row").alias("row"), "m.column", "m.missing")
 
 
 def geo_points(df: DataFrame, lat: str, lon: str, color: str | None = None, label: str | None = None,
-               n: int = CHART_ROWS) -> DataFrame:
+               n: int = CHART_ROWS, key: list[str] | None = None) -> DataFrame:
     """Valid coordinates only, sampled."""
     cols = [lat, lon] + [c for c in (color, label) if c]
-    return hash_sample(df, n, columns=cols, where=F.col(lat).between(-90, 90) & F.col(lon).between(-180, 180))
+    return hash_sample(df, n, key=key, columns=cols, where=F.col(lat).between(-90, 90) & F.col(lon).between(-180, 180))
 
 
-def missing_bar(df: DataFrame, top: int = 30) -> DataFrame:
-    """Columns with missing values, most first, top 30."""
-    return (P.missing_report(df).filter(F.col("missing_count") > 0)
-            .orderBy(F.col("missing_count").desc(), "column").limit(top))
+def missing_bar(df: DataFrame, top: int | None = None) -> DataFrame:
+    """Columns with missing values, most first (the first ``top``, if given)."""
+    out = P.missing_report(df).filter(F.col("missing_count") > 0).orderBy(F.col("missing_count").desc(), "column")
+    return out.limit(top) if top else out
 
 
 def percent_bar(df: DataFrame, x: str) -> DataFrame:

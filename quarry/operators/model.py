@@ -20,13 +20,14 @@ from functools import reduce
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import dist
-from quarry.operators import ranks
+from quarry.operators import neighbors, ranks
 from quarry.operators.quality import ID_KEYWORDS, LEAKAGE_KEYWORDS, _any_sub
 from quarry.operators.roles import kind_of
 
@@ -143,8 +144,9 @@ def feature_names(model, num: list[str], cat: list[str], drop_first: bool = Fals
 
 # ---- estimators ------------------------------------------------------------------------------
 
-REGRESSORS = ("linear", "random_forest", "decision_tree")
-CLASSIFIERS = ("logistic", "random_forest", "decision_tree", "svm")
+REGRESSORS = ("linear", "random_forest", "decision_tree", "knn")
+CLASSIFIERS = ("logistic", "random_forest", "decision_tree", "knn", "svm")
+NEIGHBOURS = 5
 
 
 def _estimator(kind: str, task: str, n_train: int, n_classes: int = 2, trees: int = 200):
@@ -228,8 +230,10 @@ def fit_model(df: DataFrame, target: str, predictors: list[str], kind: str = "ra
         data = split(data, key, test_size, seed).withColumn("label", F.col(target).cast("double"))
     train = data.filter(~F.col("is_test"))
     n_train = train.count()
-    scale = kind in ("linear", "logistic", "svm")
+    scale = kind in ("linear", "logistic", "knn", "svm")
     prep = prepare(train, data, predictors, scale=scale)
+    if kind == "knn":
+        return _knn(prep, data, target, task, key, levels)
     est = _estimator(kind, task, n_train, len(levels), trees)
     model = est.setFeaturesCol("features").setLabelCol("label").fit(prep.data.filter(~F.col("is_test")))
     pred = model.transform(prep.data.filter(F.col("is_test")))
@@ -250,8 +254,23 @@ def fit_model(df: DataFrame, target: str, predictors: list[str], kind: str = "ra
     return Fit(task, kind, pred, metrics.withColumn("model", F.lit(kind)), imp, model)
 
 
+def _knn(prep: Prepared, data: DataFrame, target: str, task: str, key: list[str], levels: list[str]) -> Fit:
+    """The exact nearest training rows of every test row; ties go by a hash of ``key``."""
+    rows = prep.data.select(vector_to_array("features").alias("vec"), F.xxhash64(*key).alias("id"), "is_test",
+                            F.col("label" if task == "regression" else target).alias("label"))
+    binary = levels[1] if len(levels) == 2 else None
+    pred = neighbors.predict(rows.where(~F.col("is_test")), rows.where("is_test").withColumnRenamed("label", "actual"), NEIGHBOURS, task, positive=binary)
+    if task == "regression":
+        pred = pred.select("actual", "predicted", (F.col("actual") - F.col("predicted")).alias("residual"))
+        metrics = regression_metrics(pred)
+    else:
+        pred = pred.select("actual", "predicted", *(["score"] if binary is not None else []))
+        metrics = classification_metrics(pred)
+    none = data.sparkSession.createDataFrame([], "feature string, importance double")
+    return Fit(task, "knn", pred, metrics.withColumn("model", F.lit("knn")), none)
+
+
 def _vec_at(v, i: int):
-    from pyspark.ml.functions import vector_to_array
     return vector_to_array(v)[i]
 
 

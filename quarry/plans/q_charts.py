@@ -139,29 +139,66 @@ def _mbar(spark, sf_dir):
     return rounded(K.missing_bar(FX.lineitem_nulls(spark, sf_dir).select("l_quantity", "l_returnflag", "l_orderkey")))
 
 
-@register("chart_scatter_sample_lineitem")
+_LI = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+       "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+def _sample_sql(tbl: str, named: list[str], cols: list[str], n: int, where: str = "true") -> str:
+    """The n least hashes of (row name, occurrence number, seed)."""
+    name = "md5(concat_ws('|', " + ", ".join(f"coalesce({c}::VARCHAR, '\\N')" for c in named) + "))"
+    listed = ", ".join(cols)
+    return f"""SELECT {listed}, md5(concat_ws(':', m, i::VARCHAR, '{K.SEED}')) AS h FROM (
+        SELECT {listed}, m, row_number() OVER (PARTITION BY m, {listed}) - 1 AS i
+        FROM (SELECT {listed}, {name} AS m FROM {tbl} WHERE {where})) ORDER BY h, {listed} LIMIT {n}"""
+
+
+_LI_KEY = ["l_orderkey", "l_linenumber"]
+_XYC = ["l_quantity", "l_extendedprice", "l_linestatus"]
+
+
+@register("chart_scatter_sample_lineitem", f"SELECT {', '.join(_XYC)} FROM ({_sample_sql('lineitem', _LI, _XYC, K.CHART_ROWS)})")
 def _scatter(spark, sf_dir):
-    return K.scatter(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", "l_linestatus")
+    """Rows named by all their columns."""
+    return K.scatter(table(spark, sf_dir, "lineitem"), *_XYC)
 
 
-@register("chart_line_sample_events")
+@register("chart_scatter_copies_orders_dup", f"""SELECT o_totalprice, o_orderstatus, count(*) AS copies FROM (
+    {_sample_sql(FX.ORDERS_DUP_SQL, ["o_orderkey"], ["o_totalprice", "o_orderstatus"], K.CHART_ROWS)}) GROUP BY ALL""")
+def _scatter_dup(spark, sf_dir):
+    """Repeated rows are drawn one by one."""
+    pts = K.hash_sample(FX.orders_dup(spark, sf_dir), key=["o_orderkey"], columns=["o_totalprice", "o_orderstatus"])
+    return pts.groupBy("o_totalprice", "o_orderstatus").agg(F.count("*").alias("copies"))
+
+
+@register("chart_line_sample_events", f"""SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, value FROM (
+    {_sample_sql('events', ['event_id'], ['ts', 'value'], K.CHART_ROWS, 'ts IS NOT NULL AND value IS NOT NULL')})""")
 def _line(spark, sf_dir):
-    return K.line(table(spark, sf_dir, "events"), "ts", "value")
+    out = K.line(table(spark, sf_dir, "events"), "ts", "value", key=["event_id"])
+    return out.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
-@register("chart_scatter_matrix_lineitem")
+@register("chart_scatter_matrix_lineitem", f"SELECT {', '.join(_LI[:8])} FROM ({_sample_sql('lineitem', _LI_KEY, _LI[:8], K.CHART_ROWS)})")
 def _smatrix(spark, sf_dir):
-    return K.scatter_matrix(table(spark, sf_dir, "lineitem"))
+    return K.scatter_matrix(table(spark, sf_dir, "lineitem"), key=_LI_KEY)
+
 
+_XYZ = ["l_quantity", "l_extendedprice", "l_discount"]
 
-@register("chart_scatter_3d_lineitem")
+
+@register("chart_scatter_3d_lineitem", f"SELECT {', '.join(_XYZ)} FROM ({_sample_sql('lineitem', _LI, _XYZ, K.CHART_ROWS)})")
 def _s3d(spark, sf_dir):
-    return K.scatter_3d(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", "l_discount")
+    return K.scatter_3d(table(spark, sf_dir, "lineitem"), *_XYZ)
+
+
+_FLAGS = ", ".join(f"({c} IS NULL)::INTEGER AS {c}" for c in _LI)
+_KEY_NAME = "md5(concat_ws('|', l_orderkey::VARCHAR, l_linenumber::VARCHAR))"
 
 
-@register("chart_missing_heatmap_lineitem_nulls")
+@register("chart_missing_heatmap_lineitem_nulls", " UNION ALL ".join(
+    f"SELECT h AS row, '{c}' AS \"column\", {c} AS missing FROM s" for c in _LI).join(
+    [f"WITH f AS (SELECT {_KEY_NAME} AS name, {_FLAGS} FROM {FX.LINEITEM_NULLS_SQL}), s AS ({_sample_sql('f', ['name'], _LI, K.HEATMAP_ROWS)}) ", ""]))
 def _mheat(spark, sf_dir):
-    return K.missing_heatmap(FX.lineitem_nulls(spark, sf_dir), key=["l_orderkey", "l_linenumber"])
+    return K.missing_heatmap(FX.lineitem_nulls(spark, sf_dir), key=_LI_KEY)
 
 
 _BOX_EVENTS = """

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import assoc as A
 from quarry.operators import model as M
+from quarry.operators import neighbors as NB
 from quarry.plans import fixtures as FX
 from quarry.plans import sqlgen as S
 from quarry.plans.catalog import register, rounded, sql_rounded, table
@@ -253,3 +254,45 @@ def _msum(spark, sf_dir):
     fit = M.fit_model(table(spark, sf_dir, "orders"), "o_orderstatus", ["o_totalprice", "o_orderpriority"],
                       "logistic", key=["o_orderkey"])
     return M.model_summary(fit)
+
+
+def _knn_sql(table_: str, id_: str, xs: list[str], label: str, answer: str) -> str:
+    """Every row against every other one: squares summed in the order of the columns, ties to the smaller id."""
+    d2 = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(len(xs)))
+    rows = ", ".join(f"({x})::DOUBLE AS x{i}" for i, x in enumerate(xs))
+    return f"""WITH t AS (SELECT {id_} AS id, {label} AS label, {rows} FROM {table_}),
+      n AS (SELECT a.id, unnest(min(ROW({d2}, b.id), 5)) AS near FROM t a JOIN t b ON a.id <> b.id GROUP BY a.id),
+      v AS (SELECT n.id, t.label FROM n JOIN t ON t.id = struct_extract(near, 2))
+      {answer}"""
+
+
+@register("knn_regression_customer_balance", sql_rounded(_knn_sql(
+    "customer", "c_custkey", ["c_custkey", "c_nationkey * 40"], "c_acctbal",
+    "SELECT id, avg(label) AS predicted FROM v GROUP BY id"), ["predicted"], ["id"]))
+def _knn_reg(spark, sf_dir):
+    """Mean balance of every customer's five nearest others."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("label"), F.array(
+        F.col("c_custkey").cast("double"), (F.col("c_nationkey") * 40).cast("double")).alias("vec"))
+    return rounded(NB.predict(c, c.select("id", "vec"), skip_self=True).select("id", "predicted"))
+
+
+@register("knn_classification_orders_status", _knn_sql(
+    "orders", "o_orderkey", ["o_totalprice / 100", "o_custkey"], "o_orderstatus",
+    "SELECT id, label AS predicted FROM (SELECT id, label, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, label) AS r FROM v GROUP BY id, label) WHERE r = 1"))
+def _knn_cls(spark, sf_dir):
+    """Most frequent status among every order's five nearest others."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("label"), F.array(
+        F.col("o_totalprice") / 100, F.col("o_custkey").cast("double")).alias("vec"))
+    return NB.predict(o, o.select("id", "vec"), task="classification", skip_self=True).select("id", "predicted")
+
+
+@register("model_knn_regressor_orders")
+def _knn_fit(spark, sf_dir):
+    fit = M.fit_model(table(spark, sf_dir, "orders"), "o_totalprice", ["o_custkey", "o_orderpriority"], "knn", key=["o_orderkey"])
+    return fit.metrics
+
+
+@register("model_knn_classifier_documents")
+def _knn_fit_docs(spark, sf_dir):
+    fit = M.fit_model(_docs(spark, sf_dir), "quality", ["n_chars", "lang"], "knn", key=["doc_id"])
+    return fit.metrics
