@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
@@ -33,7 +34,19 @@ def test_tree_against_library(known):
     for t in texts():
         ids = [i for p in regex.findall(P.PATTERN, t) for i in tree.encode(p.encode())]
         assert ids == enc.encode_ordinary(t)
-        assert tree.decode_tree(ids) == t.encode()
+        assert tree.decode_tree(np.array([0, len(ids), len(ids)]), np.array(ids, np.int32)) == [t.encode(), b""]
+
+
+def test_leaves_side_by_side_against_one_by_one(known):
+    _, tree = known
+    import regex
+    found = [regex.findall(P.PATTERN, t) for t in texts()]
+    tree.remember(found)
+    assert all(np.frombuffer(tree.memo[p], np.int32).tolist() == tree.encode(p.encode()) for x in found for p in x)
+    for size in (1, 2, 3, 7, 24):
+        rng = random.Random(size)
+        leaves = [bytes(rng.choice(b"abcdeinst \xc3\xa9\xff") for _ in range(size)) for _ in range(300)]
+        assert [np.frombuffer(x, np.int32).tolist() for x in tree.pairs.merge(leaves)] == [tree.direct(x) for x in leaves]
 
 
 def test_joins_against_direct(known):
