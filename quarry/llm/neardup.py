@@ -20,6 +20,9 @@ two ends are already connected by confirmed links or too far apart by count.
 With 42 bands of 6 rows a pair of similarity 0.8 shares no band with
 probability 3e-6.
 
+A node is a set, not a doc_id: rows of equal sets are one node, and two texts under one
+doc_id are two nodes, which are linked only if their sets are.
+
 Defined results: null or blank texts have an empty set and link with nothing;
 rows that repeat a document link with each other; a row whose doc_id is null
 takes part, and ``component_id`` is the smallest doc_id that is not null (null
@@ -40,6 +43,8 @@ from quarry.llm import textkit as K
 from quarry.llm.scratch import components, save
 
 BANDS, ROWS = 42, 6
+#: Partners that a node's text meets in one part of a join.
+HUB = 256
 U = np.uint64
 
 
@@ -83,10 +88,10 @@ def _signatures(width: int, bands: int, rows: int):
                     key = K.mix(key * U(0x9FB21C651E98DF25) + v[:, :, k])
                 flat = pa.array(key.reshape(-1).view(np.int64))
                 yield pa.RecordBatch.from_arrays([
-                    b.column("doc_id").slice(lo, hi - lo), b.column("rid").slice(lo, hi - lo), pa.array(n),
+                    *(b.column(c).slice(lo, hi - lo) for c in ("doc_id", "t1", "t2")), pa.array(n),
                     pa.array((c1[off[1:]] - c1[off[:-1]]).view(np.int64)), pa.array((c2[off[1:]] - c2[off[:-1]]).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), flat)],
-                    names=["doc_id", "rid", "n_shingles", "s1", "s2", "bands"])
+                    names=["doc_id", "t1", "t2", "n_shingles", "s1", "s2", "bands"])
             K.release()
     return run
 
@@ -180,21 +185,24 @@ def _prefix_pairs(nodes: DataFrame, width: int, percent: int) -> DataFrame:
     # if this is the first token they share, they share no more than what follows in either
     once &= (100 + percent) * F.least("x.rest", "y.rest") >= percent * (F.col("x.n") + F.col("y.n"))
     return (x.join(y, (F.col("x.token") == F.col("y.token")) & once)
-            .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+            .select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct())
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles,
-    component_id, kept.  Links need 100 * intersection >= percent * union."""
-    # rid: doc_id, or a name made from the text for a row without one
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
-        "rid", F.coalesce("doc_id", F.xxhash64("text").bitwiseOR(F.lit(-(1 << 63)))))
+def _named() -> list:
+    """A row's text by 128 bits: rows with these and the doc_id in common are repeated rows."""
+    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2")]
+
+
+def _linked(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, t1, t2, n_shingles and ``top``, the component's node (null for an empty set), for each row of ``docs``."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", "text", *_named())
     sig = save(docs.mapInArrow(_signatures(width, bands, rows),
-                               "doc_id long, rid long, n_shingles long, s1 long, s2 long, bands array<long>"))
+                               "doc_id long, t1 long, t2 long, n_shingles long, s1 long, s2 long, bands array<long>"))
 
-    # equal sets are one node
-    nodes = save(sig.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles")
-                 .agg(F.min("rid").alias("node"), F.first("bands").alias("bands")))
+    # equal sets are one node, numbered once; one of its rows stands for its text
+    nodes = sig.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(
+        F.min(F.struct("doc_id", "t1", "t2")).alias("row"), F.first("bands").alias("bands"))
+    nodes = save(nodes.withColumn("node", F.monotonically_increasing_id()))
     placed = nodes.select("node", F.explode("bands").alias("key"))
     shared = placed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     placed = save(placed.join(shared, "key"))
@@ -202,17 +210,26 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     middle = (placed.join(mass, "node").groupBy("key")
               .agg(F.max_by("node", "mass").alias("m1"), F.min("node").alias("m2")))
     star = (placed.join(middle, "key").select("node", F.explode(F.array("m1", "m2")).alias("m"))
-            .where("node <> m").select(F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b")).distinct())
+            .where("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b")).distinct())
 
     size = nodes.select("node", F.col("n_shingles").alias("n"))
     wanted = size.join(placed.select("node").distinct(), "node", "left_semi")
-    texts = save(docs.select(F.col("rid").alias("node"), "text").join(wanted, "node").dropDuplicates(["node"]))
+    wanted = save(wanted.join(nodes.select("node", "row.*"), "node").withColumnRenamed("doc_id", "d").select("node", "n", "d", "t1", "t2"))
+    of = docs.withColumnsRenamed({"t1": "u1", "t2": "u2"})
+    texts = save(of.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("u1") == F.col("t1")) & (F.col("u2") == F.col("t2")))
+                 .select("node", "n", "text").dropDuplicates(["node"]))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        p = pairs.join(texts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("text").alias("ta")), "a")
-        q = texts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("text").alias("tb"))
-        p = p.join(q, (p.b == q.b) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-        return p.select("a", q.b, "ta", "tb").mapInArrow(_confirm(width, percent), "a long, b long")
+        """Pairs (a, b) that are similar enough.  A node with many partners meets them in parts of about
+        HUB, and its text travels once for each part."""
+        pairs = save(pairs)
+        hubs = pairs.groupBy("b").agg(F.count("*").alias("c")).where(F.col("c") > HUB).select("b", F.ceil(F.col("c") / HUB).cast("int").alias("parts"))
+        p = pairs.join(hubs, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+        p = p.join(texts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("text").alias("ta")), "a")
+        q = texts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("text").alias("tb")).join(pairs.select("b").distinct(), "b", "left_semi").join(hubs, "b", "left")
+        q = q.select("b", "nb", "tb", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        close = p.join(q, ["b", "part"]).where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        return close.select("a", "b", "ta", "tb").mapInArrow(_confirm(width, percent), "a long, b long")
 
     roots = save(components(confirmed(star)))
 
@@ -233,27 +250,37 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     final = (nodes.select("s1", "s2", "n_shingles", "node").join(roots, "node", "left")
              .select("s1", "s2", "n_shingles", F.coalesce("root", "node").alias("root"))
              .join(higher, "root", "left").select("s1", "s2", "n_shingles", F.coalesce("top", "root").alias("top")))
-    rows_ = sig.select("doc_id", "n_shingles", "s1", "s2").join(final, ["s1", "s2", "n_shingles"], "left")
+    return sig.select("doc_id", "t1", "t2", "n_shingles", "s1", "s2").join(final, ["s1", "s2", "n_shingles"], "left").drop("s1", "s2")
+
+
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles,
+    component_id, kept.  Links need 100 * intersection >= percent * union."""
+    rows_ = _linked(docs, width, percent, bands, rows)
     low = rows_.where("top is not null").groupBy("top").agg(F.min("doc_id").alias("low"))
     out = rows_.join(low, "top", "left")
     comp = F.when(F.col("top").isNull(), F.col("doc_id")).otherwise(F.col("low"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One row of each group of near duplicates, with all columns of ``docs``: the one with the smallest doc_id.
-
-    Rows without words stay; of exactly repeated rows one stays.  A row without a doc_id stays only if its whole group has none.
-    """
-    verdict = near_duplicates(docs, **options)
-    ids = verdict.where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(ids, docs.doc_id.eqNullSafe(ids["__id"]), "left_semi")
-    # exactly repeated rows are looked for by key alone; only their texts are moved once more
-    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), F.xxhash64("text"), F.hash("text")]
-    several = save(docs.select(*(k.alias(f"__{i}") for i, k in enumerate(key))).groupBy("__0", "__1", "__2").agg(F.count("*").alias("c")).where("c > 1").drop("c"))
-    if several.isEmpty():
-        return kept
-    marked = kept.select("*", *(k.alias(f"__{i}") for i, k in enumerate(key)))
-    names = ["__0", "__1", "__2"]
-    once = marked.join(several, names, "left_anti")
-    return once.unionByName(marked.join(several, names, "left_semi").dropDuplicates(names)).drop(*names)
+def drop_near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row of each group of near duplicates, with all columns of ``docs``: the one with the smallest doc_id
+    (null last), then by its text's hash.  Rows without words stay; of exactly repeated rows one stays."""
+    linked = save(_linked(docs, width, percent, bands, rows))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("t1"), F.col("t2"))
+    first = linked.where("top is not null").groupBy("top").agg(F.min(order).alias("k")).select(F.expr("k.doc_id"), F.expr("k.t1"), F.expr("k.t2"))
+    stay = first.unionByName(linked.where("top is null").select("doc_id", "t1", "t2"))
+    # rows that repeat each other are told by key alone; only their texts are moved once more
+    several = linked.groupBy("doc_id", "t1", "t2").agg(F.count("*").alias("c"))
+    stay = save(stay.distinct().alias("a").join(several.alias("b"), F.expr("a.doc_id <=> b.doc_id AND a.t1 = b.t1 AND a.t2 = b.t2")).select("a.*", "c"))
+    marked = docs.select("*", F.col("doc_id").cast("long").alias("__id"), *(c.alias(f"__{i}") for i, c in enumerate(_named(), 1)))
+
+    def those(keys: DataFrame) -> DataFrame:
+        k = keys.select(F.col("doc_id").alias("__k"), F.col("t1").alias("__k1"), F.col("t2").alias("__k2"))
+        return marked.join(k, F.expr("__id <=> __k AND __1 = __k1 AND __2 = __k2"), "left_semi")
+
+    out = those(stay)
+    repeated = stay.where("c > 1")
+    if not repeated.isEmpty():
+        out = those(stay.where("c = 1")).unionByName(those(repeated).dropDuplicates(["__id", "__1", "__2"]))
+    return out.select(docs.columns)

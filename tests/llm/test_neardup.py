@@ -1,7 +1,8 @@
 import re
 from itertools import combinations
 
-from quarry.llm.neardup import near_duplicates
+from quarry.llm import neardup
+from quarry.llm.neardup import drop_near_duplicates, near_duplicates
 
 
 def brute(rows, width, percent):
@@ -61,3 +62,30 @@ def test_large_near_group(spark):
             w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
         rows.append((d, " ".join(w)))
     check(spark, rows)
+
+
+def variants():
+    x, y = (" ".join(f"{c}{i}" for i in range(100)) for c in "xy")
+    return x, x.replace("x50 ", "q50 "), y, y.replace("y50 ", "q50 ")
+
+
+def test_two_texts_under_one_doc_id_are_two_nodes(spark):
+    x, x2, y, y2 = variants()
+    check(spark, [(9, x), (9, y), (3, y2), (1, x2)])
+    check(spark, [(None, x), (None, y), (3, y2), (None, x2)])
+
+
+def test_one_row_of_each_group_stays(spark):
+    x, x2, y, y2 = variants()
+    rows = [(None, y2), (5, y), (None, x), (None, x2), (7, "alone"), (9, x + " tail"), (9, x + " tail"), (None, "own words here"), (8, None), (8, None), (8, "")]
+    df = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, t1 int")
+    out = drop_near_duplicates(df, width=2)
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    assert got == sorted([(5, y), (7, "alone"), (9, x + " tail"), (None, "own words here"), (8, None), (8, "")], key=repr)
+    assert drop_near_duplicates(df.limit(0)).collect() == []
+
+
+def test_a_text_with_many_partners_meets_them_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HUB", 16)
+    test_large_near_group(spark)
