@@ -32,6 +32,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, PART, CAP = (3, 1, 2), 1.5, 2.0
 SEED = 20210
 LEAST_WEIGHT = 0.05
+#: Copies of a row that one task makes at a time.
+COPIES = 1 << 16
 
 
 def quality_weight(text: str = "text") -> Column:
@@ -67,7 +69,7 @@ def mixture(docs: DataFrame, *, weight: Column | None = None, weights: tuple = W
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", mark), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     base = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
                        (-F.log(u) / weight).alias("key"), mark.alias("mark"), *([extra] if extra else []))
-    placed = save(running_total(base, [F.col("source").asc_nulls_last(), "key", "doc_id", "mark"], "size", "ahead"))
+    placed = save(running_total(save(base), [F.col("source").asc_nulls_last(), "key", "doc_id", "mark"], "size", "ahead"))
     by_source = placed.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("ahead").alias("from"))
     targets = source_targets(by_source.select("source", "source_size"), weights, part, cap)
     per = by_source.select(F.col("source").alias("s1"), "from").join(
@@ -81,9 +83,26 @@ def mixture(docs: DataFrame, *, weight: Column | None = None, weights: tuple = W
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents, with all columns of ``docs``: a row for each whole copy taken, and the cut
-    documents with their first words only (and ``n_chars``, where there is one, counted anew)."""
-    rows = save(mixture(docs.select("doc_id", "source", "text", F.struct("*").alias("__row")), extra="__row", **options))
-    whole = rows.where("taken >= size and size > 0").select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("taken div nullif(size, 0)"))))
+    documents with their first words only (and ``n_chars``, where there is one, counted anew).  The sampling moves
+    names of rows only; the texts are joined to its result once."""
+    names = [F.xxhash64(*docs.columns).alias("__1"), F.xxhash64(F.lit(7), *docs.columns).alias("__2")]
+    rows = mixture(docs.select("doc_id", "source", "text", F.struct(*names).alias("__key")), extra="__key", **options)
+    # rows that repeat each other follow each other in the order, so that one of them at most is cut
+    per = save(rows.groupBy("__key.__1", "__key.__2").agg(
+        F.count("*").alias("__rows"), F.sum(F.expr("coalesce(taken div nullif(size, 0), 0)")).alias("__whole"), F.max(F.expr("coalesce(taken % nullif(size, 0), 0)")).alias("__part"))
+        .where("__whole > 0 OR __part > 0"))
+    marked = docs.select("*", *names)
+    found = marked.join(per.where("__rows = 1"), ["__1", "__2"])
+    repeated = per.where("__rows > 1")
+    if not repeated.isEmpty():
+        found = found.unionByName(marked.join(repeated, ["__1", "__2"]).dropDuplicates(["__1", "__2"]))
+
+    few = F.sequence(F.lit(0).cast("long"), F.expr(f"(__whole - 1) div {COPIES}"))
+    blocks = found.where("__whole > 0").select("*", F.explode(few).alias("__b"))
+    if not repeated.where(F.col("__whole") > COPIES).isEmpty():  # a row taken very many times is copied in many tasks
+        blocks = blocks.repartition("__1", "__2", "__b")
+    last = F.least(F.col("__whole"), (F.col("__b") + 1) * COPIES) - 1
+    whole = blocks.select(*docs.columns, F.explode(F.sequence(F.col("__b") * COPIES, last)).alias("__i")).select(docs.columns)
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, n: pa.Array) -> pa.Array:
@@ -94,7 +113,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
             out.append((b[:len(b) - len(tail[k])] if len(tail) > k else b).rstrip().decode())
         return pa.array(out, pa.string())
 
-    part = rows.where("taken % nullif(size, 0) > 0").withColumn("__text", cut("__row.text", F.expr("taken % nullif(size, 0)")))
+    part = found.where("__part > 0").withColumn("__text", cut("text", "__part"))
     changed = {"text": F.col("__text"), "n_chars": F.length("__text").cast(dict(docs.dtypes).get("n_chars", "long"))}
-    part = part.select(*(changed[c].alias(c) if c in changed else F.col(f"__row.`{c}`").alias(c) for c in docs.columns))
-    return whole.select("__row.*").unionByName(part)
+    part = part.select(*(changed[c].alias(c) if c in changed else F.col(f"`{c}`").alias(c) for c in docs.columns))
+    return whole.unionByName(part)

@@ -58,6 +58,11 @@ class Shards:
             if len(self.parts) > KEPT:
                 part.__dict__.pop("_value", None)  # the worker's copy; it is read again from the executor's file
 
+    def free(self) -> None:
+        """Takes the shards off the executors, once all lookups are done."""
+        for part in self.parts:
+            part.destroy()
+
 
 def share(table: DataFrame, key: str, rows: int | None = None) -> Shards:
     """``table``, by its evenly hashed long column ``key``, for lookups inside tasks."""
