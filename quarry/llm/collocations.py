@@ -40,7 +40,9 @@ KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = 1
 KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 #: Mean number of words from a trigger to the next; words that a task counts together; widest bit filter.
-MEAN_CHUNK, COUNTED, FILTER_BITS = 64, 1 << 21, 30
+MEAN_CHUNK, COUNTED, FILTER_BITS = 64, 3 << 19, 30
+#: Parts in which a language's best phrases are sought before they are ranked together.
+PARTS = 8
 SPACE, BREAK = 0x20, 0x0A
 
 
@@ -116,12 +118,14 @@ class _Words:
         letters = a[KIND[a] == 0]
         off = np.concatenate(([0], np.cumsum(end - start))).astype(np.int32)
         coded = pa.StringArray.from_buffers(len(start), pa.py_buffer(off), pa.py_buffer(letters)).dictionary_encode()
-        self.names, self.code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-        self.weight, self.lang = freq[chunk], np.array(langs, np.int32)[chunk]
+        self.names, self.code = coded.dictionary, coded.indices.to_numpy()
+        del coded, letters, off
+        self.chunk, self.freq, self.lang = chunk, freq, np.array(langs, np.int32)[chunk]
         self.mark = np.array(marks, np.int64)
         #: words of the same piece and chunk that follow
         ends = np.append(np.flatnonzero(a[end[:-1]] == BREAK), len(start) - 1) if len(start) else np.zeros(0, np.int64)
-        place = np.arange(len(start))
+        place = np.arange(len(start), dtype=np.int32)
+        ends = ends.astype(np.int32)
         self.follow = (np.repeat(ends, np.diff(ends, prepend=-1)) - place).astype(np.int32)
         whole = np.array([t.endswith(b"\n") for t in texts], bool)[chunk]
         self.owned = whole | (first[1:][chunk] - place > window)
@@ -149,7 +153,7 @@ def _grams(words: _Words, n: int, filtered: tuple[np.ndarray, int] | None) -> tu
     order = np.argsort(ids)
     ids = ids[order]
     start = np.flatnonzero(np.concatenate((np.ones(min(1, len(ids)), bool), ids[1:] != ids[:-1])))
-    count = np.add.reduceat(words.weight[at[order]], start) if len(start) else np.zeros(0, np.int64)
+    count = np.add.reduceat(words.freq[words.chunk[at[order]]], start) if len(start) else np.zeros(0, np.int64)
     rows = at[order[start]]
     return words.lang[rows], np.stack([codes[rows + k] for k in range(n)], axis=1), count
 
@@ -187,7 +191,7 @@ def _count(sizes: tuple[int, ...], window: int, shared=None):
         columns = ["lang", "phrase", "words", "f"]
         if 1 in sizes:
             total = np.zeros(len(names), np.int64)
-            np.add.at(total, w.lang[w.owned], w.weight[w.owned])
+            np.add.at(total, w.lang[w.owned], w.freq[w.chunk[w.owned]])
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([""] * len(names)), pa.array(np.zeros(len(names), np.int32)), pa.array(total)], names=columns)
         for n in sizes:
             lang, codes, count = _grams(w, n, shared.value if shared is not None else None)
@@ -283,7 +287,9 @@ def collocations(docs: DataFrame, *, longest: int = 3, least: int = 10, absorbed
     inner = inner.select("lang", "longer", "w", "m", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("m") + 1)).alias("i"))
     inner = inner.groupBy("lang", F.array_join(F.slice("w", F.col("i"), F.col("m")), " ").alias("phrase")).agg(F.max("longer").alias("longer"))
     left = scored.join(inner, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.lit(100).cast("decimal(20,0)") * F.col("longer") < F.lit(absorbed) * F.col("a").cast("decimal(20,0)")))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    left = left.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))  # so that the last ranking has at most PARTS * top rows of a language
+    left = left.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
+    best = left.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     n = counts.where("words = 0").select("lang", F.col("f").alias("n"))
     return best.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
