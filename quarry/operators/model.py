@@ -17,6 +17,7 @@ import math
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import dist
-from quarry.operators import neighbors, ranks
+from quarry.operators import leastsq, neighbors, ranks
 from quarry.operators.quality import ID_KEYWORDS, LEAKAGE_KEYWORDS, _any_sub
 from quarry.operators.roles import kind_of
 
@@ -296,36 +297,39 @@ def importance(model, names: list[str], kind: str) -> DataFrame:
 def ols(df: DataFrame, target: str, predictors: list[str]) -> tuple[DataFrame, DataFrame]:
     """M1/M3/M4: OLS on complete cases with dummy coding (first level
     dropped): coefficient table (term, coefficient, std_error, t, p_value)
-    and a one-row fit table (n, r2, adj_r2, aic, bic, residual_std)."""
+    and a one-row fit table (n, r2, adj_r2, aic, bic, residual_std).  Raises
+    ``leastsq.Collinear``, which names the columns, for dependent predictors."""
     spark = df.sparkSession
-    data = df.select(target, *predictors).na.drop()
-    kinds = {f.name: kind_of(f.dataType) for f in data.schema.fields}
-    n = data.count()
+    finite = [F.col(c) if kind_of(df.schema[c].dataType) != "numeric" else F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in (target, *predictors)]
+    data = df.select(*finite).na.drop()
     k_min = max(10, len(predictors) + 3)
-    if n < k_min:
+    size, low, high = data.agg(F.count(F.lit(1)), F.min(target), F.max(target)).first()
+    if size < k_min:
         raise ValueError(f"Regression needs at least {k_min} complete rows.")
-    if data.agg(F.stddev_samp(target)).first()[0] in (None, 0.0):
+    if low == high:
         raise ValueError("The target is constant.")
-    data = data.withColumn("is_test", F.lit(False)).withColumn(target, F.col(target).cast("double"))
-    prep = prepare(data, data, predictors, scale=False, drop_first=True)
-    lr = LinearRegression(solver="normal", regParam=0.0, featuresCol="features", labelCol=target)
-    m = lr.fit(prep.data)
-    s = m.summary
+    prep = prepare(data, data.withColumn("is_test", F.lit(False)).withColumn(target, F.col(target).cast("double")), predictors, drop_first=True)
     names = prep.features
-    coefs = m.coefficients.toArray().tolist()
-    se, tv, pv = s.coefficientStandardErrors, s.tValues, s.pValues
-    rows = [(names[i] if i < len(names) else f"f{i}", float(coefs[i]), float(se[i]), float(tv[i]), float(pv[i]))
-            for i in range(len(coefs))]
-    rows.append(("const", float(m.intercept), float(se[-1]), float(tv[-1]), float(pv[-1])))
-    coef_df = spark.createDataFrame(rows, "term string, coefficient double, std_error double, t double, "
-                                          "p_value double")
-    k = len(coefs) + 1
-    ssr = float(s.meanSquaredError * n)
-    llf = -n / 2.0 * (math.log(2 * math.pi) + math.log(ssr / n) + 1)
-    fit = spark.createDataFrame([(n, float(s.r2), float(s.r2adj), -2 * llf + 2 * k, -2 * llf + math.log(n) * k,
-                                  math.sqrt(ssr / (n - k)))],
+    f = leastsq.factor(prep.data.select(F.concat(vector_to_array("features"), F.array(target)).alias("x")), names)
+    dependent = f.dependent()
+    if dependent:
+        raise leastsq.Collinear(dependent, names)
+    n, k = f.n, len(names) + 1
+    y = f.r[:, -1]
+    ssr, sst = float(y[-1] ** 2), float((y[1:] ** 2).sum())
+    beta = np.linalg.solve(f.centred, y[1:-1])
+    mean = f.r[0, 1:-1] / f.r[0, 0]
+    s2, inv = ssr / (n - k), f.inverse()
+    rows = [(x, float(beta[i]), math.sqrt(s2 * inv[i, i])) for i, x in enumerate(names)]
+    rows.append(("const", float(y[0] / f.r[0, 0] - mean @ beta), math.sqrt(s2 * (1 / n + float(mean @ inv @ mean)))))
+    coef = spark.createDataFrame(rows, "term string, coefficient double, std_error double")
+    coef = coef.withColumn("t", F.try_divide("coefficient", "std_error")).withColumn("_dof", F.lit(float(n - k)))
+    coef = coef.withColumn("p_value", dist.t_two_sided_p("t", "_dof")).drop("_dof")
+    r2 = 1 - ssr / sst
+    llf = -n / 2.0 * (math.log(2 * math.pi) + math.log(max(ssr, 5e-324) / n) + 1)
+    fit = spark.createDataFrame([(n, r2, 1 - (1 - r2) * (n - 1) / (n - k), -2 * llf + 2 * k, -2 * llf + math.log(n) * k, math.sqrt(s2))],
                                 "n long, r2 double, adj_r2 double, aic double, bic double, residual_std double")
-    return coef_df, fit
+    return coef, fit
 
 
 def simple_regression(df: DataFrame, x: str, y: str) -> DataFrame:

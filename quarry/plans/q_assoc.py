@@ -241,6 +241,17 @@ def _vif2(spark, sf_dir):
     return rounded(A.vif_table(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"]))
 
 
+@register("vif_three_predictors_lineitem", sql_rounded(
+    """WITH r AS (SELECT corr(l_quantity, l_extendedprice) AS a, corr(l_quantity, l_discount) AS b, corr(l_extendedprice, l_discount) AS c FROM lineitem),
+       d AS (SELECT *, 1 + 2 * a * b * c - a * a - b * b - c * c AS det FROM r),
+       v AS (SELECT 'l_quantity' AS feature, (1 - c * c) / det AS v FROM d UNION ALL SELECT 'l_extendedprice', (1 - b * b) / det FROM d
+             UNION ALL SELECT 'l_discount', (1 - a * a) / det FROM d)
+       SELECT feature, v AS "VIF", CASE WHEN v >= 10 THEN 'high' WHEN v >= 5 THEN 'moderate' ELSE 'ok' END AS interpretation FROM v""",
+    ["VIF"], ["feature", "interpretation"]))
+def _vif3(spark, sf_dir):
+    return rounded(A.vif_table(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]))
+
+
 @register("vif_lineitem")
 def _vif(spark, sf_dir):
     return A.vif_table(table(spark, sf_dir, "lineitem"), LI)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import assoc as A
+from quarry.operators import leastsq
 from quarry.operators import model as M
 from quarry.operators import neighbors as NB
 from quarry.plans import fixtures as FX
@@ -139,6 +140,46 @@ def _roc(spark, sf_dir):
     return rounded(M.roc(FX.preds(spark, sf_dir)))
 
 
+# two predictors by their centred moments
+_OLS2 = f"""
+WITH m AS (SELECT count(*) AS n, avg(x) AS mx, avg(z) AS mz, avg(y) AS my, regr_sxx(y, x) AS sxx, regr_sxx(y, z) AS szz, regr_sxx(x, y) AS syy,
+                  regr_sxy(z, x) AS sxz, regr_sxy(y, x) AS sxy, regr_sxy(y, z) AS szy
+           FROM (SELECT l_quantity::DOUBLE AS x, l_discount::DOUBLE AS z, l_extendedprice::DOUBLE AS y FROM lineitem)),
+b AS (SELECT *, sxx * szz - sxz * sxz AS d, (sxy * szz - szy * sxz) / (sxx * szz - sxz * sxz) AS b1, (szy * sxx - sxy * sxz) / (sxx * szz - sxz * sxz) AS b2 FROM m),
+e AS (SELECT *, syy - b1 * sxy - b2 * szy AS ssr, (syy - b1 * sxy - b2 * szy) / (n - 3) AS s2 FROM b)"""
+
+
+@register("model_ols_two_predictors_lineitem", sql_rounded(_OLS2 + f""",
+t AS (SELECT 'l_quantity' AS term, b1 AS coefficient, sqrt(s2 * szz / d) AS std_error, n FROM e
+      UNION ALL SELECT 'l_discount', b2, sqrt(s2 * sxx / d), n FROM e
+      UNION ALL SELECT 'const', my - b1 * mx - b2 * mz, sqrt(s2 * (1.0 / n + (mx * mx * szz - 2 * mx * mz * sxz + mz * mz * sxx) / d)), n FROM e)
+SELECT term, coefficient, std_error, coefficient / std_error AS t, {S.t_two_sided_p('(coefficient / std_error)', '(n - 3)')} AS p_value FROM t""",
+    ["coefficient", "std_error", "t", "p_value"], ["term"], P))
+def _ols2(spark, sf_dir):
+    return rounded(M.ols(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"])[0], P)
+
+
+@register("model_ols_fit_two_predictors_lineitem", sql_rounded(_OLS2 + """
+SELECT n, 1 - ssr / syy AS r2, 1 - ssr / syy * (n - 1) / (n - 3) AS adj_r2,
+  n * (ln(2 * pi()) + ln(ssr / n) + 1) + 2 * 3 AS aic, n * (ln(2 * pi()) + ln(ssr / n) + 1) + ln(n) * 3 AS bic, sqrt(s2) AS residual_std FROM e""",
+    ["r2", "adj_r2", "aic", "bic", "residual_std"], ["n"]))
+def _ols2_fit(spark, sf_dir):
+    return rounded(M.ols(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"])[1])
+
+
+@register("model_collinear_terms_orders", """SELECT feature FROM (VALUES ('cents', (SELECT corr(o_totalprice, o_totalprice * 100 + o_custkey) FROM orders)),
+    ('fixed', (SELECT CASE WHEN min(1) = max(1) THEN 1.0 END FROM orders))) v(feature, r) WHERE r IS NOT NULL""")
+def _collinear(spark, sf_dir):
+    """The columns that the error names: a combination of two others and a constant."""
+    o = table(spark, sf_dir, "orders").withColumn("cents", F.col("o_totalprice") * 100 + F.col("o_custkey")).withColumn("fixed", F.lit(1.0))
+    try:
+        M.ols(o, "o_orderkey", ["o_custkey", "o_totalprice", "cents", "fixed"])
+        found = []
+    except leastsq.Collinear as e:
+        found = e.columns
+    return spark.createDataFrame([(c,) for c in found], "feature string")
+
+
 @register("model_auc_preds", sql_rounded(f"""
 WITH r AS (SELECT actual, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rk
            FROM {PR})
