@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from quarry.operators import profile as P
 from quarry.operators import quality as Q
+from quarry.operators import screen as SC
+from quarry.operators import sketches as SK
 from quarry.plans import fixtures as FX
 from quarry.plans.catalog import register, rounded, sql_rounded, table
 from quarry.plans.sqlgen import q
@@ -57,6 +59,36 @@ def _flags_o(spark, sf_dir):
     return Q.column_flags(Q.column_stats(table(spark, sf_dir, "orders")))
 
 
+for _name, _tbl, _cols, _frame in [("orders", "orders", ORDERS_COLS, lambda spark, sf_dir: table(spark, sf_dir, "orders")),
+                                   ("part_const", FX.PART_CONST_SQL, PART_CONST_COLS, FX.part_const)]:
+    def _mk(frame):
+        return lambda spark, sf_dir: SC.column_flags(frame(spark, sf_dir))
+    register(f"quality_flags_screened_{_name}", flags_sql(_tbl, _cols))(_mk(_frame))
+
+
+@register("top_values_orders", " UNION ALL ".join(f"""(SELECT '{c}' AS "column", {c}::VARCHAR AS value, count(*) AS count,
+    row_number() OVER (ORDER BY count(*) DESC, {c}::VARCHAR) AS rank FROM orders GROUP BY {c} ORDER BY rank LIMIT 5)""" for c in ("o_custkey", "o_orderstatus", "o_orderpriority", "o_orderkey")))
+def _top_values(spark, sf_dir):
+    """Counters for the skewed columns, full counts for the flat ones."""
+    return SC.top_values(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderstatus", "o_orderpriority", "o_orderkey"], 5)
+
+
+_KLL = ["l_quantity", "l_extendedprice", "l_discount", "l_orderkey"]
+_PROBS = [0.01, 0.25, 0.5, 0.75, 0.99]
+
+
+@register("kll_quantiles_merged_lineitem", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", {p}::DOUBLE AS prob, count({c}) AS n, true AS within FROM lineitem""" for c in _KLL for p in _PROBS))
+def _kll(spark, sf_dir):
+    """Sketches of every return flag's rows, merged: is each quantile's true rank within the stated error?"""
+    li = table(spark, sf_dir, "lineitem")
+    got = SK.quantiles(SK.merge(SK.sketch(li, _KLL, ["l_returnflag"])), _PROBS).collect()  # a row for each column and share
+    rank = [F.struct(F.lit(r["column"]).alias("column"), F.lit(r["prob"]).alias("prob"), F.lit(r["n"]).alias("n"),
+                     ((F.count_if(F.col(r["column"]) < r["value"]) / r["n"] <= r["prob"] + SK.rank_error())
+                      & (F.count_if(F.col(r["column"]) <= r["value"]) / r["n"] >= r["prob"] - SK.rank_error())).alias("within")) for r in got]
+    return li.agg(F.array(*rank).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+
 def targets_sql(tbl, cols):
     name = 'lower("column")'
     miss = 'missing / greatest("rows", 1)'
