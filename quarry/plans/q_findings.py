@@ -188,3 +188,81 @@ register("findings_suggested_actions_orders", f"""
      (6, 'box', 'o_orderkey', 'o_orderstatus'), (7, 'anova', 'o_orderkey', 'o_orderstatus'), (8, 'chi_square', 'o_orderstatus', 'o_orderpriority'),
      (9, 'missing_report', NULL, NULL), (10, 'chart_recommendations', NULL, NULL)))
  WHERE (SELECT count(*) FROM orders) > 0""")(lambda spark, sf_dir: R.suggested_actions(_orders(spark, sf_dir)))
+
+
+def _answers_sql(topics: dict[str, list[str]]) -> str:
+    body = " UNION ALL ".join(f"SELECT '{t}' AS topic, {i} AS k, * FROM ({r})" for t, rows in topics.items() for i, r in enumerate(rows))
+    return sql_rounded(f"""SELECT topic, CAST(row_number() OVER (PARTITION BY topic ORDER BY k, o) AS INT) AS ord, code, subject, other,
+        CAST(value AS DOUBLE) AS value FROM ({body})""", ["value"], ["topic", "ord", "code", "subject", "other"])
+
+
+def _ranked(code: str, rows: str, order: str, keep: int) -> str:
+    """The first ``keep`` of (o, subject, other, value) rows by ``order``, then by o and names."""
+    by = f"{order}, o, subject, other"
+    return f"SELECT row_number() OVER (ORDER BY {by}) AS o, '{code}' AS code, subject, other, value FROM ({rows}) ORDER BY {by} LIMIT {keep}"
+
+
+def _each(cols: list[str], value: str, src: str, other: str = "NULL::VARCHAR") -> str:
+    return " UNION ALL ".join(f"SELECT {i} AS o, '{c}' AS subject, {other} AS other, ({value.format(c=c)})::DOUBLE AS value FROM {src}" for i, c in enumerate(cols))
+
+
+_OP = _pairs("orders", _ORD_NUM)
+_PAIR_ROWS = f"SELECT 0 AS o, l AS subject, r AS other, c AS value FROM {_OP} p"
+_PAIR6 = _ranked("pair", _PAIR_ROWS, "-abs(value)", 6)
+_CANDIDATE5 = f"""SELECT row_number() OVER () AS o, 'candidate' AS code, "column" AS subject, problem_type AS other, score::DOUBLE AS value
+    FROM (SELECT * FROM ({candidates_sql('orders', ORDERS_COLS)}) LIMIT 5)"""
+_ORD_SCHEMA = ["o_orderkey", "o_custkey", "o_totalprice"]
+_SKEW = "skewness({c})"
+_KURT = "kurtosis({c})"
+_OUT = """SELECT count(*) FROM orders x, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3, count(DISTINCT {c}) AS d FROM orders y) f
+    WHERE d > 2 AND q3 <> q1 AND (x.{c} < q1 - 1.5 * (q3 - q1) OR x.{c} > q3 + 1.5 * (q3 - q1))"""
+_OUT_ROWS = f"SELECT * FROM ({_each(_ORD_SCHEMA, _OUT, '(SELECT 1)')}) WHERE value > 0"
+_ORD_CATS = ["o_orderpriority", "o_orderstatus"]
+_FREQ = " UNION ALL ".join(f"""SELECT {10 * i} + row_number() OVER (ORDER BY n DESC, v) AS o, 'frequency' AS code, '{c}' AS subject, v AS other, 100.0 * n / {_ROWS} AS value
+    FROM (SELECT {c}::VARCHAR AS v, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, v LIMIT 3)""" for i, c in enumerate(_ORD_CATS))
+_SHARES = " UNION ALL ".join(f"""SELECT {i} AS o, '{c}' AS subject, v AS other, 100.0 * n / {_ROWS} AS value FROM
+    (SELECT {c} AS v, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, v LIMIT 1)""" for i, c in ((3, "o_orderstatus"), (5, "o_orderpriority")))
+_TOP_TARGET = f"FROM {_CAND} c WHERE NOT starts_with(problem_type, 'classification')"
+_ORD_MISS = " + ".join(f"(count(*) - count({c}))" for c in (*_ORD_SCHEMA, "o_orderstatus", "o_orderdate", "o_orderpriority"))
+
+register("answers_to_all_topics_orders", _answers_sql({
+    "missing": [_row("complete", value=_ORD_MISS, tail="FROM orders HAVING " + _ORD_MISS + " = 0")],
+    "correlation": [_PAIR6],
+    "visualization": [
+        _row("correlation_heatmap", value="3"), _ranked("scatter_with_line", _PAIR_ROWS, "-abs(value)", 2),
+        _ranked("distribution", f"SELECT * FROM ({_each(_ORD_SCHEMA, _SKEW, 'orders')}) WHERE abs(value) >= 1", "-abs(value)", 2),
+        _row("category_counts", "'o_orderpriority'", value="count(DISTINCT o_orderpriority)", tail="FROM orders"),
+        _row("box_by_category", "'o_custkey'", "'o_orderpriority'", "count(DISTINCT o_orderpriority)", "FROM orders"),
+        _row("line_over_time", "'o_custkey'", "'o_orderdate'")],
+    "statistical_tests": [
+        _row("correlation_test", "l", "r", "c", f"FROM {_TOP_PAIR} t"),
+        _row("k_group_test", "'o_custkey'", "'o_orderpriority'", "count(DISTINCT o_orderpriority)", "FROM orders HAVING count(DISTINCT o_orderpriority) > 2"),
+        _row("independence_test", "'o_orderpriority'", "'o_orderstatus'"), _row("multiple_regression", '"column"', value="score", tail=f"FROM {_CAND} c")],
+    "ml_strategy": [
+        _CANDIDATE5, _row("linear_model_first", '"column"', "problem_type", "score", _TOP_TARGET), _row("report_errors_and_residuals", '"column"', "problem_type", "score", _TOP_TARGET),
+        _row("scale_before_clustering", value="3"), _row("check_leakage", value=_ROWS), _row("cross_validate", value=_ROWS)],
+    "predictive_variables": [_CANDIDATE5, _PAIR6],
+    "columns": [
+        _row("columns", value="6"), _ranked("numeric", _each(_ORD_SCHEMA, "count(DISTINCT {c})", "orders"), "o", 9),
+        _ranked("categorical", _each(_ORD_CATS, "count(DISTINCT {c})", "orders"), "o", 9), _row("datetime", "'o_orderdate'")],
+    "anomaly": [
+        _ranked("outliers", _OUT_ROWS, "-value", 6),
+        _ranked("skewed", f"SELECT * FROM ({_each(_ORD_SCHEMA, _SKEW, 'orders')}) WHERE abs(value) >= 1", "-abs(value)", 6),
+        _ranked("heavy_tails", f"SELECT * FROM ({_each(_ORD_SCHEMA, _KURT, 'orders')}) WHERE abs(value) >= 3", "-abs(value)", 6),
+        _ranked("imbalanced", f"SELECT * FROM ({_SHARES}) WHERE value >= 70", "-value", 6),
+        _ranked("multicollinear", f"SELECT * FROM ({_PAIR_ROWS}) WHERE abs(value) >= 0.7", "-abs(value)", 6)],
+    "business_insights": [
+        _row("drivers_of_target", '"column"', "problem_type", "score", f"FROM {_CAND} c"), _row("groups_of_target", '"column"', "problem_type", "score", f"FROM {_CAND} c"),
+        _row("relation_or_outliers", "l", "r", "c", f"FROM {_TOP_PAIR} t"), _row("dominant_categories", value="2"), _row("unusual_distributions", value="3"),
+        _row("choose_objective", value=_ROWS), _row("inspect_outliers", value="sum(value)", tail=f"FROM ({_OUT_ROWS}) HAVING sum(value) > 0"),
+        _row("verify_correlations", "l", "r", "c", f"FROM {_TOP_PAIR} t"), _row("baseline_model", '"column"', "problem_type", "score", f"FROM {_CAND} c"), _row("write_up", value=_ROWS)],
+    "categorical_frequencies": [_FREQ],
+    "summary": [
+        _row("rows", value=_ROWS), _row("columns", value="6"), _row("column_counts_numeric", value="3"), _row("column_counts_categorical", value="2"),
+        _row("column_counts_datetime", value="1"), _row("missing_cells", value=_ORD_MISS, tail="FROM orders"),
+        _ranked("strongest_positive", f"SELECT * FROM ({_PAIR_ROWS}) WHERE value > 0", "-value", 1), _ranked("strongest_negative", f"SELECT * FROM ({_PAIR_ROWS}) WHERE value < 0", "value", 1),
+        _ranked("most_variable", _each(_ORD_SCHEMA, "stddev_samp({c}) / avg({c})", "orders"), "-abs(value)", 1), _ranked("most_imbalanced", _SHARES, "-value", 1),
+        _ranked("outliers", _OUT_ROWS, "-value", 3)]}))(lambda spark, sf_dir: rounded(R.topic_answers(_orders(spark, sf_dir))))
+
+register("answers_missing_lineitem_nulls", _answers_sql({"missing": [_missing_rows("missing", "LIMIT 8")]}))(
+    lambda spark, sf_dir: rounded(R.topic_answer(FX.lineitem_nulls(spark, sf_dir), "missing")))

@@ -67,3 +67,23 @@ def test_unsupported_format_and_unknown_dataset(spark, sf_dir):
         S.get(spark, "no_such_dataset_registered")
     S.register(spark.read.parquet(f"{sf_dir}/region.parquet"), "quarry_region_test", persist=False)
     assert S.get(spark, "quarry_region_test").count() == 5
+
+
+def test_every_routed_topic_has_an_answer():
+    from quarry.operators import findings as R
+    from quarry.operators import route
+    assert {t for t, _ in route.TOPIC_RULES} | {route.TOPIC_DEFAULT} == set(R.ANSWERS)
+
+
+def test_answers_to_topics(spark):
+    import pytest
+    from quarry.operators import findings as R
+    rows = [(i, float(i % 10), float(i % 10) * 2 + (i % 3), "a" if i % 10 else "b", None if i % 4 else 1.0, "same") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, g string, m double, k string")
+    got = {}
+    for r in R.topic_answers(df).collect():
+        got.setdefault(r.topic, []).append((r.code, r.subject, r.other))
+    assert ("missing", "m", None) in got["missing"] and ("low_variance", "k", None) in got["anomaly"] and ("multicollinear", "x", "y") in got["anomaly"]
+    assert got["correlation"][0][:1] == ("pair",) and ("frequency", "g", "a") in got["categorical_frequencies"]
+    with pytest.raises(ValueError, match="Unknown topics"):
+        R.topic_answer(df, "charts")
