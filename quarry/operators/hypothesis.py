@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions import dist
+from quarry.functions import dist, small
 from quarry.operators import ranks
 from quarry.operators.assoc import ALPHA, _num, significance_text
 from quarry.operators.roles import floating_columns
 
 TWO_GROUP = {"t_test": "Independent samples t-test", "mann_whitney": "Mann-Whitney U"}
+#: Mann-Whitney: rows of the smaller group up to which p is exact, and values of U that are counted for it.
+EXACT_ROWS, EXACT_TERMS = 8, 1 << 24
 K_GROUP = {"anova": "One-way ANOVA", "kruskal": "Kruskal-Wallis"}
 
 
@@ -112,8 +114,9 @@ def _rank_sums(gv: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
-    """T5: U of the first group (label order), two-sided, tie- and
-    continuity-corrected normal approximation."""
+    """T5: U of the first group (label order), two-sided.  Without ties and with at most EXACT_ROWS rows in
+    a group the p-value is exact (unless the other group makes more than EXACT_TERMS values of U); else it is
+    the tie- and continuity-corrected normal approximation."""
     gv = grouped_values(df, value, group)
     sums, ties = _rank_sums(gv)
     w = Window.orderBy("g")
@@ -130,6 +133,9 @@ def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
     one = one.withColumn("_u1", u1).withColumn("_z", F.try_divide(F.greatest(u1, u2) - mu - 0.5, sd))
     # two-sided: 2 * P(Z > z) for z >= 0
     p = F.when(F.col("_z") <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), dist.norm_two_sided_p("_z")))
+    few = one.where((F.col("k") == 2) & (F.col("tie_term") == 0) & (F.least("n1", "n2") <= EXACT_ROWS) & (n1 * n2 <= EXACT_TERMS)).select("_u1", "n1", "n2").first()
+    if few is not None:
+        p = F.lit(small.u_two_sided_p(few["_u1"], few["n1"], few["n2"]))
     return _result(one, "mann_whitney", F.col("_u1"), p, F.col("n_total"), F.col("k") == 2,
                    "needs_2_groups")
 
@@ -157,7 +163,7 @@ def grouped_test(df: DataFrame, value: str, group: str, test: str) -> DataFrame:
 
 def normality(df: DataFrame, value: str) -> DataFrame:
     """D'Agostino-Pearson K^2 from population skewness and kurtosis of all
-    rows (closed form; no sample), p = exp(-K^2 / 2); needs n >= 20."""
+    rows (closed form; no sample), p = exp(-K^2 / 2); with 8 to 19 rows Shapiro-Wilk's W (without the two z), with fewer none."""
     v = F.col(value).cast("double")
     if value in floating_columns(df):
         v = F.when(~F.isnan(v), v)
@@ -178,10 +184,17 @@ def normality(df: DataFrame, value: str) -> DataFrame:
     zk = (1 - 2 / (9 * freedom) - F.signum(scaled) * F.pow(F.abs(scaled), 1.0 / 3)) * F.sqrt(9 * freedom / 2)
     k2 = zs * zs + zk * zk
     p = F.exp(-k2 / 2)
-    valid = F.col("n") >= 20
-    msg = "needs_20_rows"
-    res = _result(one, "normality", k2, p, F.col("n"), valid, msg, [F.when(valid, zs).alias("z_skew"),
-                                                                   F.when(valid, zk).alias("z_kurtosis")])
+    many = F.col("n") >= 20
+    # all values, if they are few
+    few = df.select(v.alias("v")).where("v is not null").limit(20).agg(F.sort_array(F.collect_list("v")).alias("_few"))
+    one = one.crossJoin(few).withColumn("_w", small.shapiro_w("_few"))  # one row each
+    one = one.withColumn("_zw", small.shapiro_z(F.col("_w"), F.col("n"))).withColumn("_za", F.abs("_zw"))
+    upper = F.when(F.col("_zw") >= 0, dist.norm_two_sided_p("_za") / 2).otherwise(1 - dist.norm_two_sided_p("_za") / 2)
+    one = one.withColumn("_k2", F.when(many, k2)).withColumn("_pk", F.when(many, p)).withColumn("_pw", upper).withColumn("_zs", F.when(many, zs)).withColumn("_zk", F.when(many, zk))
+    valid = many | F.col("_w").isNotNull()
+    res = _result(one, "normality", F.when(many, F.col("_k2")).otherwise(F.col("_w")), F.when(many, F.col("_pk")).otherwise(F.col("_pw")), F.col("n"), valid,
+                  "needs_8_rows", [F.when(many, F.col("_zs")).alias("z_skew"), F.when(many, F.col("_zk")).alias("z_kurtosis")])
+    res = res.withColumn("interpretation", F.when(~F.col("valid") & (F.col("n") >= small.SMALLEST), F.lit("needs_two_values")).otherwise(F.col("interpretation")))
     return res.withColumn("interpretation", F.when(F.col("valid"), F.when(F.col("p_value") >= ALPHA, "no_departure").otherwise("departure"))
                           .otherwise(F.col("interpretation")))
 

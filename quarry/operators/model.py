@@ -402,10 +402,14 @@ def classification_metrics(pred: DataFrame, actual: str = "actual", predicted: s
                                     F.col("recall").alias("recall_weighted"), F.col("f1").alias("f1_weighted")))
 
 
+def _scored(pred: DataFrame, actual: str, score: str) -> DataFrame:
+    return pred.where(F.col(actual).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+
+
 def roc(pred: DataFrame, actual: str = "actual", score: str = "score", positive="1") -> DataFrame:
     """ROC points at every distinct score (descending), from cumulative
-    counts of the ties-collapsed score table, plus the (0, 0) start."""
-    p = pred.select((F.col(actual).cast("string") == str(positive)).cast("int").alias("y"),
+    counts of the ties-collapsed score table, plus the (0, 0) start.  Rows without a score or a label are left out."""
+    p = _scored(pred, actual, score).select((F.col(actual).cast("string") == str(positive)).cast("int").alias("y"),
                     (-F.col(score).cast("double")).alias("neg_score"))
     per = p.groupBy("neg_score").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n")) \
         .withColumn("_k", F.lit(0))
@@ -422,8 +426,8 @@ def roc(pred: DataFrame, actual: str = "actual", score: str = "score", positive=
 
 
 def auc(pred: DataFrame, actual: str = "actual", score: str = "score", positive="1") -> DataFrame:
-    """ROC AUC = U / (n1 n0) from the average-rank sum of positives."""
-    p = pred.select((F.col(actual).cast("string") == str(positive)).cast("int").alias("y"),
+    """ROC AUC = U / (n1 n0) from the average-rank sum of positives.  Rows without a score or a label are left out."""
+    p = _scored(pred, actual, score).select((F.col(actual).cast("string") == str(positive)).cast("int").alias("y"),
                     F.col(score).cast("double").alias("s"))
     per = p.groupBy("s").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n")).withColumn("_k", F.lit(0))
     cum = ranks.cumulative_counts(per, ["_k"], value="s")

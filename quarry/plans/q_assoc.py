@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from quarry.functions import small
 from quarry.operators import assoc as A
 from quarry.operators import hypothesis as H
 from quarry.plans import fixtures as FX
@@ -405,7 +407,7 @@ def _normal_sql(tbl, x):
     p = f"exp(-{k2} / 2)"
     return f"""SELECT 'normality' AS test, CASE WHEN n >= 20 THEN {k2} END AS statistic,
         CASE WHEN n >= 20 THEN {p} END AS p_value, n, n >= 20 AS valid,
-        CASE WHEN n >= 20 THEN CASE WHEN {p} >= 0.05 THEN 'no_departure' ELSE 'departure' END ELSE 'needs_20_rows' END AS interpretation,
+        CASE WHEN n >= 20 THEN CASE WHEN {p} >= 0.05 THEN 'no_departure' ELSE 'departure' END END AS interpretation,
         CASE WHEN n >= 20 THEN {zs} END AS z_skew, CASE WHEN n >= 20 THEN {zk} END AS z_kurtosis
       FROM (SELECT count({x}) AS n, avg(pow({x} - mu, 3)) / pow(avg(pow({x} - mu, 2)), 1.5) AS b1,
                    avg(pow({x} - mu, 4)) / pow(avg(pow({x} - mu, 2)), 2) AS kb
@@ -418,3 +420,39 @@ for _name, _tbl, _x in [("normality_events_value", "events", "value"),
     def _mk(t, x):
         return lambda spark, sf_dir: rounded(H.normality(table(spark, sf_dir, t), x), P)
     register(_name, sql_rounded(_normal_sql(_tbl, _x), [*TEST_D, "z_skew", "z_kurtosis"], TEST_O, P))(_mk(_tbl, _x))
+
+
+# twelve values: the mean price of the orders of each calendar month
+_MONTHS = """(SELECT month(o_orderdate) AS m, avg(o_totalprice) AS x FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1)"""
+_W12 = ", ".join(repr(w) for w in small.weights(12))
+_LN12 = math.log(12)
+_MU12 = sum(c * _LN12 ** i for i, c in enumerate(small.MEAN_MORE))
+_SD12 = math.exp(sum(c * _LN12 ** i for i, c in enumerate(small.SPREAD_MORE)))
+
+
+def _months(spark, sf_dir):
+    return (table(spark, sf_dir, "orders").where("o_orderdate is not null").groupBy(F.month("o_orderdate").alias("m")).agg(F.avg("o_totalprice").alias("x")))
+
+
+@register("normality_small_orders_by_month", sql_rounded(f"""
+WITH v AS (SELECT x, row_number() OVER (ORDER BY x) AS i, avg(x) OVER () AS mu FROM {_MONTHS}),
+w AS (SELECT pow(sum((x - mu) * ([{_W12}])[i]), 2) / sum((x - mu) * (x - mu)) AS w, count(*) AS n FROM v),
+z AS (SELECT w, n, (ln(1 - w) - ({_MU12!r})) / {_SD12!r} AS z FROM w),
+p AS (SELECT w, n, CASE WHEN z >= 0 THEN {S.norm_two_sided_p('abs(z)')} / 2 ELSE 1 - {S.norm_two_sided_p('abs(z)')} / 2 END AS p FROM z)
+SELECT 'normality' AS test, w AS statistic, p AS p_value, n, true AS valid, CASE WHEN p >= 0.05 THEN 'no_departure' ELSE 'departure' END AS interpretation,
+  NULL::DOUBLE AS z_skew, NULL::DOUBLE AS z_kurtosis FROM p WHERE n = 12""", [*TEST_D, "z_skew", "z_kurtosis"], TEST_O, P))
+def _norm_small(spark, sf_dir):
+    return rounded(H.normality(_months(spark, sf_dir), "x"), P)
+
+
+@register("mann_whitney_exact_orders_half_years", sql_rounded(f"""
+WITH v AS (SELECT m <= 6 AS a, rank() OVER (ORDER BY x) AS r FROM {_MONTHS}),
+u AS (SELECT sum(r) FILTER (WHERE a) - 21 AS u, greatest(sum(r) FILTER (WHERE a) - 21, 57 - sum(r) FILTER (WHERE a)) AS hi FROM v),
+every AS (SELECT list_sum(list_transform(range(12), lambda j: CASE WHEN (s >> CAST(j AS INTEGER)) & 1 = 1 THEN j + 1 ELSE 0 END)) - 21 AS e
+          FROM range(4096) t(s) WHERE bit_count(s) = 6),
+p AS (SELECT u.u, least(1.0, 2.0 * (SELECT count(*) FROM every WHERE e >= u.hi) / (SELECT count(*) FROM every)) AS p FROM u)
+SELECT 'mann_whitney' AS test, u::DOUBLE AS statistic, p AS p_value, 12::BIGINT AS n, true AS valid, {sig_text('p')} AS interpretation FROM p""",
+    TEST_D, TEST_O, P))
+def _mwu_exact(spark, sf_dir):
+    """The months of the first against those of the second half of the year, by all 924 arrangements."""
+    return rounded(H.mann_whitney(_months(spark, sf_dir).withColumn("g", F.when(F.col("m") <= 6, "first").otherwise("second")), "x", "g"), P)
