@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quarry.functions import dist
 from quarry.operators import leastsq, neighbors, ranks
 from quarry.operators.quality import ID_KEYWORDS, LEAKAGE_KEYWORDS, _any_sub
-from quarry.operators.roles import kind_of
+from quarry.operators.roles import distinct_counts, kind_of
 
 SEED = 42
 MAX_CLASSES = 1000
@@ -175,16 +175,12 @@ def problem_type(df: DataFrame, target: str) -> str:
     return "classification"
 
 
-def auto_predictors(df: DataFrame, target: str, limit: int = 20, max_levels: int = 30) -> list[str]:
-    """Numeric columns or text columns with <= 30 levels, first 20."""
-    cand = [f.name for f in df.schema.fields if f.name != target and kind_of(f.dataType) in
-            ("numeric", "categorical", "boolean")]
-    if not cand:
-        return []
-    text = [c for c in cand if kind_of(df.schema[c].dataType) != "numeric"]  # numeric qualifies regardless
-    d = df.agg(*[F.count_distinct(c).alias(c) for c in text]).first().asDict() if text else {}
-    out = [c for c in cand if kind_of(df.schema[c].dataType) == "numeric" or d[c] <= max_levels]
-    return out[:limit]
+def auto_predictors(df: DataFrame, target: str, limit: int | None = None, max_levels: int = 30) -> list[str]:
+    """Numeric columns and text columns with at most ``max_levels`` levels, in schema order (the first ``limit``, if given)."""
+    kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields if f.name != target}
+    text = [c for c, k in kinds.items() if k in ("categorical", "boolean")]  # numeric columns qualify regardless
+    levels = distinct_counts(df, text).first().asDict() if text else {}
+    return [c for c, k in kinds.items() if k == "numeric" or (c in levels and levels[c] <= max_levels)][:limit]
 
 
 @dataclass

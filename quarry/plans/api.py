@@ -129,7 +129,7 @@ def analyse(df: DataFrame, intent: str, columns: list[str] | None = None, target
         "mann_whitney": lambda: H.mann_whitney(df, x, g),
         "kruskal_wallis": lambda: H.kruskal(df, x, g),
         "linear_regression": lambda: M.ols(df, target or x, predictors or [c for c in roles.numeric
-                                                                            if c != (target or x)][:20])[0],
+                                                                            if c != (target or x)])[0],
         "logistic_regression": lambda: M.fit_model(df, target, predictors or M.auto_predictors(df, target),
                                                    "logistic").metrics,
         "random_forest": lambda: M.fit_model(df, target, predictors or M.auto_predictors(df, target),

@@ -208,15 +208,17 @@ def _ssplit(spark, sf_dir):
     return sp.groupBy("o_orderstatus", "is_test").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("model_cv_folds_orders", """SELECT pmod_fold AS fold FROM (VALUES (0), (1), (2), (3), (4)) v(pmod_fold)""")
+@register("model_cv_folds_orders", """SELECT f::INTEGER AS fold, count(*) // 5 + CASE WHEN f < count(*) % 5 THEN 1 ELSE 0 END AS n
+    FROM orders, range(5) t(f) GROUP BY f""")
 def _folds(spark, sf_dir):
+    """Folds differ by one row at most."""
     f = M.fold_ids(table(spark, sf_dir, "orders"), ["o_orderkey"])
-    return f.select("fold").distinct().select(F.col("fold").cast("int").alias("fold"))
+    return f.groupBy(F.col("fold").cast("int").alias("fold")).agg(F.count("*").alias("n"))
 
 
-@register("model_auto_predictors_orders", """SELECT * FROM (VALUES ('o_orderkey'), ('o_custkey'), ('o_orderstatus'),
-    ('o_orderpriority')) v(feature) WHERE (SELECT count(DISTINCT o_orderstatus) FROM orders) <= 30
-    AND (SELECT count(DISTINCT o_orderpriority) FROM orders) <= 30""")
+@register("model_auto_predictors_orders", """SELECT 'o_orderkey' AS feature UNION ALL SELECT 'o_custkey'
+    UNION ALL SELECT 'o_orderstatus' FROM orders HAVING count(DISTINCT o_orderstatus) <= 30
+    UNION ALL SELECT 'o_orderpriority' FROM orders HAVING count(DISTINCT o_orderpriority) <= 30""")
 def _auto(spark, sf_dir):
     cols = M.auto_predictors(table(spark, sf_dir, "orders"), "o_totalprice")
     return spark.createDataFrame([(c,) for c in cols], "feature string")
@@ -247,7 +249,7 @@ def _logit_roc(spark, sf_dir):
 def _rf(spark, sf_dir):
     fit = M.fit_model(table(spark, sf_dir, "orders"), "o_totalprice", ["o_custkey", "o_orderpriority",
                                                                         "o_orderstatus"], "random_forest",
-                      key=["o_orderkey"], trees=100)
+                      key=["o_orderkey"])
     return fit.metrics.crossJoin(fit.importance.limit(1).select(F.col("feature").alias("top_feature")))
 
 
@@ -266,7 +268,7 @@ def _svm(spark, sf_dir):
 
 @register("model_compare_classifiers_documents")
 def _cmp(spark, sf_dir):
-    return M.compare_models(_docs(spark, sf_dir), "quality", ["n_chars", "lang"], key=["doc_id"], trees=50)
+    return M.compare_models(_docs(spark, sf_dir), "quality", ["n_chars", "lang"], key=["doc_id"])
 
 
 @register("model_cross_validation_orders")

@@ -103,7 +103,7 @@ def targets_sql(tbl, cols):
       FROM {stats_sql(tbl, cols)} s
       WHERE NOT (unique_ratio >= 0.9 OR ({_like_any(name, Q.ID_KEYWORDS)} AND unique_ratio >= 0.5))
         AND "distinct" > 1 AND {miss} < 0.4
-      ORDER BY priority_score DESC, position LIMIT 8)"""
+      ORDER BY priority_score DESC, position)"""
 
 
 @register("target_suggestions_orders", sql_rounded(targets_sql("orders", ORDERS_COLS),
@@ -142,7 +142,7 @@ def candidates_sql(tbl, cols):
         CASE WHEN is_binary OR ({cat} AND "distinct" <= 20) THEN 'classification'
              WHEN {num} AND "distinct" <= 20 THEN 'regression or ordinal classification' ELSE 'regression' END
           AS problem_type, {why} AS why
-      FROM {stats_sql(tbl, cols)} s) WHERE score > 0 ORDER BY score DESC, position LIMIT 8"""
+      FROM {stats_sql(tbl, cols)} s) WHERE score > 0 ORDER BY score DESC, position"""
 
 
 @register("candidate_targets_orders", candidates_sql("orders", ORDERS_COLS))
@@ -165,7 +165,7 @@ def imbalance_sql(tbl, cols):
       round(min_count / present * 100, 1) AS minority_percent FROM {stats_sql(tbl, cols)} s
     WHERE (kind IN ('categorical', 'boolean') OR is_binary) AND "distinct" >= 2
       AND (top_count / present * 100 >= 70 OR min_count / present * 100 <= 10)
-    ORDER BY top_percent DESC, "column" LIMIT 8"""
+    ORDER BY top_percent DESC, s."column" """
 
 
 @register("imbalance_flags_part_const", sql_rounded(imbalance_sql(FX.PART_CONST_SQL, PART_CONST_COLS),
@@ -183,7 +183,7 @@ def _imb_l(spark, sf_dir):
 @register("high_missing_part_const", sql_rounded(
     f"""SELECT "column", missing * 100.0 / "rows" AS percent, missing AS "count" FROM
         {stats_sql(FX.PART_CONST_SQL, PART_CONST_COLS)} s WHERE "rows" > 0 AND missing * 100.0 / "rows" >= 20
-        ORDER BY percent DESC, position LIMIT 8""", ["percent"], ["column", "count"]))
+        ORDER BY percent DESC, position""", ["percent"], ["column", "count"]))
 def _hm(spark, sf_dir):
     return rounded(Q.high_missing(Q.column_stats(FX.part_const(spark, sf_dir))))
 
@@ -307,11 +307,11 @@ def _health_p(spark, sf_dir):
              - least(20.0, nhm * 4.0) - least(15.0, nout * 2.0), 1)) AS quality_score,
            nhm AS n_high_missing, nout AS n_outlier_cols
     FROM (SELECT sum(missing) AS miss, max("rows") AS nrows,
-                 least(count(*) FILTER (WHERE missing * 100.0 / "rows" >= 20), 8) AS nhm
+                 count(*) FILTER (WHERE missing * 100.0 / "rows" >= 20) AS nhm
           FROM {stats_sql(FX.PART_CONST_SQL, PART_CONST_COLS)} s) a,
          (SELECT coalesce(sum(n - 1), 0) AS dup FROM (SELECT count(*) AS n FROM {FX.PART_CONST_SQL} x
             GROUP BY {', '.join(c for c, _ in PART_CONST_COLS)})) d,
-         (SELECT least(count(*) FILTER (WHERE k > 0), 10) AS nout FROM ({" UNION ALL ".join(
+         (SELECT count(*) FILTER (WHERE k > 0) AS nout FROM ({" UNION ALL ".join(
              f'''SELECT (SELECT count(*) FROM part, (SELECT quantile_cont({c}, 0.25) AS q1,
                  quantile_cont({c}, 0.75) AS q3, count(DISTINCT {c}) AS d FROM part) f WHERE d > 2 AND q3 - q1 <> 0
                  AND ({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1))) AS k'''
