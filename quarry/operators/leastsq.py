@@ -38,6 +38,54 @@ def _factor(rows: np.ndarray) -> np.ndarray:
     return np.linalg.qr(rows, mode="r")
 
 
+def _shrink_groups(width: int):
+    """Batches of (g int, x array<double>) to one factor for each group and task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r: dict[int, np.ndarray] = {}
+        for b in batches:
+            for lo in range(0, b.num_rows, ROWS):
+                part = b.slice(lo, ROWS)
+                x = np.asarray(part.column("x").flatten().to_numpy(zero_copy_only=False), float).reshape(part.num_rows, width - 1)
+                x, g = np.concatenate((np.ones((len(x), 1)), x), axis=1), part.column("g").to_numpy()
+                for k in np.unique(g).tolist():
+                    r[k] = _factor(np.concatenate((r.get(k, np.zeros((0, width))), x[g == k])))
+        yield pa.RecordBatch.from_arrays([pa.array(list(r), pa.int32()), pa.array([x.tobytes() for x in r.values()], pa.binary())], names=["g", "r"])
+    return run
+
+
+def _stack_groups(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, raw in zip(b.column("g").to_pylist(), b.column("r").to_pylist(), strict=True):
+                r[k] = _factor(np.concatenate((r.get(k, np.zeros((0, width))), np.frombuffer(raw).reshape(-1, width))))
+        yield pa.RecordBatch.from_arrays([pa.array(list(r), pa.int32()), pa.array([x.tobytes() for x in r.values()], pa.binary())], names=["g", "r"])
+    return run
+
+
+def group_factors(rows: DataFrame, width: int) -> dict[int, np.ndarray]:
+    """The triangular factor of [1, x] for each of a few groups (g int, x array<double>), in one pass."""
+    level = rows.mapInArrow(_shrink_groups(width), "g int, r binary").repartition("g").mapInArrow(_stack_groups(width), "g int, r binary")
+    out: dict[int, np.ndarray] = {}
+    for row in level.collect():  # one factor for each group
+        out[row["g"]] = np.frombuffer(bytes(row["r"])).reshape(-1, width)
+    return out
+
+
+def fold_scores(factors: dict[int, np.ndarray]) -> dict[int, tuple[int, float]]:
+    """(rows, R^2) of every fold under the least-squares fit of the others, from the folds' factors alone: the
+    others' factors stacked give the fit, and the fold's own factor its squared errors and spread."""
+    out = {}
+    for f, own in factors.items():
+        others = np.concatenate([r for g, r in factors.items() if g != f] or [np.zeros((1, own.shape[1]))])
+        beta = np.linalg.lstsq(others[:, :-1], others[:, -1], rcond=None)[0]
+        error = own @ np.append(-beta, 1.0)
+        ends = _factor(own[:, [0, -1]])  # of [1, y]
+        spread = float(ends[1, 1] ** 2) if len(ends) > 1 else 0.0
+        out[f] = (int(round(float((own[:, 0] ** 2).sum()))), 1 - float(error @ error) / spread if spread > 0 else float("nan"))
+    return out
+
+
 def _shrink(width: int):
     """Batches of (x array<double>) to one factor for each task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quarry.functions import dist
 from quarry.operators import leastsq, neighbors, ranks
 from quarry.operators.quality import ID_KEYWORDS, LEAKAGE_KEYWORDS, _any_sub
-from quarry.operators.roles import distinct_counts, kind_of
+from quarry.operators.roles import distinct_counts, kind_of, missing_expr
 
 SEED = 42
 MAX_CLASSES = 1000
@@ -459,10 +459,23 @@ def compare_models(df: DataFrame, target: str, predictors: list[str], task: str
 
 
 def cross_validate(df: DataFrame, target: str, predictors: list[str], kind: str = "linear",
-                   folds: int = 5, key: list[str] | None = None) -> DataFrame:
-    """K-fold scores (R^2 or accuracy) per fold."""
+                   folds: int = 5, key: list[str] | None = None, fold: str | None = None) -> DataFrame:
+    """K-fold scores (R^2 or accuracy) per fold.  ``fold`` names a column that has the folds (0 to ``folds`` - 1).
+
+    A linear model of complete predictors takes one pass: every fold's triangular factor (``leastsq``), from which each
+    fold is scored under the fit of the others.  Otherwise each fold has its own preprocessing and fit."""
     task = problem_type(df, target)
-    data = fold_ids(df.na.drop(subset=[target]), key or df.columns, folds)
+    data = df.na.drop(subset=[target])
+    data = data.withColumn("fold", F.col(fold).cast("int")) if fold else fold_ids(data, key or df.columns, folds)
+    if kind == "linear" and task == "regression":
+        missing = reduce(lambda a, b: a | b, [missing_expr(data, c) for c in predictors])
+        if data.where(missing).isEmpty():
+            flat = data.withColumn("is_test", F.lit(False)).withColumn(target, F.col(target).cast("double"))
+            prep = prepare(flat, flat, predictors)
+            rows = prep.data.select(F.col("fold").alias("g"), F.concat(vector_to_array("features"), F.array(target)).alias("x"))
+            width = rows.select(F.size("x")).first()  # slots for unknown levels included: they stay empty
+            scores = leastsq.fold_scores(leastsq.group_factors(rows, width[0] + 1)) if width else {}
+            return df.sparkSession.createDataFrame([(f, s) for f, (_, s) in sorted(scores.items())], "fold int, score double").select("score", "fold")
     out = []
     for f in range(folds):
         d = data.withColumn("is_test", F.col("fold") == f)

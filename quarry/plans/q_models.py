@@ -277,6 +277,17 @@ def _cv(spark, sf_dir):
                             "linear", key=["o_orderkey"])
 
 
+@register("model_cross_validation_one_pass_orders", sql_rounded("""
+WITH t AS (SELECT (o_orderkey % 5)::INTEGER AS f, o_custkey::DOUBLE AS x, o_totalprice AS y FROM orders),
+m AS (SELECT k.f, regr_slope(t.y, t.x) AS b, regr_intercept(t.y, t.x) AS a FROM (SELECT DISTINCT f FROM t) k JOIN t ON t.f <> k.f GROUP BY k.f),
+s AS (SELECT t.f, sum(pow(y - (a + b * x), 2)) AS sse FROM t JOIN m ON m.f = t.f GROUP BY t.f)
+SELECT s.f AS fold, 1 - sse / (SELECT var_pop(y) * count(*) FROM t WHERE t.f = s.f) AS score FROM s""", ["score"], ["fold"]))
+def _cv_one_pass(spark, sf_dir):
+    """Every fold under the fit of the other four, from the folds' factors."""
+    o = table(spark, sf_dir, "orders").withColumn("part", F.col("o_orderkey") % 5)
+    return rounded(M.cross_validate(o, "o_totalprice", ["o_custkey"], "linear", fold="part"))
+
+
 @register("model_residual_summary_orders")
 def _resid(spark, sf_dir):
     fit = M.fit_model(table(spark, sf_dir, "orders"), "o_totalprice", ["o_custkey", "o_orderpriority"], "linear",

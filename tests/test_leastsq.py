@@ -62,3 +62,18 @@ def test_guards(spark):
     with pytest.raises(ValueError, match="constant"):
         M.ols(df.withColumn("y", df.a * 0), "y", ["a"])
     assert A.vif_table(df, ["a"]).collect() == [] and A.vif_table(df.limit(0), ["a", "b"]).collect() == []
+
+
+def test_cross_validation_in_one_pass_equals_separate_fits(spark):
+    pdf = data(600)
+    pdf["g"] = [("u", "v", "w")[i % 3] for i in range(600)]
+    pdf["fold"] = [(i * 7) % 5 for i in range(600)]
+    pdf["y"] += (pdf.g == "v") * 3
+    got = {r.fold: r.score for r in M.cross_validate(spark.createDataFrame(pdf).repartition(6), "y", ["a", "b", "d", "g"], fold="fold").collect()}
+    x = np.column_stack((np.ones(600), pdf[["a", "b", "d"]], *((pdf.g == v).astype(float) for v in "vw")))
+    y = pdf.y.to_numpy()
+    for f in range(5):
+        test = (pdf.fold == f).to_numpy()
+        beta, *_ = np.linalg.lstsq(x[~test], y[~test], rcond=None)
+        e = y[test] - x[test] @ beta
+        assert got[f] == pytest.approx(1 - e @ e / ((y[test] - y[test].mean()) ** 2).sum(), rel=1e-6)
