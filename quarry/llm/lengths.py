@@ -55,3 +55,22 @@ def limits(hist: DataFrame) -> DataFrame:
     total = inside + longer * F.col("n_tokens")
     return h.select("n_tokens", "n_docs", within.alias("docs_within"), inside.alias("tokens_within"), longer.alias("docs_longer"),
                     total.alias("truncated_total"), (F.lit(tokens) - total).alias("lost_tokens"), (within / F.lit(max(docs, 1))).alias("quantile"))
+
+
+def at_limits(hist: DataFrame, wanted: list[int]) -> DataFrame:
+    """The columns of ``limits`` for any context limits, whether a document has that length or not (column ``limit``)."""
+    docs, tokens = hist.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum(F.col("n_tokens") * F.col("n_docs")), F.lit(0))).first()
+    each = hist.select("n_tokens", "n_docs", F.explode(F.array(*[F.lit(int(x)).cast("long") for x in wanted])).alias("limit"))
+    inside = F.col("n_tokens") <= F.col("limit")
+    sums = each.groupBy("limit").agg(F.sum(F.when(inside, F.col("n_docs")).otherwise(0)).alias("docs_within"),
+                                     F.sum(F.when(inside, F.col("n_tokens") * F.col("n_docs")).otherwise(0)).alias("tokens_within"))
+    longer = F.lit(docs) - F.col("docs_within")
+    total = F.col("tokens_within") + longer * F.col("limit")
+    return sums.select("limit", "docs_within", "tokens_within", longer.alias("docs_longer"), total.alias("truncated_total"),
+                       (F.lit(tokens) - total).alias("lost_tokens"), (F.col("docs_within") / F.lit(max(docs, 1))).alias("quantile"))
+
+
+def quantiles(hist: DataFrame, shares: list[float]) -> DataFrame:
+    """(share, n_tokens): the least length within which that share of the documents lies."""
+    found = limits(hist).select("n_tokens", "quantile", F.explode(F.array(*[F.lit(float(x)) for x in shares])).alias("share"))
+    return found.where(F.col("quantile") >= F.col("share")).groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))

@@ -25,6 +25,18 @@ def test_limits_against_counting(spark, sf_dir):
     assert lengths.limits(lengths.histogram(docs.limit(0), PATH, P.PATTERN)).collect() == []
 
 
+def test_any_limit_and_share(spark):
+    n = [0, 0, 3, 3, 3, 10, 700, 5000]
+    hist = spark.createDataFrame([(x, c) for x, c in Counter(n).items()], "n_tokens long, n_docs long")
+    got = {r.limit: tuple(r)[1:6] for r in lengths.at_limits(hist, [0, 2, 3, 512, 1024, 4096, 9999]).collect()}
+    for x, row in got.items():
+        cut = sum(min(x, y) for y in n)
+        assert row == (sum(y <= x for y in n), sum(y for y in n if y <= x), sum(y > x for y in n), cut, sum(n) - cut)
+    assert len(got) == 7 and lengths.at_limits(hist.limit(0), [5]).collect() == []
+    want = {q: sorted(n)[max(0, -(-int(q * 1000) * len(n) // 1000) - 1)] for q in (0.1, 0.25, 0.5, 0.75, 1.0)}
+    assert {r.share: r.n_tokens for r in lengths.quantiles(hist, list(want)).collect()} == want
+
+
 def test_page_languages(spark):
     d = "/root/testdata/sf0.01"
     pages, docs = spark.read.parquet(f"{d}/pages.parquet"), spark.read.parquet(f"{d}/documents.parquet")
