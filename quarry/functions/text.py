@@ -27,6 +27,31 @@ def fmt_g(x: Column, digits: int = 4) -> Column:
             .when(use_fixed, strip(fixed.otherwise(F.lit(None)))).otherwise(sci))
 
 
+def thousands(x: Column, places: int = 0) -> Column:
+    """digits in groups of three, ``places`` decimals."""
+    return F.format_number(x, places)
+
+
+def percent(x: Column, places: int = 1) -> Column:
+    """a percentage with ``places`` decimals and its sign."""
+    return F.format_string(f"%.{places}f%%", x.cast("double"))
+
+
+def utc_text(ts: Column) -> Column:
+    """a timestamp to the minute, in UTC whatever the session's time zone."""
+    return F.concat(F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd HH:mm"), F.lit(" UTC"))
+
+
+def to_record(*columns: str) -> Column:
+    """a row's columns as a JSON record (nulls left out)."""
+    return F.to_json(F.struct(*columns))
+
+
+def from_record(text: Column, schema: str) -> Column:
+    """a JSON record as a struct of ``schema``; null where the text is not one."""
+    return F.from_json(text, schema)
+
+
 def slug(c: Column, default: str = "chart") -> Column:
     """non-alphanumerics -> ``_``, lower case, trimmed; default when empty."""
     s = F.regexp_replace(F.lower(F.regexp_replace(c, "[^0-9A-Za-z]+", "_")), "^_+|_+$", "")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import dist
-from quarry.operators import leastsq, neighbors, ranks
+from quarry.operators import leastsq, neighbors, ranks, screen
 from quarry.operators.quality import ID_KEYWORDS, LEAKAGE_KEYWORDS, _any_sub
 from quarry.operators.roles import distinct_counts, kind_of, missing_expr
 
@@ -513,6 +513,15 @@ def validation_notes(metrics: DataFrame, predictors: list[str], vif: DataFrame |
     return reduce(DataFrame.unionByName, parts)
 
 
+def risky_predictors(df: DataFrame, predictors: list[str]) -> DataFrame:
+    """(feature, risk): the predictors that are among the table's possible IDs or outcome-like names, as intersections of name sets."""
+    flags = screen.column_flags(df, near_constant=False)
+    names = df.sparkSession.createDataFrame([(p,) for p in predictors], "feature string")
+    sets = {"identifier": "possible_id", "leakage": "leakage_risk"}
+    parts = [names.intersect(flags.where(flag).select(F.col("column").alias("feature"))).select("feature", F.lit(risk).alias("risk")) for risk, flag in sets.items()]
+    return parts[0].unionByName(parts[1])
+
+
 def model_summary(fit: Fit) -> DataFrame:
     """One sentence from the metrics and the top-3 features."""
     top = fit.importance.limit(3).agg(F.array_join(F.collect_list("feature"), ", ").alias("top"))

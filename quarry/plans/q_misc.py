@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import text as TX
+from quarry.operators import model as MD
 from quarry.operators import profile as P
 from quarry.operators import quality as Q
+from quarry.operators import route as R
 from quarry.plans import fixtures as FX
 from quarry.plans.catalog import register, rounded, sql_rounded, table
 
@@ -68,3 +70,35 @@ def _out8(spark, sf_dir):
 @register("quality_bundle_part_const")
 def _bundle(spark, sf_dir):
     return Q.quality_bundle(FX.part_const(spark, sf_dir))
+
+
+@register("text_number_formats_orders", """SELECT o_orderkey, format('{:,}', o_custkey * 1000 + o_orderkey) AS grouped,
+    printf('%.1f%%', o_totalprice / 7777.7) AS share, strftime(o_orderdate, '%Y-%m-%d %H:%M UTC') AS placed FROM orders""")
+def _formats(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", TX.thousands(F.col("o_custkey") * 1000 + F.col("o_orderkey")).alias("grouped"),
+                                                 TX.percent(F.col("o_totalprice") / 7777.7).alias("share"), TX.utc_text(F.col("o_orderdate")).alias("placed"))
+
+
+@register("json_records_events", """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
+    '{"event_id":' || event_id || ',"user_id":' || user_id || '}' AS record FROM events""")
+def _records(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", TX.from_record(F.col("props"), "k long")["k"].alias("k"), TX.to_record("event_id", "user_id").alias("record"))
+
+
+@register("risky_predictors_orders", """
+    SELECT 'o_orderkey' AS feature, 'identifier' AS risk FROM orders HAVING count(DISTINCT o_orderkey) >= 0.5 * count(*)
+    UNION ALL SELECT 'o_totalprice', 'identifier' FROM orders HAVING count(DISTINCT o_totalprice) >= 0.9 * count(*)
+    UNION ALL SELECT 'o_orderstatus', 'leakage' FROM orders HAVING count(*) > 0 AND contains('o_orderstatus', 'status')""")
+def _risky(spark, sf_dir):
+    return MD.risky_predictors(table(spark, sf_dir, "orders"), ["o_orderkey", "o_totalprice", "o_orderstatus", "o_absent"])
+
+
+@register("sanitized_code_conversations", """SELECT conv_id, turn, trim(regexp_replace(regexp_replace(
+    'import os' || chr(10) || 'x = ' || length(text) || chr(10) || 'plt.show()', '(?m)^\\s*(import\\s+.+|from\\s+.+\\s+import\\s+.+)\\s*$', '', 'g'),
+    '(?m)^\\s*plt\\.show\\(\\)\\s*$', '', 'g') || chr(10) || chr(10) || 'plt.tight_layout()', ' ') AS code FROM conversations""")
+def _sanitized(spark, sf_dir):
+    """Every turn's length put into a code block, taken out again and cleaned."""
+    c = table(spark, sf_dir, "conversations")
+    block = F.concat(F.lit("```python\nimport os\nx = "), F.length("text").cast("string"), F.lit("\nplt.show()\n```"))
+    return c.select("conv_id", "turn", R.sanitize_code(R.extract_code(F.concat_ws("\n", F.lit("see"), block))).alias("code"))
