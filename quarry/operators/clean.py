@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.operators import profile as P
-from quarry.operators.roles import floating_columns, kind_of, missing_expr, numeric_columns
+from quarry.operators.roles import distinct_counts, floating_columns, kind_of, missing_expr, numeric_columns
 
 # Missing-value tokens (exact, case-sensitive) and the browser's
 # trimmed, case-insensitive set.
@@ -95,26 +95,79 @@ def datetime_votes(df: DataFrame, columns: list[str] | None = None, mode: str =
         F.struct(F.lit(c).alias("column"), F.col("_rows").alias("rows"), F.col(f"n{i}").alias("present"),
                  F.col(f"d{i}").alias("with_digit"), F.col(f"p{i}").alias("parsed"))
         for i, c in enumerate(cols)])).alias("r")).select("r.*")
+    share = F.try_divide("parsed", "present")
     if mode == "app":
-        verdict = ((F.col("present") >= 3) & (F.col("with_digit") / F.col("present") >= 0.5) &
-                   (F.col("parsed") / F.col("present") >= 0.75))
+        verdict = (F.col("present") >= 3) & (F.col("with_digit") / F.col("present") >= 0.5) & (share >= 0.75)
+    elif mode == "browser":
+        verdict = share >= 0.75
+    elif mode == "chat":
+        verdict = (F.col("present") >= 10) & (share >= 0.7)
     else:
         verdict = F.col("parsed") / F.greatest(F.col("rows"), F.lit(1)) > 0.75
     return rows.withColumn("is_datetime", F.coalesce(verdict, F.lit(False)))
 
 
 def numeric_votes(df: DataFrame, columns: list[str] | None = None, mode: str = "app") -> DataFrame:
-    """C4 vote: share of all rows (``app`` >= 90 %, ``api`` > 85 %) that parse
+    """C4 vote: share of all rows (``app`` >= 90 %, ``api`` > 85 %; ``browser``: >= 86 % of the present ones) that parse
     as numbers after stripping currency/percent/thousands characters."""
     cols = columns if columns is not None else string_columns(df)
     one = df.agg(F.count(F.lit(1)).alias("_rows"),
-                 *[F.count(parse_number(F.col(c))).alias(f"p{i}") for i, c in enumerate(cols)])
+                 *[F.count(parse_number(F.col(c))).alias(f"p{i}") for i, c in enumerate(cols)],
+                 *[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)])
     rows = one.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col("_rows").alias("rows"), F.col(f"p{i}").alias("parsed"))
+        F.struct(F.lit(c).alias("column"), F.col("_rows").alias("rows"), F.col(f"p{i}").alias("parsed"), F.col(f"n{i}").alias("_present"))
         for i, c in enumerate(cols)])).alias("r")).select("r.*")
-    share = F.col("parsed") / F.col("rows")
-    verdict = (share >= 0.9) if mode == "app" else (share > 0.85)
-    return rows.withColumn("is_numeric", F.coalesce(verdict & (F.col("parsed") > 0), F.lit(False)))
+    share = F.try_divide(F.col("parsed"), F.col("_present" if mode == "browser" else "rows"))
+    verdict = {"app": share >= 0.9, "api": share > 0.85, "browser": share >= 0.86}[mode]
+    return rows.withColumn("is_numeric", F.coalesce(verdict & (F.col("parsed") > 0), F.lit(False))).drop("_present")
+
+
+YES_NO = ["true", "false", "yes", "no"]
+
+
+def column_groups(df: DataFrame, mode: str) -> DataFrame:
+    """C11 variants: (column, role).
+
+    * ``api``: datetime; boolean (booleans and other columns of two values); numeric; the rest categorical.
+    * ``browser``: votes over the present values, in this order: binary (90 % yes/no words, or two values), numeric (86 %),
+      datetime (75 %), categorical (distinct share up to 55 %, or at most 30 present), text.
+    * ``chat``: numeric; datetime by type or, if no column has it, by a vote of text columns; categorical (text, booleans and
+      integers of at most 20 values).  A column can have two roles here.
+    """
+    kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields if kind_of(f.dataType) != "skipped"}
+    distinct = {c: n for c, n in distinct_counts(df, list(kinds)).first().asDict().items() if c in kinds}
+    spark, kind = df.sparkSession, "column string, role string"
+    text = [c for c in string_columns(df) if c in kinds]
+    if mode == "api":
+        def role(c: str) -> str:
+            if kinds[c] == "datetime":
+                return "datetime"
+            return "boolean" if kinds[c] == "boolean" or distinct[c] == 2 else "numeric" if kinds[c] == "numeric" else "categorical"
+        return spark.createDataFrame([(c, role(c)) for c in kinds], kind)
+    dates = {r["column"] for r in datetime_votes(df, text, mode).where("is_datetime").collect()} if text else set()  # a row for each column
+    if mode == "chat":
+        whole = {f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)}
+        typed = [c for c, k in kinds.items() if k == "datetime"]
+        dates = set(typed) or dates
+        rows = [(c, "numeric") for c, k in kinds.items() if k == "numeric"] + [(c, "datetime") for c in kinds if c in dates]
+        rows += [(c, "categorical") for c, k in kinds.items() if c not in dates and (k in ("categorical", "boolean") or (c in whole and distinct[c] <= 20))]
+        return spark.createDataFrame(rows, kind)
+    numbers = {r["column"] for r in numeric_votes(df, text, "browser").where("is_numeric").collect()} if text else set()
+    one = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(kinds)], *[
+        (F.count_if(F.lower(F.col(c)).isin(YES_NO)) if c in text else F.lit(0)).alias(f"y{i}") for i, c in enumerate(kinds)]).first()
+
+    def voted(i: int, c: str) -> str:
+        present = one[f"n{i}"]
+        if not present:
+            return "text"
+        if kinds[c] == "boolean" or one[f"y{i}"] >= 0.9 * present or distinct[c] == 2:
+            return "binary"
+        if kinds[c] == "numeric" or c in numbers:
+            return "numeric"
+        if kinds[c] == "datetime" or c in dates:
+            return "datetime"
+        return "categorical" if distinct[c] <= 0.55 * present or present <= 30 else "text"
+    return spark.createDataFrame([(c, voted(i, c)) for i, c in enumerate(kinds)], kind)
 
 
 @dataclass

@@ -196,3 +196,37 @@ def _drop_target(spark, sf_dir):
 def _search(spark, sf_dir):
     ov = P.column_overview(table(spark, sf_dir, "lineitem"))
     return C.search_columns(ov, "PRICE").select("column", "dtype")
+
+
+# typing variants: the browser's votes on untyped text, the API's groups and the chat's picks on typed tables
+_BN = "(SELECT " + ", ".join(f"CASE WHEN lower(trim({c})) IN ({BTOKENS}) THEN NULL ELSE {c} END AS {c}" for c in OT_COLS) + f" FROM {OT})"
+
+
+@register("column_groups_browser_orders_text", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", CASE WHEN count({c}) = 0 THEN 'text'
+      WHEN count(*) FILTER (WHERE lower({c}) IN ('true', 'false', 'yes', 'no')) >= 0.9 * count({c}) OR count(DISTINCT {c}) = 2 THEN 'binary'
+      WHEN count({_num(c)}) >= 0.86 * count({c}) THEN 'numeric'
+      WHEN count(*) FILTER (WHERE try_strptime({c}, {DT_LIST}) IS NOT NULL) >= 0.75 * count({c}) THEN 'datetime'
+      WHEN count(DISTINCT {c}) <= 0.55 * count({c}) OR count({c}) <= 30 THEN 'categorical' ELSE 'text' END AS role FROM {_BN}""" for c in OT_COLS))
+def _groups_browser(spark, sf_dir):
+    return C.column_groups(C.normalise_missing(FX.orders_text(spark, sf_dir), "browser"), "browser")
+
+
+_TYPES = {"lineitem": {**dict.fromkeys(("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"), "whole"),
+                       **dict.fromkeys(("l_quantity", "l_extendedprice", "l_discount", "l_tax"), "number"),
+                       "l_returnflag": "text", "l_linestatus": "text", "l_shipdate": "date"}}
+
+
+@register("column_groups_api_lineitem", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", """ + ("'datetime'" if k == "date" else f"CASE WHEN count(DISTINCT {c}) = 2 THEN 'boolean' ELSE '{'categorical' if k == 'text' else 'numeric'}' END")
+    + " AS role FROM lineitem HAVING count(*) > 0" for c, k in _TYPES["lineitem"].items()))
+def _groups_api(spark, sf_dir):
+    return C.column_groups(table(spark, sf_dir, "lineitem"), "api")
+
+
+@register("column_groups_chat_lineitem", " UNION ALL ".join(
+    [f"""SELECT '{c}' AS "column", '{'datetime' if k == 'date' else 'categorical' if k == 'text' else 'numeric'}' AS role FROM lineitem HAVING count(*) > 0"""
+     for c, k in _TYPES["lineitem"].items()]
+    + [f"""SELECT '{c}', 'categorical' FROM lineitem HAVING count(DISTINCT {c}) <= 20""" for c, k in _TYPES["lineitem"].items() if k == "whole"]))
+def _groups_chat(spark, sf_dir):
+    return C.column_groups(table(spark, sf_dir, "lineitem"), "chat")

@@ -56,3 +56,16 @@ def test_correlations_with_infinity_and_pairwise_constants(spark):
     same = spark.createDataFrame([(0.1, 1.0), (0.1, 2.0), (0.1, 5.0), (7.3, None)], "a double, b double")
     assert A.corr_matrix(same, ["a", "b"], full=False).first()["r"] is None
     assert A.corr_matrix(df, ["a"], full=False).collect() == [] and A.corr_matrix(df, ["a"]).collect()[0]["n"] == 4
+
+
+def test_typing_variants(spark):
+    from quarry.operators import clean as C
+    rows = [(str(i), "yes" if i % 2 else "no", f"2024-01-{i % 28 + 1:02d}", f"free text {i}", "a" if i % 3 else "b", i % 4, bool(i % 2), None) for i in range(60)]
+    df = spark.createDataFrame(rows, "n string, flag string, day string, note string, two string, level int, b boolean, none string")
+    got = lambda mode: sorted(map(tuple, C.column_groups(df, mode).collect()))
+    assert dict(got("browser")) == {"n": "numeric", "flag": "binary", "day": "datetime", "note": "text", "two": "binary", "level": "numeric", "b": "binary", "none": "text"}
+    assert dict(got("api")) == {"n": "categorical", "flag": "boolean", "day": "categorical", "note": "categorical", "two": "boolean", "level": "numeric", "b": "boolean", "none": "categorical"}
+    chat = got("chat")
+    assert ("day", "datetime") in chat and ("level", "numeric") in chat and ("level", "categorical") in chat and ("n", "categorical") in chat and ("day", "categorical") not in chat
+    few = C.column_groups(df.limit(5), "browser")
+    assert dict(map(tuple, few.collect()))["note"] == "categorical"
