@@ -21,9 +21,12 @@ EXACT_ROWS, EXACT_TERMS = 8, 1 << 24
 K_GROUP = {"anova": "One-way ANOVA", "kruskal": "Kruskal-Wallis"}
 
 
-def grouped_values(df: DataFrame, value: str, group: str) -> DataFrame:
-    """Listwise deletion over (value, group); group as text."""
-    return df.select(F.col(group).cast("string").alias("g"), _num(df, value).alias("x")).na.drop()
+def grouped_values(df: DataFrame, value: str, group: str, min_rows: int = 1) -> DataFrame:
+    """Listwise deletion over (value, group); group as text.  ``min_rows`` 2 leaves out groups of one row (the API's screening)."""
+    gv = df.select(F.col(group).cast("string").alias("g"), _num(df, value).alias("x")).na.drop()
+    if min_rows <= 1:
+        return gv
+    return gv.join(gv.groupBy("g").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows).select("g"), "g", "left_semi")
 
 
 def group_moments(gv: DataFrame) -> DataFrame:
@@ -92,9 +95,9 @@ def _anova_from_moments(m: DataFrame) -> DataFrame:
             .withColumn("p", dist.f_sf("F", "_d1", "_d2")))
 
 
-def anova(df: DataFrame, value: str, group: str) -> DataFrame:
-    """T4: one-way ANOVA F and p over all non-empty groups."""
-    m = group_moments(grouped_values(df, value, group))
+def anova(df: DataFrame, value: str, group: str, min_rows: int = 1) -> DataFrame:
+    """T4: one-way ANOVA F and p over all groups of at least ``min_rows``."""
+    m = group_moments(grouped_values(df, value, group)).where(F.col("n") >= min_rows)
     one = _anova_from_moments(m)
     return _result(one, "anova", F.col("F"), F.col("p"), F.col("n_all"), F.col("k") >= 2,
                    "needs_2_or_more_groups")
@@ -140,9 +143,9 @@ def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
                    "needs_2_groups")
 
 
-def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
-    """Kruskal-Wallis H with tie correction, chi-square p (k - 1 dof)."""
-    gv = grouped_values(df, value, group)
+def kruskal(df: DataFrame, value: str, group: str, min_rows: int = 1) -> DataFrame:
+    """Kruskal-Wallis H with tie correction, chi-square p (k - 1 dof), over all groups of at least ``min_rows``."""
+    gv = grouped_values(df, value, group, min_rows)
     sums, ties = _rank_sums(gv)
     agg = sums.agg(F.count(F.lit(1)).alias("k"), F.sum(F.pow("rank_sum", 2) / F.col("n")).alias("ssr"))
     one = agg.crossJoin(ties)

@@ -197,9 +197,9 @@ class Fit:
 
 def fit_model(df: DataFrame, target: str, predictors: list[str], kind: str = "random_forest",
               task: str | None = None, test_size: float = 0.25, key: list[str] | None = None,
-              seed: int = SEED, trees: int = 200) -> Fit:
+              seed: int = SEED, trees: int = 200, min_rows: int = 10) -> Fit:
     """Validity checks, split, preprocessing, fit, predictions, metrics
-    and importances.  Rows with a missing target are dropped first (C13)."""
+    and importances.  Rows with a missing target are dropped first (C13); ``min_rows`` must be left (12 for routed questions)."""
     spark = df.sparkSession
     if target in predictors:
         raise ValueError("The target cannot also be a predictor.")
@@ -207,8 +207,8 @@ def fit_model(df: DataFrame, target: str, predictors: list[str], kind: str = "ra
         .na.drop(subset=[target])
     task = task or problem_type(data, target)
     n = data.count()
-    if n < 10:
-        raise ValueError("At least 10 rows with a non-missing target are needed.")
+    if n < min_rows:
+        raise ValueError(f"At least {min_rows} rows with a non-missing target are needed.")
     key = key or data.columns
     if task == "classification":
         data = data.withColumn(target, F.col(target).cast("string"))

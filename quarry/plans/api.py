@@ -131,13 +131,13 @@ def analyse(df: DataFrame, intent: str, columns: list[str] | None = None, target
         "linear_regression": lambda: M.ols(df, target or x, predictors or [c for c in roles.numeric
                                                                             if c != (target or x)])[0],
         "logistic_regression": lambda: M.fit_model(df, target, predictors or M.auto_predictors(df, target),
-                                                   "logistic").metrics,
+                                                   "logistic", min_rows=12).metrics,
         "random_forest": lambda: M.fit_model(df, target, predictors or M.auto_predictors(df, target),
-                                             "random_forest").metrics,
+                                             "random_forest", min_rows=12).metrics,
         "decision_tree": lambda: M.fit_model(df, target, predictors or M.auto_predictors(df, target),
-                                             "decision_tree").metrics,
+                                             "decision_tree", min_rows=12).metrics,
         "feature_importance": lambda: M.fit_model(df, target, predictors or M.auto_predictors(df, target),
-                                                  "random_forest").importance,
+                                                  "random_forest", min_rows=12).importance,
         "missing_values": lambda: P.missing_report(df),
         "outlier_detection": lambda: Q.outlier_report(P.numeric_profile(df, [x] if x else roles.numeric)),
         "data_quality": lambda: Q.quality_bundle(df),

@@ -456,3 +456,17 @@ SELECT 'mann_whitney' AS test, u::DOUBLE AS statistic, p AS p_value, 12::BIGINT
 def _mwu_exact(spark, sf_dir):
     """The months of the first against those of the second half of the year, by all 924 arrangements."""
     return rounded(H.mann_whitney(_months(spark, sf_dir).withColumn("g", F.when(F.col("m") <= 6, "first").otherwise("second")), "x", "g"), P)
+
+
+_REPEATED = "(SELECT * FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice IS NOT NULL GROUP BY 1 HAVING count(*) > 1))"
+
+
+@register("anova_screened_orders_price_by_customer", sql_rounded(_anova_sql(_gx(_REPEATED, "o_totalprice", "o_custkey")), TEST_D, TEST_O, P))
+def _anova_screened(spark, sf_dir):
+    """Customers with a single order are left out."""
+    return rounded(H.anova(table(spark, sf_dir, "orders"), "o_totalprice", "o_custkey", min_rows=2), P)
+
+
+@register("kruskal_screened_orders_price_by_customer", sql_rounded(_kw_sql(_REPEATED, "o_totalprice", "o_custkey"), TEST_D, TEST_O, P))
+def _kruskal_screened(spark, sf_dir):
+    return rounded(H.kruskal(table(spark, sf_dir, "orders"), "o_totalprice", "o_custkey", min_rows=2), P)
