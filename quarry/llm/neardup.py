@@ -214,7 +214,7 @@ def _linked(docs: DataFrame, width: int, percent: int, bands: int, rows: int) ->
 
     size = nodes.select("node", F.col("n_shingles").alias("n"))
     wanted = size.join(placed.select("node").distinct(), "node", "left_semi")
-    wanted = save(wanted.join(nodes.select("node", "row.*"), "node").withColumnRenamed("doc_id", "d").select("node", "n", "d", "t1", "t2"))
+    wanted = wanted.join(nodes.select("node", "row.*"), "node").withColumnRenamed("doc_id", "d").select("node", "n", "d", "t1", "t2")
     of = docs.withColumnsRenamed({"t1": "u1", "t2": "u2"})
     texts = save(of.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("u1") == F.col("t1")) & (F.col("u2") == F.col("t2")))
                  .select("node", "n", "text").dropDuplicates(["node"]))
@@ -223,10 +223,10 @@ def _linked(docs: DataFrame, width: int, percent: int, bands: int, rows: int) ->
         """Pairs (a, b) that are similar enough.  A node with many partners meets them in parts of about
         HUB, and its text travels once for each part."""
         pairs = save(pairs)
-        hubs = pairs.groupBy("b").agg(F.count("*").alias("c")).where(F.col("c") > HUB).select("b", F.ceil(F.col("c") / HUB).cast("int").alias("parts"))
+        hubs = save(pairs.groupBy("b").agg(F.count("*").alias("c")).where(F.col("c") > HUB).select("b", F.ceil(F.col("c") / HUB).cast("int").alias("parts")))
         p = pairs.join(hubs, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
         p = p.join(texts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("text").alias("ta")), "a")
-        q = texts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("text").alias("tb")).join(pairs.select("b").distinct(), "b", "left_semi").join(hubs, "b", "left")
+        q = texts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("text").alias("tb")).join(hubs, "b", "left")
         q = q.select("b", "nb", "tb", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
         close = p.join(q, ["b", "part"]).where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         return close.select("a", "b", "ta", "tb").mapInArrow(_confirm(width, percent), "a long, b long")
