@@ -81,3 +81,16 @@ def test_fit_model_knn_classifier(spark):
                                  F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("y"))
     fit = M.fit_model(df, "y", ["x"], "knn", key=["id"])
     assert fit.metrics.first()["accuracy"] == 1.0 and set(fit.predictions.columns) == {"actual", "predicted", "score"}
+
+
+def test_cells_grow_with_the_table(spark, monkeypatch):
+    points = np.random.default_rng(2).normal(size=(20000, 2))
+    points[:3000] = 0.5  # copies cannot be cut
+    tree = N._Tree(points)
+    sizes = np.bincount(tree.cell(points), minlength=tree.cells)
+    assert tree.cells > 2000 and sizes.min() > 0 and np.sort(sizes)[-2] <= N.PER_LEAF
+    train, query = clouds()["grid"]
+    assert N._Tree(np.zeros((0, 2))).cells == 1
+    got = found(spark, train, np.concatenate([query, [[90.0, 90.0]]]), 5, cell=12)
+    for q in [*query, (90.0, 90.0)]:
+        assert [i for i, _ in got[tuple(q)]] == [i for i, _ in brute(train, np.array(q), 5)]
