@@ -230,6 +230,22 @@ def test_spearman_matrix_deletes_by_pair(spark):
     assert m[("a", "c")] == (pytest.approx(1.0), 4) and m[("c", "c")] == (1.0, 4)
 
 
+def test_spearman_matrix_ranks_columns_and_not_pairs(spark, monkeypatch):
+    seen, count = [], ranks.cumulative_counts
+    monkeypatch.setattr(ranks, "cumulative_counts", lambda c, *a, **k: seen.append(c.count()) or count(c, *a, **k))
+    names = list("abcde")
+    whole = spark.range(900).select(*[((F.col("id") * (7 + i)) % (30 + i)).cast("double").alias(c) for i, c in enumerate(names)])
+    odd = whole.select("a", "b", "e", F.when(F.col("c") > 5, F.col("c")).alias("c"), F.when(F.col("d") % 3 != 0, F.col("d")).alias("d"), F.lit(None).cast("double").alias("none"))
+    for limit in (A.BROADCAST_VALUES, 3):
+        monkeypatch.setattr(A, "BROADCAST_VALUES", limit)
+        for df in (whole, odd):
+            want = df.toPandas().corr(method="spearman")
+            for r in A.spearman_matrix(df, df.columns).collect():
+                w = want.loc[r["left"], r["right"]]
+                assert r["r"] == pytest.approx(1.0 if r["left"] == r["right"] else 0.0 if w != w else w, abs=1e-12)
+    assert seen[0] == sum(30 + i for i in range(5))  # every column's values once
+
+
 def test_readers(spark, tmp_path):
     from quarry.sources.io import read_table
     (tmp_path / "d.csv").mkdir()
@@ -242,3 +258,12 @@ def test_readers(spark, tmp_path):
     assert sorted(read_table(spark, str(tmp_path / "n.json")).columns) == ["id", "items"]
     (tmp_path / "o.json").write_text('{"rows": [{"q": 2}, {"q": 3}]}')
     assert [r["q"] for r in read_table(spark, str(tmp_path / "o.json")).collect()] == [2, 3]
+
+
+def test_models_are_fitted_on_all_cores(spark):
+    from quarry.operators import model as M
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(40000).coalesce(1)
+    assert M._spread(rows, 40000).rdd.getNumPartitions() == min(40, cores)
+    assert M._spread(rows, 150).rdd.getNumPartitions() == 1
+    assert M._spread(rows, 10_000_000).rdd.getNumPartitions() == max(100, cores)
