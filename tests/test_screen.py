@@ -71,3 +71,12 @@ def test_sketches_merge_within_their_error(spark, tmp_path):
     by = K.sketch(df, ["x"], ["part"])
     assert by.count() == 4 and K.merge(by).first().n == 60000
     assert K.sketch(df.limit(0), ["x"]).first().n == 0
+
+
+def test_flat_columns_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(S, "ROWS", 64)
+    df = spark.range(4000).selectExpr("id", "cast(if(id % 4 = 0, -1, id) as string) as mixed")
+    counts = S._full_counts(df, ["id", "mixed"])
+    at = counts.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count"), F.count("*")).first()
+    assert at[0] < 200 and at[1] > 60
+    assert S.top_values(df, ["id", "mixed"], 2, 8).where("column = 'mixed'").orderBy("rank").first()["count"] == 1000
