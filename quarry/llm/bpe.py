@@ -11,7 +11,7 @@ ends, are unchanged.  Otherwise the window grows.  Decoding joins the tokens'
 bytes up the same tree.
 
 The vocabulary is read by the driver and broadcast (its size is fixed).
-Encodings of short pieces are remembered, up to a fixed number of entries, for as long as a worker lives.
+Encodings of short pieces are remembered, up to a fixed number of entries, until a worker turns to another operator.
 
 Defined results: a null or empty text has no tokens; extra columns are passed
 through by ``encode``; an empty table gives no rows.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.textkit import pieces, release
+from quarry.llm.textkit import held, pieces, release
 
 #: Bytes encoded directly; number of pieces that are remembered.
 LEAF, MEMO = 24, 1 << 18
@@ -227,15 +227,12 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
 
 
-_encoders: dict[int, TreeEncoder] = {}
+def _key(raw: bytes) -> tuple[str, int]:
+    return "bpe", hash(raw)
 
 
 def _encoder(raw: bytes) -> TreeEncoder:
-    key = hash(raw)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = TreeEncoder(read_ranks(raw))
-    return _encoders[key]
+    return held(_key(raw), lambda: TreeEncoder(read_ranks(raw)))
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -258,7 +255,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, ids: str = "ids") -> D
                 off = np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed]))).astype(np.int32)
                 flat = pa.array(np.frombuffer(b"".join(packed), np.int32))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(off), flat)], names=names)
-            release()
+            release(_key(shared.value))
 
     return docs.mapInArrow(run, schema)
 

@@ -231,7 +231,7 @@ def _linked(docs: DataFrame, width: int, percent: int, bands: int, rows: int) ->
         close = p.join(q, ["b", "part"]).where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         return close.select("a", "b", "ta", "tb").mapInArrow(_confirm(width, percent), "a long, b long")
 
-    roots = save(components(confirmed(star)))
+    roots = components(confirmed(star))
 
     # what is left: buckets that still hold several components, other than the largest in each
     tagged = placed.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
@@ -245,7 +245,7 @@ def _linked(docs: DataFrame, width: int, percent: int, bands: int, rows: int) ->
     tag = tagged.select("node", "root").distinct()
     more = (more.join(tag.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
             .join(tag.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    higher = save(components(more)).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    higher = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
 
     final = (nodes.select("s1", "s2", "n_shingles", "node").join(roots, "node", "left")
              .select("s1", "s2", "n_shingles", F.coalesce("root", "node").alias("root"))

@@ -370,7 +370,7 @@ def _index(blocks: int):
 
 # ---- step 3: back to the documents -------------------------------------------------------
 
-def _spans(changed_only: bool):
+def _spans(changed_only: bool, as_text: bool):
     def run(texts: pa.Table, marks: pa.Table) -> pa.Table:
         spans: dict[tuple, list] = {}
         if marks.num_rows:
@@ -401,10 +401,11 @@ def _spans(changed_only: bool):
             out[1].append(len(t))
             out[2].append(b"".join(kept))
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        more = [pa.array(out[0], kind), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())]
+        kept = pa.array([x.decode("utf-8", "ignore") for x in out[2]], pa.string()) if as_text else pa.array(out[2], pa.binary())
+        more = [pa.array(out[0], kind), pa.array(out[1], pa.int64()), kept]
         take = pa.array(rows, pa.int64())
         return pa.Table.from_arrays([*(texts.column(c).take(take) for c in ("doc_id", "id", "rk")), *more],
-                                    names=["doc_id", "id", "rk", "spans", "n_bytes", "kept_bytes"])
+                                    names=["doc_id", "id", "rk", "spans", "n_bytes", "kept_text" if as_text else "kept_bytes"])
     return run
 
 
@@ -413,9 +414,10 @@ def _key(id_: str = "doc_id", text: str = "text") -> list:
     return [F.coalesce(F.col(id_).cast("long"), F.lit(_NULL_ID)), F.xxhash64(F.coalesce(F.col(text), F.lit("")))]
 
 
-def repeated_spans(docs: DataFrame, changed_only: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, changed_only: bool = False, as_text: bool = False) -> DataFrame:
     """doc_id, id and rk (the row's key), spans (maximal removed runs), n_bytes and kept_bytes for
-    each row of ``docs`` (doc_id, text), or only for those that lose bytes."""
+    each row of ``docs`` (doc_id, text), or only for those that lose bytes.  ``as_text``: with kept_text,
+    their whole characters, in place of kept_bytes."""
     id_, rk = _key()
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), id_.alias("id"), rk.alias("rk"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -438,9 +440,9 @@ def repeated_spans(docs: DataFrame, changed_only: bool = False) -> DataFrame:
     second = ctx.groupBy("bucket").applyInArrow(_index(blocks), _OUT)
     marks = save(first.where("kind = 0").unionByName(second))
 
-    schema = "doc_id long, id long, rk long, spans array<struct<start: long, end: long>>, n_bytes long, kept_bytes binary"
+    schema = "doc_id long, id long, rk long, spans array<struct<start: long, end: long>>, n_bytes long, " + ("kept_text string" if as_text else "kept_bytes binary")
     return (placed.select("block", "text", "doc_id", "id", "rk").groupBy("block").cogroup(marks.groupBy("block"))
-            .applyInArrow(_spans(changed_only), schema))
+            .applyInArrow(_spans(changed_only, as_text), schema))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -449,12 +451,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A cut within a character leaves some of its bytes; those are dropped.  A null text stays null.
     """
-    @F.arrow_udf("string")
-    def whole(kept: pa.Array) -> pa.Array:
-        return pa.array([x.decode("utf-8", "ignore") for x in kept.to_pylist()], pa.string())
-
-    changed = (repeated_spans(docs.select("doc_id", "text"), changed_only=True)
-               .select(F.col("id").alias("__i"), F.col("rk").alias("__r"), whole("kept_bytes").alias("__text")).dropDuplicates(["__i", "__r"]))
+    changed = (repeated_spans(docs.select("doc_id", "text"), changed_only=True, as_text=True)
+               .select(F.col("id").alias("__i"), F.col("rk").alias("__r"), F.col("kept_text").alias("__text")).dropDuplicates(["__i", "__r"]))
     id_, rk = _key()
     out = docs.withColumn("__id", id_).withColumn("__rk", rk)
     out = out.join(changed, (F.col("__id") == F.col("__i")) & (F.col("__rk") == F.col("__r")), "left")
