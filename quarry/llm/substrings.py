@@ -370,7 +370,7 @@ def _index(blocks: int):
 
 # ---- step 3: back to the documents -------------------------------------------------------
 
-def _spans(changed_only: bool, as_text: bool):
+def _spans(changed_only: bool, as_text: bool = False):
     def run(texts: pa.Table, marks: pa.Table) -> pa.Table:
         spans: dict[tuple, list] = {}
         if marks.num_rows:
