@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import textkit as T
-from quarry.llm.scratch import save
+from quarry.llm.scratch import forget_shuffles, save
 
 LENGTH, K = 100, 24
 WINDOWS = LENGTH - K + 1
@@ -439,6 +439,7 @@ def repeated_spans(docs: DataFrame, changed_only: bool = False, as_text: bool =
     ctx = need.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_contexts(indexes), _CTX)
     second = ctx.groupBy("bucket").applyInArrow(_index(blocks), _OUT)
     marks = save(first.where("kind = 0").unionByName(second))
+    forget_shuffles(docs.sparkSession)  # the contexts'; two more of the texts follow
 
     schema = "doc_id long, id long, rk long, spans array<struct<start: long, end: long>>, n_bytes long, " + ("kept_text string" if as_text else "kept_bytes binary")
     return (placed.select("block", "text", "doc_id", "id", "rk").groupBy("block").cogroup(marks.groupBy("block"))
