@@ -88,6 +88,51 @@ def test_learned_documents(spark):
     assert got == {("en", plain): 2, ("code", heavy): 2, ("code", plain): 1, (None, heavy): 1}
 
 
+def test_every_document_is_counted(spark):
+    """The model has every n-gram of every document, those that only documents full of symbols have too, each with the
+    probability that two brute-force models give it: one of the plain documents, one of all."""
+    import numpy as np
+    rows = [("the plain words of a text", "en"), ("a plain text # of words and more of the words", "en"), ("other words that are plain", "en"), ("a &|& b ### the $plain$", "en"),
+            ("### $$$ ###", None), ("plain words", None), ("words", None), ("<b>#x</b>", "code"), ("", "en"), (None, "en")]
+    df = spark.createDataFrame([r for r in rows for _ in range(2)], "text string, lang string")
+    heavy = lambda t: 100 * sum(t.count(x) for x in "#*$%&|<>") >= 2 * len(t)
+    grams = lambda t: {("\0" * 3 + t)[i:i + 4] for i in range(len(t))}
+
+    def model(texts):
+        levels = {4: Counter(g for t in texts for g in grams(t))}
+        for n in (3, 2, 1):
+            levels[n] = Counter(g[1:] for g in levels[n + 1])
+
+        def p(g):
+            if not g:
+                return 1 / (len(levels[1]) + 1)
+            lv, low = levels[len(g)], p(g[1:])
+            ctx = [c for x, c in lv.items() if x[:-1] == g[:-1]]
+            if not ctx:
+                return low
+            n = Counter(lv.values())
+            y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+            d = [0, *(max(0.05, i - (i + 1) * y * n[i + 1] / n[i]) if n[i] and n[1] else 0.5 * i for i in (1, 2, 3))]
+            return max(0, lv[g] - d[min(lv[g], 3) or 3]) / sum(ctx) + sum(d[min(c, 3)] for c in ctx) / sum(ctx) * low
+        return p
+
+    fitted = Q.fit(df)
+    for lang in ("en", None, "code"):
+        own = [t for t, x in rows if x == lang and t for _ in range(2)]
+        plain = [t for t in own if not heavy(t)] if lang != "code" else own  # all of its documents are full of symbols
+        few, every = model(plain), model(own)
+        names = sorted({g for t in own for g in grams(t)})
+        h = Q._hashes(np.array([sum(ord(c) << 16 * (3 - i) for i, c in enumerate(g)) for g in names], np.uint64), lang)
+        got = np.full(len(h), np.nan)
+        for _, places, at, shard in fitted.find([h]):
+            got[places] = shard.columns["logp"][shard.off[at]]
+        assert np.allclose(got, np.log2([Q.PLAIN * few(g) + (1 - Q.PLAIN) * every(g) for g in names]), rtol=1e-5)
+    fitted.free()
+    counts = {(r.lang, r.k): (r.c, r.plain) for r in Q.ngram_counts(df).collect()}
+    hashes = ord("#") << 32 | ord("#") << 16 | ord("#")
+    assert counts["en", hashes | ord(" ") << 48] == (2, 0) and counts["en", ord("t") << 32 | ord("h") << 16 | ord("e")] == (2, 2)
+
+
 def test_every_ngram_keeps_its_probability(spark, monkeypatch):
     """Each n-gram of each language is found in the model with its own value, also when it takes many shards."""
     import numpy as np
